@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 UNBASE = U(pow(int(BASE), -1, 1 << 64))

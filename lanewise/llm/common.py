@@ -41,3 +41,9 @@ def remainder(doc_id: Column, parts: int = 4) -> Column:
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(remainder(doc_id) == 2, F.lit(False))
+
+
+def bounded_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """df, after the session's Arrow batches are bound by bytes instead of rows alone: texts differ widely in length."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df

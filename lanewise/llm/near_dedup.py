@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnum import LOWER, Texts, U, batches, mix, prefix, signed, spans, words
-from .common import settled
+from .common import bounded_batches, settled
 from .components import components
 
 #: Runs of r retained values for sets of lo to hi elements.  Neighbouring ranges overlap by more than the factor 0.8.
@@ -145,7 +145,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
             rows.append(row)
             elements.append(s.tobytes())
             held += len(elements[-1])
-            if held > 1 << 24:
+            if held > 1 << 22:
                 yield [batch.column("doc").take(pa.array(rows, pa.int64())), elements]
                 rows, elements, held = [], [], 0
         yield [batch.column("doc").take(pa.array(rows, pa.int64())), elements]
@@ -182,6 +182,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     """
     if percent < 80:
         raise ValueError("runs of retained values are derived for similarities of 0.8 or more")
+    docs = bounded_batches(docs)
     sig = settled(signatures(docs, size, k))
     classes = settled(
         sig.where("n_shingles > 0 and doc_id is not null")
