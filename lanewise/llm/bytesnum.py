@@ -88,10 +88,15 @@ class Texts:
             i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs without white space, and the row of each; none crosses rows."""
+#: Bytes of plain words: ASCII letters and digits, and all bytes of other characters.
+PLAIN = np.zeros(256, bool)
+PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, within: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes of a kind (not white space), and the row of each; none crosses rows."""
     n = len(data)
-    inside = ~SPACE[data]
+    inside = within[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     before, after = np.empty(n, bool), np.empty(n, bool)

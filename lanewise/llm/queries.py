@@ -10,6 +10,11 @@ from .bpe import encode
 from .common import table
 from .near_dedup import near_duplicates
 from .repeats import without_repeats
+from .toxicity import toxicity
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
