@@ -9,16 +9,18 @@ whole sequence is the one element; without words the set is empty and the docume
    sets this is certain: u values with at most 0.2 u gaps hold a run of ceil(0.8 u / (0.2 u + 1)), that is 4 for u > 15, 3
    for u > 5, 2 for u > 1 (at u = 1 sets are equal).  For r = 5 among 128 retained values it fails with a chance below 1e-8.
    Runs keep the lists of frequent shingles short: unrelated texts must agree on r values in a row.  No list is capped.
-3. *Candidates*: copies fall into one class by the hash of the whole set before any list is built.  Each list proposes its
-   smallest class with every other one (a star, linear in the list); after these links are confirmed and joined to
-   components, lists that still hold several components propose every pair *across* components, so no link is lost and no
-   group of near copies is expanded into all pairs.
-4. *Estimate*: of the k smallest values of both sketches' union, the share in both; pairs 6 standard deviations below the
+3. *Candidates*: copies fall into one class by the hash of the whole set before any list is built.  Each list names as its hub
+   the member that stands in the most and longest lists, as the original of a group of near copies does, and proposes it with
+   every other member (a star, linear in the list).
+4. *Estimate*: of the k smallest values of both sets' union, the share in both; pairs 6 standard deviations below the
    threshold go.
-5. *Exact*: full sets are built again from the texts and intersected.
+5. *Exact*: full sets, built again from the texts, are intersected.
+6. *The rest*: where the members of a hub's lists still fall into several components, all members outside its largest one are
+   held against every member of another component.  They meet in blocks of about ``BLOCK`` sets, so neither pairs nor a whole
+   group are ever written out, and no link is lost.
 
 Every table is keyed by hashes that spread evenly; a hot group of copies is one class, a hot group of near copies is spread
-over its k runs.
+over its k runs and its blocks.
 """
 
 from __future__ import annotations
@@ -84,7 +86,7 @@ def signatures(docs: DataFrame, size: int = 2, k: int = 128) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: batches(it, SIGNATURE, one), "doc_id long, n_shingles long, fp long, fp2 long, sketch binary")
 
 
-LISTED = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64())])
+LISTED = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 
 
 def listed(classes: DataFrame) -> DataFrame:
@@ -104,40 +106,21 @@ def listed(classes: DataFrame) -> DataFrame:
                     at.append(np.full(len(x), row))
             if len(keys) > 400:
                 w = np.concatenate(at)
-                yield [signed(np.concatenate(keys)), fp[w], n[w]]
+                yield [signed(np.concatenate(keys)), fp[w]]
                 keys, at = [], []
         if keys:
             w = np.concatenate(at)
-            yield [signed(np.concatenate(keys)), fp[w], n[w]]
+            yield [signed(np.concatenate(keys)), fp[w]]
 
-    return classes.select("fp", "n", "sketch").mapInArrow(lambda it: batches(it, LISTED, one), "key long, fp long, n long")
+    return classes.select("fp", "n", "sketch").mapInArrow(lambda it: batches(it, LISTED, one), "key long, fp long")
 
 
-def estimated(pairs: DataFrame, sketches: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs whose union sketch doesn't speak against the threshold, with the representative document of either side."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("a_doc", pa.int64()), ("b_doc", pa.int64())])
+SETS = pa.schema([("doc", pa.int64()), ("elements", pa.binary())])
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def one(batch):
-        x, y = batch.column("a_sketch").to_pylist(), batch.column("b_sketch").to_pylist()
-        keep = []
-        for i, (p, q) in enumerate(zip(x, y, strict=True)):
-            p, q = np.frombuffer(p, U), np.frombuffer(q, U)
-            u = np.unique(np.concatenate([p, q]))[:k]
-            both = np.intersect1d(np.intersect1d(p, q, assume_unique=True), u, assume_unique=True)
-            t = percent / 100
-            if len(both) / len(u) >= t - 6 * (t * (1 - t) / len(u)) ** 0.5:
-                keep.append(i)
-        at = pa.array(keep, pa.int64())
-        yield [batch.column(c).take(at) for c in ("a", "b", "a_doc", "b_doc")]
-
-    side = lambda s: sketches.select(F.col("fp").alias(s), F.col("sketch").alias(f"{s}_sketch"), F.col("doc").alias(f"{s}_doc"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda it: batches(it, schema, one), "a long, b long, a_doc long, b_doc long")
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    sets_schema = pa.schema([("doc", pa.int64()), ("elements", pa.binary())])
-    out_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """fp and the sorted elements (8 bytes each) of the representative document of each class in ``wanted`` (fp, doc)."""
 
     def build(batch):
         rows, elements, held = [], [], 0
@@ -150,26 +133,80 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 rows, elements, held = [], [], 0
         yield [batch.column("doc").take(pa.array(rows, pa.int64())), elements]
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    needed = texts.join(wanted.select("doc"), "doc", "left_semi").mapInArrow(lambda it: batches(it, SETS, build), "doc long, elements binary")
+    # rows that repeat a doc_id: the least set speaks for it
+    return needed.groupBy("doc").agg(F.min("elements").alias("elements")).join(wanted, "doc").select("fp", "elements")
+
+
+def linked(p: np.ndarray, q: np.ndarray, percent: int, k: int) -> bool:
+    """Union-sketch estimate, then the exact test, of two sorted sets."""
+    x, y = p[:k], q[:k]
+    u = np.unique(np.concatenate([x, y]))[:k]
+    t = percent / 100
+    both = len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), u, assume_unique=True))
+    if both / len(u) < t - 6 * (t * (1 - t) / len(u)) ** 0.5:
+        return False
+    shared = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * shared >= percent * (len(p) + len(q) - shared)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """Pairs (a, b) of classes whose full sets have 100 * intersection >= percent * union."""
+
     def compare(batch):
         a, b, x, y = (batch.column(c) for c in ("a", "b", "a_elements", "b_elements"))
-        keep = []
-        for i in range(len(a)):
-            p, q = np.frombuffer(x[i].as_py(), U), np.frombuffer(y[i].as_py(), U)
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            if 100 * shared >= percent * (len(p) + len(q) - shared):
-                keep.append(i)
-        at = pa.array(keep, pa.int64())
+        at = pa.array([i for i in range(len(a)) if linked(np.frombuffer(x[i].as_py(), U), np.frombuffer(y[i].as_py(), U), percent, k)], pa.int64())
         yield [a.take(at), b.take(at)]
 
-    wanted = pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("doc")).distinct()
-    sets = settled(
-        docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-        .join(wanted, "doc", "left_semi")
-        .dropDuplicates(["doc"])
-        .mapInArrow(lambda it: batches(it, sets_schema, build), "doc long, elements binary")
+    side = lambda s: sets.select(F.col("fp").alias(s), F.col("elements").alias(f"{s}_elements"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_elements", "b_elements").mapInArrow(lambda it: batches(it, PAIRS, compare), "a long, b long")
+
+
+BLOCK = 256
+
+
+def across_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components among the members (hub, fp, component) of the same hub."""
+    sizes = members.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    hubs = (
+        sizes.groupBy("hub")
+        .agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("total"), F.count("*").alias("parts"))
+        .where("parts > 1")
+        .select("hub", F.col("m.component").alias("largest"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
     )
-    side = lambda s: sets.select(F.col("doc").alias(f"{s}_doc"), F.col("elements").alias(f"{s}_elements"))
-    return pairs.join(side("a"), "a_doc").join(side("b"), "b_doc").select("a", "b", "a_elements", "b_elements").mapInArrow(lambda it: batches(it, out_schema, compare), "a long, b long")
+    open_members = settled(members.join(hubs, "hub"))
+    held = open_members.select("hub", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("probe"), "fp", "component")
+    probes = open_members.where("component <> largest").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(2).alias("probe"), "fp", "component")
+
+    def compare(it):
+        at, block, index = None, [], None
+        for batch in it:
+            hub, place, probe, fp, comp = (batch.column(c).to_pylist() for c in ("hub", "block", "probe", "fp", "component"))
+            raw = batch.column("elements")
+            a, b = [], []
+            for i in range(len(hub)):
+                s = np.frombuffer(raw[i].as_py(), U)
+                if (hub[i], place[i]) != at:
+                    at, block, index = (hub[i], place[i]), [], None
+                if probe[i] == 1:
+                    block.append((fp[i], comp[i], s))
+                    continue
+                if not block:
+                    continue
+                if index is None:
+                    size = np.array([len(x) for _, _, x in block])
+                    index = np.concatenate([x for _, _, x in block]), np.repeat(np.arange(len(block)), size), size, np.array([c for _, c, _ in block]), [f for f, _, _ in block]
+                every, of, size, comps, names = index
+                near = s[np.minimum(np.searchsorted(s, every), len(s) - 1)] == every
+                shared = np.bincount(of[near], minlength=len(size))
+                for j in np.flatnonzero((100 * shared >= percent * (size + len(s) - shared)) & (comps != comp[i])).tolist():
+                    a.append(fp[i])
+                    b.append(names[j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIRS)
+
+    return held.union(probes).join(sets, "fp").select("hub", "block", "probe", "fp", "component", "elements").repartition("hub", "block").sortWithinPartitions("hub", "block", "probe").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 128) -> DataFrame:
@@ -184,39 +221,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
         raise ValueError("runs of retained values are derived for similarities of 0.8 or more")
     docs = bounded_batches(docs)
     sig = settled(signatures(docs, size, k))
-    classes = settled(
-        sig.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("fp", F.col("n_shingles").alias("n"))
-        .agg(F.min(F.struct("doc_id", "sketch")).alias("m"))
-        .select("fp", "n", F.col("m.doc_id").alias("doc"), F.col("m.sketch").alias("sketch"))
-    )
-    lists = listed(classes)
+    some = sig.where("n_shingles > 0 and doc_id is not null").withColumnRenamed("n_shingles", "n")
+    classes = settled(some.groupBy("fp", "n").agg(F.min("doc_id").alias("doc")))
+    lists = listed(some.groupBy("fp", "n").agg(F.min("sketch").alias("sketch")))
     # one exchange; lists of one class end here
-    live = settled(
-        lists.selectExpr("key", "fp", "n", "min(fp) over (partition by key) lowest", "max(fp) over (partition by key) highest")
-        .where("lowest < highest")
-        .select("key", "fp", "n", "lowest")
-    )
-    star = live.where("fp <> lowest").groupBy(F.col("lowest").alias("a"), F.col("fp").alias("b")).agg(F.count("*").alias("overlap"))
-    pairs = estimated(star, classes, percent, k)
-    links = settled(confirmed(settled(pairs), docs, size, percent))
+    live = settled(lists.selectExpr("key", "fp", "count(*) over (partition by key) members").where("members > 1"))
+    weight = live.groupBy("fp").agg(F.sum("members").alias("weight"))
+    hubs = settled(live.join(weight, "fp").selectExpr("max(struct(weight, fp)) over (partition by key).fp hub", "fp").distinct())
+    sets = settled(full_sets(docs, classes.select("fp", "doc").join(weight, "fp", "left_semi"), size))
+    links = settled(confirmed(hubs.where("hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b")), sets, percent, k))
     comp = components(links)
-    # what the stars left: pairs across components
-    tagged = live.select("key", "fp", "n").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    several = tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_lists = settled(tagged.join(several, "key", "left_semi"))
-    left, right = (open_lists.selectExpr("key", f"fp as {s}", f"n as {s}_n", f"component as {s}_c") for s in "ab")
-    across = (
-        left.join(right, "key")
-        .where("a < b and a_c <> b_c")
-        .where(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
-        .select("a", "b")
-        .distinct()
-    )
-    more = settled(estimated(across.join(star.select("a", "b"), ["a", "b"], "left_anti"), classes, percent, k))
+    members = settled(hubs.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("hub", "fp", F.coalesce("component", "fp").alias("component")))
+    more = settled(across_components(members, sets, percent))
     if more.limit(1).count():
-        links = links.union(settled(confirmed(more, docs, size, percent)))
-        comp = components(links)
+        comp = components(links.union(more))
     named = comp.join(classes.select(F.col("fp").alias("node"), "doc"), "node")
     smallest = named.groupBy("component").agg(F.min("doc").alias("smallest"))
     by_class = classes.select("fp", "n", "doc").join(named.join(smallest, "component").select(F.col("node").alias("fp"), "smallest"), "fp", "left")
