@@ -11,7 +11,7 @@ from .bpe import encode
 from .common import table
 from .language import identify
 from .near_dedup import near_duplicates
-from . import quality, secrets
+from . import quality, rules, secrets
 from .repeats import without_repeats
 from .toxicity import toxicity
 
@@ -20,6 +20,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.assessed(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
