@@ -11,7 +11,7 @@ from .bpe import encode
 from .common import table
 from .language import identify
 from .near_dedup import near_duplicates
-from . import quality, rules, secrets
+from . import fingerprints, quality, rules, secrets
 from .repeats import without_repeats
 from .toxicity import toxicity
 
@@ -43,6 +43,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), per_language=1500)
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"), k=64)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
