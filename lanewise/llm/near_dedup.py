@@ -245,3 +245,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
         .select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 128) -> DataFrame:
+    """Rows of docs, with all their columns, without near duplicates: of each group of ``near_duplicates`` the row with the
+    smallest doc_id stays (of rows that repeat a doc_id, one).  Rows without doc_id stay."""
+    kept = near_duplicates(docs, size, percent, k).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi")
+    # partitioned by doc_id already
+    return named.dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))

@@ -11,11 +11,20 @@ from .bpe import encode
 from .common import table
 from .language import identify
 from .near_dedup import near_duplicates
-from . import fingerprints, quality, rules, secrets
+from . import fingerprints, mixing, quality, rules, secrets
 from .repeats import without_repeats
 from .toxicity import toxicity
 
 
+#: The tree of the mixing query: domains of sources, and weights by path; sources not named are of the domain "web".
+DOMAINS = {f"src{i}": ("books", "reference", "forum")[i % 3] for i in range(10, 22)}
+WEIGHTS = {("web",): 4.0, ("books",): 3.0, ("reference",): 2.0, ("forum",): 1.0, **{(d, lang): w for d in ("web", "books", "reference", "forum") for lang, w in (("en", 5.0), ("de", 2.0), ("fr", 2.0), ("es", 1.0))}}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"), DOMAINS, WEIGHTS, share=0.6, seed=7, max_epochs=2)
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 

@@ -180,6 +180,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_sentences", pa.int64()), ("worst_score", pa.float64()), ("offending", pa.list_(pa.int64()))])
 
 
+def document_scores(model: Model, data: np.ndarray, offsets: np.ndarray):
+    """Noisy-or of each row; probability, row, first and last byte of each sentence."""
+    bucket, first, rows, begin, end = parts(data, offsets, len(model.weights))
+    p = evident(model.bias + np.add.reduceat(model.weights[bucket].sum(1, dtype=float), first), model.bias) if len(first) else np.zeros(0)
+    q = 1 - np.exp(np.bincount(rows, np.log1p(-np.minimum(p, 1 - 1e-12)), len(offsets) - 1))
+    return q, p, rows, begin, end
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """For each row of docs (doc_id, text; further columns are ignored): doc_id, held_out, score (noisy-or; 0 for a null or
     empty text or one without words), predicted, n_sentences, worst_score, offending: first and last byte, in turn, of the
@@ -187,12 +195,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def one(batch):
         texts = Texts(batch.column("text"))
-        dims = len(model.weights)
         for i, j, data, offsets in texts.chunks():
             n = j - i
-            bucket, first, rows, begin, end = parts(data, offsets, dims)
-            p = evident(model.bias + np.add.reduceat(model.weights[bucket].sum(1, dtype=float), first), model.bias) if len(first) else np.zeros(0)
-            q = 1 - np.exp(np.bincount(rows, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
+            q, p, rows, begin, end = document_scores(model, data, offsets)
             worst = np.zeros(n)
             np.maximum.at(worst, rows, p)
             bad = np.flatnonzero(p >= threshold)
@@ -213,3 +218,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_cla
     """``score`` with a model fitted to ``labels``."""
     bounded_batches(docs)
     return score(docs, fit(docs, labels, per_class=per_class), threshold)
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """Rows of docs, with all their columns, whose score stays below the threshold.  One pass, no shuffle."""
+
+    def one(it):
+        for batch in it:
+            texts, keep = Texts(batch.column(batch.schema.get_field_index("text"))), []
+            for i, j, data, offsets in texts.chunks():
+                keep.append(document_scores(model, data, offsets)[0] < threshold)
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return bounded_batches(docs).mapInArrow(one, docs.schema)
