@@ -1,17 +1,11 @@
-"""Tables of the data model, and the constant dimensions as plain Python and as small DataFrames."""
+"""Tables of the data model as DDL, and the constant dimensions as plain Python and as small DataFrames."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 INF = float("inf")
 
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 BOX = "STRUCT<center_x: DOUBLE, center_y: DOUBLE, center_z: DOUBLE, length: DOUBLE, width: DOUBLE, height: DOUBLE, heading: DOUBLE>"
 MATRIX = "ARRAY<ARRAY<DOUBLE>>"
 CALIBRATION = f"STRUCT<name: STRING, intrinsic: ARRAY<DOUBLE>, extrinsic: {MATRIX}, width: INT, height: INT, rolling_shutter_direction: INT>"
@@ -23,27 +17,27 @@ CAMERA = (
     "pose_timestamp: DOUBLE, shutter: DOUBLE, camera_trigger_time: DOUBLE, camera_readout_done_time: DOUBLE>"
 )
 
-SCENES = _struct(f"scene_id STRING, tfrecord_name STRING, camera_calibrations ARRAY<{CALIBRATION}>, laser_calibrations ARRAY<{LASER}>")
-FRAMES = _struct(
+SCENES = (f"scene_id STRING, tfrecord_name STRING, camera_calibrations ARRAY<{CALIBRATION}>, laser_calibrations ARRAY<{LASER}>")
+FRAMES = (
     f"scene_id STRING, timestamp BIGINT, pose {MATRIX}, time_of_day STRING, weather STRING, location STRING, images ARRAY<{CAMERA}>, "
     f"point_clouds ARRAY<{LASER}>, objects ARRAY<STRUCT<id: STRING, path: STRING>>"
 )
-OBJECTS = _struct(
+OBJECTS = (
     "id STRING, scene_id STRING, timestamp BIGINT, in_cvat BOOLEAN, cvat_label STRING, cvat_color STRING, visible_cameras ARRAY<STRING>, "
     f"frames ARRAY<BIGINT>, box {BOX}, camera_synced_box {BOX}, type STRING, detection_difficulty_level INT, "
     "tracking_difficulty_level INT, num_lidar_points_in_box INT, num_top_lidar_points_in_box INT, most_visible_camera_name STRING, "
     "metadata STRUCT<speed_x: DOUBLE, speed_y: DOUBLE, speed_z: DOUBLE, accel_x: DOUBLE, accel_y: DOUBLE, accel_z: DOUBLE>"
 )
-PROJECTIONS = _struct("scene_id STRING, timestamp BIGINT, object_id STRING, camera STRING, corner INT, u DOUBLE, v DOUBLE, depth DOUBLE, ok BOOLEAN")
+PROJECTIONS = ("scene_id STRING, timestamp BIGINT, object_id STRING, camera STRING, corner INT, u DOUBLE, v DOUBLE, depth DOUBLE, ok BOOLEAN")
 
 #: One wide question and answer instead of a class for each kind: nothing is lost when kinds share a declared type.
-QUESTION = _struct(
+QUESTION = (
     "question_type STRING, question_name STRING, question_id STRING, generator_name STRING, question STRING, scene_id STRING, timestamp BIGINT, "
     "object_id STRING, choices ARRAY<STRING>, prompts ARRAY<STRUCT<prompt: STRING, object_ids: ARRAY<STRING>, answers: ARRAY<STRING>>>, "
     "image_path STRING, image_base64 STRING, image_paths ARRAY<STRING>, camera_name STRING, camera_names ARRAY<STRING>, current_image_path STRING, "
     "previous_image_path STRING, current_timestamp BIGINT, previous_timestamp BIGINT, current_bbox ARRAY<INT>, previous_bbox ARRAY<INT>, data STRING"
 )
-ANSWER = _struct(
+ANSWER = (
     "answer_type STRING, choices ARRAY<STRING>, answer STRING, text STRING, value DOUBLE, box ARRAY<DOUBLE>, boxes ARRAY<ARRAY<DOUBLE>>, "
     "score DOUBLE, scores ARRAY<DOUBLE>, object_id STRING, prompt STRING"
 )
