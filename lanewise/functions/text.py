@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +18,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def both(a: Column, b: Column, body) -> Column:
+    """body(a, b), with each worked out once; functions of arrays that look at an element at a time need that."""
+    return let(a, lambda x: let(b, lambda y: body(x, y)))
+
+
 def without_punctuation(text: Column) -> Column:
     return F.translate(text, PUNCTUATION, "")
 
@@ -102,18 +108,16 @@ def token_f1_set(prediction: Column, truth: Column) -> Column:
 
 
 def count_of(a: Column, x: Column) -> Column:
-    return F.size(F.filter(a, lambda y: y == x))
+    return F.size(a) - F.size(F.array_remove(a, x))
 
 
 def shared_multiset(a: Column, b: Column) -> Column:
     """Elements that both arrays have, each as often as the smaller count."""
-    both = F.array_intersect(a, b)
-    return F.aggregate(F.transform(both, lambda x: F.least(count_of(a, x), count_of(b, x))), F.lit(0), lambda s, v: s + v)
+    return F.aggregate(F.transform(F.array_intersect(a, b), lambda x: F.least(count_of(a, x), count_of(b, x))), F.lit(0), lambda s, v: s + v)
 
 
 def token_f1_multiset(prediction: Column, truth: Column) -> Column:
-    a, b = tokens(prediction), tokens(truth)
-    return f_measure(shared_multiset(a, b), F.size(a), F.size(b))
+    return both(tokens(prediction), tokens(truth), lambda a, b: f_measure(shared_multiset(a, b), F.size(a), F.size(b)))
 
 
 def char_ngrams(text: Column, n: int) -> Column:
@@ -129,19 +133,34 @@ def word_ngrams(words: Column, n: int) -> Column:
 
 
 def rouge_n(prediction: Column, truth: Column, n: int = 1) -> Column:
-    a, b = word_ngrams(tokens(prediction), n), word_ngrams(tokens(truth), n)
-    return f_measure(shared_multiset(a, b), F.size(a), F.size(b))
+    grams = lambda t: let(tokens(t), lambda w: word_ngrams(w, n))
+    return both(grams(prediction), grams(truth), lambda a, b: f_measure(shared_multiset(a, b), F.size(a), F.size(b)))
+
+
+def _lengths(pairs) -> list[int]:
+    """Longest common subsequences of pairs of word lists, a bit for each word of the second (Python's long integers)."""
+    out = []
+    for x, y in pairs:
+        at: dict[str, int] = {}
+        for i, w in enumerate(y):
+            at[w] = at.get(w, 0) | 1 << i
+        full = (1 << len(y)) - 1
+        v = full
+        for w in x:
+            u = v & at.get(w, 0)
+            v = (v + u | v - u) & full
+        out.append(len(y) - v.bit_count())
+    return out
 
 
 def longest_common(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: one row of the table at a time, by folding over a."""
+    """Length of the longest common subsequence of two arrays; inherently sequential, so an Arrow-batched function."""
 
-    def row(previous: Column, x: Column) -> Column:
-        step = lambda acc, i: F.array_append(acc, F.when(b[i] == x, previous[i] + 1).otherwise(F.greatest(previous[i + 1], F.element_at(acc, -1))))
-        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.array(F.lit(0)), step)
+    @F.pandas_udf("int")
+    def length(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(_lengths(zip(x, y, strict=True)))
 
-    zeros = F.array_repeat(F.lit(0), F.size(b) + 1)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).otherwise(F.element_at(F.aggregate(a, zeros, row), -1))
+    return length(a, b)
 
 
 def rouge_l(prediction: Column, truth: Column) -> Column:
@@ -152,14 +171,19 @@ def rouge_l(prediction: Column, truth: Column) -> Column:
 def tfidf_cosine(a: Column, b: Column) -> Column:
     """Cosine of the TF-IDF vectors of two texts, fitted on just the two: idf = ln(3 / (1 + df)) + 1; words of two or more letters."""
     words = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    x, y = words(a), words(b)
-    both, every = F.array_intersect(x, y), F.array_union(x, y)
     once, twice = F.log(F.lit(1.5)) + 1, F.lit(1.0)
-    weight = lambda w: F.when(F.array_contains(both, w), twice).otherwise(once)
     total = lambda arr, f: F.aggregate(F.transform(arr, f), F.lit(0.0), lambda s, v: s + v)
-    square = lambda v: total(every, lambda w: F.pow(count_of(v, w) * weight(w), 2))
-    product = total(both, lambda w: count_of(x, w) * count_of(y, w) * F.lit(1.0))
-    return F.coalesce(F.try_divide(product, F.sqrt(square(x)) * F.sqrt(square(y))), F.lit(0.0))
+
+    def cosine(x: Column, y: Column) -> Column:
+        def of(shared: Column) -> Column:
+            weight = lambda w: F.when(F.array_contains(shared, w), twice).otherwise(once)
+            square = lambda v: total(F.array_distinct(v), lambda w: F.pow(count_of(v, w) * weight(w), 2))
+            product = total(shared, lambda w: count_of(x, w) * count_of(y, w) * F.lit(1.0))
+            return F.coalesce(F.try_divide(product, F.sqrt(square(x)) * F.sqrt(square(y))), F.lit(0.0))
+
+        return let(F.array_intersect(x, y), of)
+
+    return both(words(a), words(b), cosine)
 
 
 def day_period(timestamp_us: Column, zone: Column) -> Column:

@@ -88,7 +88,7 @@ def suppressed(found: DataFrame, image: str, limit: float = 0.5) -> DataFrame:
 def confident(found: DataFrame, image: str, limit: float) -> DataFrame:
     """Boxes with a score above the limit, or the least score of the image if that is higher."""
     least = F.min("score").over(Window.partitionBy(image))
-    return found.where(F.col("score") >= F.greatest(F.lit(limit), least))
+    return found.withColumn("_least", least).where(F.col("score") >= F.greatest(F.lit(limit), F.col("_least"))).drop("_least")
 
 
 def similarity(boxes: DataFrame, prompts: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
