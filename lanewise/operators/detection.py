@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
+from ..functions.text import let
 
 BOX = ("x1", "y1", "x2", "y2")
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
@@ -37,19 +38,22 @@ def greedy(truth: DataFrame, found: DataFrame, thresholds: list[float], image: s
 
     Pairs are collected by image, ``most`` boxes at most as is usual for this metric, and folded over in the JVM."""
     kept = found.withColumn("_r", F.row_number().over(Window.partitionBy(image).orderBy(F.col("score").desc(), "box_id"))).where(F.col("_r") <= most).drop("_r")
-    pairs = overlaps(truth, kept, image).groupBy(image, "found_id").agg(F.max("score").alias("score"), F.array_sort(F.collect_list(F.struct((-F.round("iou", 9)).alias("less"), F.col("truth_id").alias("t")))).alias("options"))
-    boxes = kept.select(image, F.col("box_id").alias("found_id"), "score").join(pairs.drop("score"), [image, "found_id"], "left")
-    lists = boxes.groupBy(image).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "found_id", "options"))).alias("boxes"))
-    each = lists.select(image, "boxes", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
     ids = dict(truth.dtypes)["box_id"]
+    near = overlaps(truth, kept, image).withColumn("iou", F.round("iou", 9)).where(F.col("iou") >= min(thresholds))
+    # a box that overlaps no truth enough at any threshold needs no walk
+    pairs = near.groupBy(image, "found_id", "score").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("less"), F.col("truth_id").alias("t")))).alias("options"))
+    lists = pairs.groupBy(image).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "found_id", "options"))).alias("boxes"))
+    each = lists.select(image, "boxes", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
     start = F.struct(F.array().cast(f"array<{ids}>").alias("taken"), F.array().cast("array<boolean>").alias("out"))
 
     def step(acc: Column, box: Column) -> Column:
-        free = F.filter(F.coalesce(box["options"], F.array().cast(f"array<struct<less:double,t:{ids}>>")), lambda o: (-o["less"] >= F.col("threshold")) & ~F.array_contains(acc["taken"], o["t"]))
-        return F.struct(F.concat(acc["taken"], F.transform(F.slice(free, 1, 1), lambda o: o["t"])).alias("taken"), F.array_append(acc["out"], F.size(free) > 0).alias("out"))
+        free = F.filter(box["options"], lambda o: (-o["less"] >= F.col("threshold")) & ~F.array_contains(acc["taken"], o["t"]))
+        return let(free, lambda f: F.struct(F.concat(acc["taken"], F.transform(F.slice(f, 1, 1), lambda o: o["t"])).alias("taken"), F.array_append(acc["out"], F.size(f) > 0).alias("out")))
 
     done = each.withColumn("m", F.aggregate("boxes", start, step)["out"])
-    return done.select(image, "threshold", F.explode(F.arrays_zip("boxes", "m")).alias("z")).select(image, "threshold", F.col("z.boxes.found_id").alias("found_id"), (-F.col("z.boxes.less")).alias("score"), F.col("z.m").alias("matched"))
+    walked = done.select(image, "threshold", F.explode(F.arrays_zip("boxes", "m")).alias("z")).select(image, "threshold", F.col("z.boxes.found_id").alias("found_id"), (-F.col("z.boxes.less")).alias("score"), F.col("z.m").alias("matched"))
+    others = kept.withColumnRenamed("box_id", "found_id").join(pairs, [image, "found_id"], "left_anti").select(image, F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"), "found_id", "score", F.lit(False).alias("matched"))
+    return walked.union(others)
 
 
 def precision_recall(scored: DataFrame, positives: int | Column, by: list[str], hit: str, order: list[Column]) -> DataFrame:
@@ -59,7 +63,9 @@ def precision_recall(scored: DataFrame, positives: int | Column, by: list[str],
     goal = F.lit(positives) if isinstance(positives, int) else positives
     out = scored.withColumns({"tp": F.sum(F.col(hit).cast("long")).over(run), "fp": F.sum((~F.col(hit)).cast("long")).over(run)})
     out = out.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.coalesce(F.try_divide(F.col("tp").cast("double"), goal.cast("double")), F.lit(0.0))})
-    return out.withColumn("envelope", F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # from the end on, so that the frame grows row by row
+    back = Window.partitionBy(*by).orderBy(F.col("_place").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("_place", F.row_number().over(w)).withColumn("envelope", F.max("precision").over(back)).drop("_place")
 
 
 def average_precision(curve: DataFrame, by: list[str]) -> DataFrame:

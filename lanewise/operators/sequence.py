@@ -33,12 +33,16 @@ def cumulative(condition: Column, w: WindowSpec) -> Column:
     return F.sum(F.coalesce(condition, F.lit(False)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def interpolated(value: Column, time: Column, w: WindowSpec) -> Column:
-    """Linear interpolation of missing values between the nearest observed frames; the outer ones hold at the ends."""
+def interpolated(value: Column, time: Column, keys: list[str], order: list[str]) -> Column:
+    """Linear interpolation of missing values between the nearest observed frames; the outer ones hold at the ends.
+
+    The next observed frame is the last one seen in descending order: a frame that grows from the start is one pass, one that
+    reaches to the end would be worked out anew for every row."""
     at = F.when(value.isNotNull(), time)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back = ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     v0, t0 = F.last(value, ignorenulls=True).over(back), F.last(at, ignorenulls=True).over(back)
-    v1, t1 = F.first(value, ignorenulls=True).over(ahead), F.first(at, ignorenulls=True).over(ahead)
+    v1, t1 = F.last(value, ignorenulls=True).over(ahead), F.last(at, ignorenulls=True).over(ahead)
     return F.when(value.isNotNull(), value).when(v0.isNull(), v1).when(v1.isNull(), v0).otherwise(v0 + (v1 - v0) * (time - t0) / (t1 - t0))
 
 

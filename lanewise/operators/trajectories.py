@@ -57,9 +57,8 @@ def tracks(frames: DataFrame, observations: DataFrame) -> DataFrame:
     grid = path.join(known, "scene_id")
     seen = observations.select(*TRACK, "timestamp", "x", "y", "z", "speed", "lidar", F.lit(True).alias("observed"))
     full = grid.join(seen, [*TRACK, "timestamp"], "left").withColumn("observed", F.coalesce("observed", F.lit(False)))
-    w = s.ordered(TRACK, ["idx"])
     t = F.col("timestamp").cast("double")
-    return full.withColumns({c: s.interpolated(F.col(c), t, w) for c in ("x", "y", "z", "speed")})
+    return full.withColumns({c: s.interpolated(F.col(c), t, TRACK, ["idx"]) for c in ("x", "y", "z", "speed")})
 
 
 def distance() -> Column:

@@ -68,7 +68,7 @@ def interpolate_trajectory(spark, sf_dir):
     time = F.unix_micros(F.col("ts").cast("timestamp")) / 1000.0
     seen = F.when(F.col("event_type") == "click", F.col("value"))
     f = frames(spark, sf_dir).withColumns({"seen": seen, "t": time})
-    return f.select("scene_id", "idx", F.round(s.interpolated(F.col("seen"), F.col("t"), W), 4).alias("value"))
+    return f.select("scene_id", "idx", F.round(s.interpolated(F.col("seen"), F.col("t"), ["scene_id"], ["idx"]), 4).alias("value"))
 
 
 @query(f"{FRAMES} SELECT scene_id, idx, CAST(count(*) FILTER (WHERE value > 10) OVER (PARTITION BY scene_id ORDER BY idx) AS BIGINT) AS so_far, (count(*) FILTER (WHERE value > 10) OVER (PARTITION BY scene_id ORDER BY idx)) >= 3 AS consistent FROM frames")
