@@ -31,6 +31,11 @@ def cleaned(text: Column) -> Column:
     return F.lower(without_punctuation(text))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(" \t\n\r\f\v"))
+
+
 def file_name(text: Column) -> Column:
     """Letters, digits and ._- only."""
     return F.regexp_replace(text, r"[^\p{L}\p{N}._-]", "")
@@ -49,11 +54,11 @@ def filled(template: Column, value: Column) -> Column:
 
 def listing(response: Column, choices: Column) -> Column:
     """Items of 'number choice' listings whose text is one of the (lower-case) choices: array of number and choice."""
-    text = F.trim(F.lower(response))
+    text = stripped(F.lower(response))
     numbers = F.regexp_extract_all(text, F.lit(LISTING), F.lit(1))
     items = F.regexp_extract_all(text, F.lit(LISTING), F.lit(2))
-    low = F.transform(choices, lambda c: F.trim(F.lower(c)))
-    pairs = F.zip_with(numbers, items, lambda n, t: F.struct(F.try_to_number(n, F.lit("999999999")).cast("int").alias("number"), F.trim(t).alias("choice")))
+    low = F.transform(choices, lambda c: stripped(F.lower(c)))
+    pairs = F.zip_with(numbers, items, lambda n, t: F.struct(F.try_to_number(n, F.lit("999999999")).cast("int").alias("number"), stripped(t).alias("choice")))
     return F.when(F.size(numbers) >= 2, F.filter(pairs, lambda p: F.array_contains(low, p["choice"]))).otherwise(F.filter(pairs, lambda p: F.lit(False)))
 
 
@@ -69,8 +74,8 @@ def parsed(response: Column, choices: Column, compat: bool = True) -> Column:
     and then means the first.  ``compat``: choices keep their punctuation, no white space is cut and a listing gives the choice
     in lower case, as in the published evaluation; without it choices are cleaned like the response, which is trimmed, a choice
     that lies within the equal one doesn't spoil it, and a listing gives the choice as it is written."""
-    text = cleaned(response) if compat else F.trim(cleaned(response))
-    low = F.transform(choices, F.lower) if compat else F.transform(choices, lambda c: F.trim(cleaned(c)))
+    text = cleaned(response) if compat else stripped(cleaned(response))
+    low = F.transform(choices, F.lower) if compat else F.transform(choices, lambda c: stripped(cleaned(c)))
     place = F.array_position(low, text)
     present = F.filter(low, lambda c: F.contains(text, c))
     exact = (place > 0) & (F.size(present) == 1) if compat else place > 0

@@ -24,7 +24,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.with_frame_index(e, ["scene_id"], ["ts", "event_id"]).withColumn("y", (F.col("event_id") % 13).cast("double"))
 
 
-W = s.ordered(["scene_id"], ["idx"])
+def by_frame():
+    return s.ordered(["scene_id"], ["idx"])
 
 
 @query(f"{FRAMES} SELECT scene_id, event_id, idx FROM frames")
@@ -48,13 +49,13 @@ def ego_kinematics(spark, sf_dir):
 
 @query(f"{FRAMES} SELECT scene_id, idx, round(coalesce((value - lag(value) OVER (PARTITION BY scene_id ORDER BY idx)) / 0.1, 0.0), 6) AS rate FROM frames")
 def range_rate(spark, sf_dir):
-    return frames(spark, sf_dir).select("scene_id", "idx", F.round(s.range_rate(F.col("value"), W), 6).alias("rate"))
+    return frames(spark, sf_dir).select("scene_id", "idx", F.round(s.range_rate(F.col("value"), by_frame()), 6).alias("rate"))
 
 
 @query(f"""{FRAMES}, n AS (SELECT scene_id, idx, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM frames WINDOW w AS (PARTITION BY scene_id ORDER BY idx))
 SELECT scene_id, idx, round(CASE WHEN a IS NULL THEN (b - value) / 0.1 WHEN b IS NULL THEN (value - a) / 0.1 ELSE (b - a) / 0.2 END, 6) AS velocity FROM n""")
 def gradient_velocity(spark, sf_dir):
-    return frames(spark, sf_dir).select("scene_id", "idx", F.round(s.gradient(F.col("value"), W), 6).alias("velocity"))
+    return frames(spark, sf_dir).select("scene_id", "idx", F.round(s.gradient(F.col("value"), by_frame()), 6).alias("velocity"))
 
 
 INTERPOLATED = """, g AS (SELECT scene_id, idx, CASE WHEN event_type = 'click' THEN value END AS v, CASE WHEN event_type = 'click' THEN epoch_us(ts) / 1000.0 END AS vt, epoch_us(ts) / 1000.0 AS t FROM frames),
@@ -73,7 +74,7 @@ def interpolate_trajectory(spark, sf_dir):
 
 @query(f"{FRAMES} SELECT scene_id, idx, CAST(count(*) FILTER (WHERE value > 10) OVER (PARTITION BY scene_id ORDER BY idx) AS BIGINT) AS so_far, (count(*) FILTER (WHERE value > 10) OVER (PARTITION BY scene_id ORDER BY idx)) >= 3 AS consistent FROM frames")
 def cumulative_consistency(spark, sf_dir):
-    f = frames(spark, sf_dir).withColumn("so_far", s.cumulative(F.col("value") > 10, W))
+    f = frames(spark, sf_dir).withColumn("so_far", s.cumulative(F.col("value") > 10, by_frame()))
     return f.select("scene_id", "idx", "so_far", (F.col("so_far") >= 3).alias("consistent"))
 
 
@@ -89,7 +90,7 @@ c AS (SELECT scene_id, idx, degrees(acos(greatest(-1.0, least(1.0, round((ax * b
 SELECT scene_id, idx, round(least(a, 180 - a), 5) AS angle, CASE WHEN round(least(a, 180 - a), 5) < 20 THEN 'parallel' WHEN round(least(a, 180 - a), 5) > 70 THEN 'perpendicular' ELSE 'neither' END AS kind FROM c""")
 def motion_angle_parallel_perpendicular(spark, sf_dir):
     f = frames(spark, sf_dir)
-    lead = lambda c: F.lead(c).over(W) - F.col(c)
+    lead = lambda c: F.lead(c).over(by_frame()) - F.col(c)
     a = f.select("scene_id", "idx", F.round(s.folded_angle(F.lit(1.0), lead("y"), lead("value"), F.lit(1.0)), 5).alias("angle")).where("angle is not null")
     return a.withColumn("kind", F.when(F.col("angle") < 20, "parallel").when(F.col("angle") > 70, "perpendicular").otherwise("neither"))
 
