@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -261,7 +262,7 @@ def questions_ego_relative(spark, sf_dir):
     from ..operators import trajectories
     from .scenes import tracks
 
-    t = tracks(spark, sf_dir)
+    t = tracks(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # six consumers; a lost part is worked out again
     each = [
         ("_prompt_faster_than_ego", trajectories.faster_than_ego(t).withColumn("scenario", F.lit(None).cast("string"))),
         ("_prompt_moving_towards_ego", trajectories.moving_towards_ego(t)),
