@@ -67,8 +67,16 @@ def is_listing(items: Column) -> Column:
     return (F.size(items) >= 2) & (F.transform(items, lambda p: p["number"]) == F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1))))
 
 
-def parsed(response: Column, choices: Column, compat: bool = True) -> Column:
-    """Struct of answer (null if invalid) and parse_type (exact_matching, ranked_listing, not_parsed).
+def nearest_choice(response: Column, choices: Column, least: float) -> Column:
+    """The choice whose words are most like the response's (the first on ties); null if the similarity is below ``least``."""
+    scored = let(tokens(response), lambda words: F.transform(choices, lambda c, i: F.struct(F.round(jaccard(words, tokens(c)), 9).alias("s"), (-i).alias("i"), c.alias("c"))))
+    return let(F.array_max(scored), lambda best: F.when(best["s"] >= least, best["c"]))
+
+
+def parsed(response: Column, choices: Column, compat: bool = True, similar: float | None = None) -> Column:
+    """Struct of answer (null if invalid) and parse_type (exact_matching, ranked_listing, text_similarity, not_parsed).
+
+    ``similar``: where nothing else fits, the choice with at least this similarity of words (off by default).
 
     A response counts as a choice if, cleaned, it equals one and holds no other; as a listing if it numbers several from 1 on,
     and then means the first.  ``compat``: choices keep their punctuation, no white space is cut and a listing gives the choice
@@ -86,15 +94,27 @@ def parsed(response: Column, choices: Column, compat: bool = True) -> Column:
     return (
         F.when(exact, result(F.element_at(choices, F.nullif(place, F.lit(0)).cast("int")), "exact_matching"))
         .when((F.size(present) > 1) & is_listing(items), result(named, "ranked_listing"))
-        .otherwise(result(F.lit(None).cast("string"), "not_parsed"))
+        .otherwise(_unparsed(response, choices, similar))
     )
 
 
+def _unparsed(response: Column, choices: Column, similar: float | None) -> Column:
+    none = F.struct(F.lit(None).cast("string").alias("answer"), F.lit("not_parsed").alias("parse_type"))
+    if similar is None:
+        return none
+    return let(nearest_choice(response, choices, similar), lambda c: F.when(c.isNotNull(), F.struct(c.alias("answer"), F.lit("text_similarity").alias("parse_type"))).otherwise(none))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words between white space."""
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
+def without_stop_words(words: Column, stop: list[str]) -> Column:
+    """Distinct words that aren't stop words, in order."""
+    return F.array_except(words, F.array(*map(F.lit, stop)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if both are empty."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
@@ -202,3 +222,7 @@ def day_period(timestamp_us: Column, zone: Column) -> Column:
 
 def title(text: Column) -> Column:
     return F.initcap(F.replace(text, F.lit("_"), F.lit(" ")))
+
+
+def camera_display(name: Column) -> Column:
+    return F.lower(F.replace(name, F.lit("_"), F.lit(" ")))

@@ -30,6 +30,26 @@ def matched(truth: DataFrame, predictions: DataFrame, key: str, rank: str | None
     return joined.where(complete).drop("_there")
 
 
+def classified(rows: DataFrame, kinds: DataFrame, name: str, strict: bool = True) -> DataFrame:
+    """Rows with the columns of their kind (a constant dimension, keyed by ``name``); a name without kind raises an error, or
+    without ``strict`` its rows go (``unmapped`` has them)."""
+    if not strict:
+        return rows.join(F.broadcast(kinds), name)
+    joined = rows.join(F.broadcast(kinds.withColumn("_there", F.lit(True))), name, "left")
+    known = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("unknown question name "), F.coalesce(name, F.lit("null"))))).otherwise(F.lit(True))
+    return joined.where(known).drop("_there")
+
+
+def unmapped(rows: DataFrame, kinds: DataFrame, name: str) -> DataFrame:
+    """Names without a kind and how many rows have them."""
+    return rows.join(F.broadcast(kinds.select(name)), name, "left_anti").groupBy(name).agg(F.count("*").alias("n"))
+
+
+def weighted_mean(board: DataFrame, keys: list[str], metrics: list[str], weight: str) -> DataFrame:
+    """Means of figures by a weight column; null where the weights are 0."""
+    return board.groupBy(*keys).agg(*[F.try_divide(F.sum(F.col(m) * F.col(weight)), F.sum(weight).cast("double")).alias(m) for m in metrics])
+
+
 def confusion(rows: DataFrame, keys: list[str], truth: str = "truth", prediction: str = "prediction") -> DataFrame:
     """keys, truth, prediction, n; invalid predictions under null."""
     return rows.groupBy(*keys, truth, prediction).agg(F.count("*").alias("n"))

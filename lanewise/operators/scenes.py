@@ -117,3 +117,19 @@ def projected(objects: DataFrame, cams: DataFrame) -> DataFrame:
 
 def ranked_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+def lookup(rows: DataFrame, order: list[str], **values: object) -> DataFrame:
+    """The first row, by ``order``, whose columns have the values: an object by id, a frame by timestamp."""
+    condition = F.lit(True)
+    for name, v in values.items():
+        condition = condition & (F.col(name) == F.lit(v))
+    return rows.where(condition).orderBy(*order).limit(1)
+
+
+def mean_speed(rows: DataFrame, keys: list[str], time: str, position: tuple[str, str], seconds: float) -> DataFrame:
+    """Distance of the first and last position by the number of frames and the time of one."""
+    x, y = position
+    ends = rows.groupBy(*keys).agg(F.min_by(F.struct(x, y), time).alias("a"), F.max_by(F.struct(x, y), time).alias("b"), F.count("*").alias("n"))
+    d = F.sqrt(F.pow(F.col(f"b.{x}") - F.col(f"a.{x}"), 2) + F.pow(F.col(f"b.{y}") - F.col(f"a.{y}"), 2))
+    return ends.select(*keys, (d / (F.col("n") * seconds)).alias("mean_speed"))

@@ -294,3 +294,15 @@ def split_intersection(spark, sf_dir):
 def split_difference(spark, sf_dir):
     a, b = _slices(spark, sf_dir)
     return a.select("o_orderkey").exceptAll(b.select("o_orderkey"))
+
+
+@query(f"""{RESULTS}, a AS (SELECT model, question, count(*) FILTER (WHERE truth = prediction) / count(*) AS accuracy FROM results GROUP BY ALL)
+SELECT model, {', '.join(f"round(coalesce(max(accuracy) FILTER (WHERE question = '{q}'), 0.0), 6) AS \"{q}\"" for q in "FOP")} FROM a GROUP BY model""")
+def accuracy_heat_map(spark, sf_dir):
+    return rounded(ev.pivoted(ev.summary(results(spark, sf_dir), ["model", "question"]), "model", "question", list("FOP"), "accuracy"), *"FOP")
+
+
+@query(f"{counts_sql('model, question')}, b AS (SELECT model, question, avg(f1) AS f1, avg(recall) AS recall, sum(support) AS n FROM metrics GROUP BY ALL) SELECT model, round(sum(f1 * n) / sum(n), 6) AS f1, round(sum(recall * n) / sum(n), 6) AS recall FROM b GROUP BY model")
+def sample_weighted_leaderboard(spark, sf_dir):
+    board = ev.macro(figures(spark, sf_dir, ["model", "question"]), ["model", "question"])
+    return rounded(ev.weighted_mean(board, ["model"], ["f1", "recall"], "samples"), "f1", "recall")

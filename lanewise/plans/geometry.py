@@ -185,15 +185,25 @@ def average_precision(spark, sf_dir):
     return detection.average_precision(curve(spark, sf_dir), ["prompt"]).withColumn("ap", F.round("ap", 6))
 
 
-@query()
-def mean_average_precision(spark, sf_dir):
-    """Greedy matching at ten thresholds, AP at each, by prompt."""
+def _greedy_average(spark, sf_dir):
     truth, found = _keyed(spark, sf_dir)
     prompt = (F.col("image") % 10).alias("prompt")
     n = truth.groupBy(prompt).agg(F.count("*").alias("positives"))
     m = detection.greedy(truth, found, detection.THRESHOLDS).withColumn("prompt", F.col("image") % 10).join(n, "prompt")
     c = detection.precision_recall(m, F.col("positives"), ["prompt", "threshold"], "matched", [F.col("score").desc(), F.col("found_id")])
-    return detection.average_precision(c, ["prompt", "threshold"]).groupBy("prompt").agg(F.round(F.avg("ap"), 6).alias("mean_ap"))
+    return detection.average_precision(c, ["prompt", "threshold"])
+
+
+@query()
+def mean_average_precision(spark, sf_dir):
+    """Greedy matching at ten thresholds, AP at each, by prompt."""
+    return _greedy_average(spark, sf_dir).groupBy("prompt").agg(F.round(F.avg("ap"), 6).alias("mean_ap"))
+
+
+@query()
+def average_precision_by_threshold(spark, sf_dir):
+    """Mean over prompts at each threshold, and how many prompts found anything."""
+    return _greedy_average(spark, sf_dir).groupBy("threshold").agg(F.round(F.avg("ap"), 6).alias("mean_ap"), F.count_if(F.col("ap") > 0).alias("prompts"))
 
 
 NMS = f"""WITH RECURSIVE {BOXES[5:]}, s AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, box_id) AS r FROM boxes),

@@ -319,3 +319,14 @@ def incremental_scene_state(spark, sf_dir):
     return scene_state.object_state(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", ["value"])
 
 
+
+
+@query(f"{FRAMES}, e AS (SELECT scene_id, event_type, arg_min(value, idx) AS v0, arg_min(y, idx) AS y0, arg_max(value, idx) AS v1, arg_max(y, idx) AS y1, count(*) AS n FROM frames GROUP BY ALL) SELECT scene_id, event_type, round(sqrt((v1 - v0) * (v1 - v0) + (y1 - y0) * (y1 - y0)) / (n * 0.1), 6) AS mean_speed FROM e")
+def mean_speed(spark, sf_dir):
+    out = scenes.mean_speed(frames(spark, sf_dir), ["scene_id", "event_type"], "idx", ("value", "y"), 0.1)
+    return out.withColumn("mean_speed", F.round("mean_speed", 6))
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE user_id = 3 AND event_type = 'click' ORDER BY ts, event_id LIMIT 1")
+def object_lookup(spark, sf_dir):
+    return scenes.lookup(table(spark, sf_dir, "events"), ["ts", "event_id"], user_id=3, event_type="click").select("event_id", "user_id", "value")

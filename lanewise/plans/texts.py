@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
+from ..operators import evaluation as ev
 from ..operators import questions
 from ..sources.tables import table
 from .registry import query
@@ -174,3 +175,26 @@ def question_kind_join(spark, sf_dir):
 @query("SELECT p_partkey, regexp_replace(p_name || ' (' || p_brand || ').png', '[^\\p{L}\\p{N}._-]', '', 'g') AS file FROM part")
 def file_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tx.file_name(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(").png"))).alias("file"))
+
+
+@query("""WITH k(p_type, category) AS (VALUES ('ECONOMY', 'a'), ('PROMO', 'b')) SELECT p_type, count(*) AS n FROM part WHERE p_type NOT IN (SELECT p_type FROM k) GROUP BY p_type""")
+def unmapped_question_names(spark, sf_dir):
+    kinds = spark.createDataFrame([("ECONOMY", "a"), ("PROMO", "b")], "p_type string, category string")
+    return ev.unmapped(table(spark, sf_dir, "part"), kinds, "p_type")
+
+
+STOP = ["the", "of", "and", "to", "de", "la", "der", "die"]
+
+
+@query(f"{PAIRS} SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(q), lambda w: NOT list_contains({STOP}, w))), ' ') AS content FROM tok")
+def stop_words_removed(spark, sf_dir):
+    return pairs(spark, sf_dir).select("conv_id", "turn", F.array_join(F.array_sort(tx.without_stop_words(tx.tokens(F.col(Q)), STOP)), " ").alias("content"))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_name, list_distinct(string_split(lower(p_name), ' ')) AS w, ['red widget', 'small ring', 'blue gear'] AS choices FROM part),
+s AS (SELECT p_partkey, c.t, c.i, w, list_distinct(string_split(c.t, ' ')) AS v FROM (SELECT p_partkey, w, unnest(choices) AS t, generate_subscripts(choices, 1) AS i FROM c) c),
+j AS (SELECT p_partkey, t, i, round(len(list_intersect(w, v)) / len(list_distinct(list_concat(w, v))), 9) AS s FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY s DESC, i) AS rn FROM j)
+SELECT p_partkey, CASE WHEN s >= 0.3 THEN t END AS nearest FROM r WHERE rn = 1""")
+def nearest_choice(spark, sf_dir):
+    choices = F.array(*map(F.lit, ["red widget", "small ring", "blue gear"]))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.nearest_choice(F.col("p_name"), choices, 0.3).alias("nearest"))
