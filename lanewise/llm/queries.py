@@ -11,7 +11,7 @@ from .bpe import encode
 from .common import table
 from .language import identify
 from .near_dedup import near_duplicates
-from . import fingerprints, mixing, quality, rules, secrets
+from . import fingerprints, mixing, oracles, quality, rules, secrets
 from .repeats import without_repeats
 from .toxicity import toxicity
 
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_minhash_near_dedup": oracles.NEAR_DEDUP, "op10_suffix_array_dedup": oracles.REPEATS}
