@@ -16,10 +16,33 @@ def sample(rows: DataFrame, n: int, seed: str, *keys: str) -> DataFrame:
     return rows.orderBy(draw(seed, *keys), *keys).limit(n)
 
 
+SLICE = 3
+
+
+def running(rows: DataFrame, groups: list[str], amount: Column, seed: str, *keys: str) -> DataFrame:
+    """Adds _before: the sum of ``amount`` over the rows of the group that come earlier by md5.
+
+    Groups are cut into 4096 slices by the first digits of the md5.  Sums of slices, at most 4096 rows of each group, are added up
+    first; rows are then sorted within their slice only.  A group with most of all rows is spread like any other."""
+    marked = rows.withColumns({"_draw": draw(seed, *keys), "_amount": amount}).withColumn("_slice", F.substring("_draw", 1, SLICE))
+    sums = marked.groupBy(*groups, "_slice").agg(F.sum("_amount").alias("_sum"))
+    earlier = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*groups, "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*groups, "_slice").orderBy("_draw", *keys).rowsBetween(Window.unboundedPreceding, -1)
+    # null groups are groups, too
+    on = [F.col(f"_m.{c}").eqNullSafe(F.col(f"_b.{c}")) for c in groups] + [F.col("_m._slice") == F.col("_b._slice")]
+    joined = marked.alias("_m").join(base.alias("_b"), on).select("_m.*", "_base")
+    return joined.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_amount").over(within), F.lit(0))).drop("_draw", "_amount", "_slice", "_base")
+
+
 def stratified(rows: DataFrame, by: list[str], n: int | Column, seed: str, *keys: str) -> DataFrame:
-    """Up to n rows (a number or a column) of each stratum."""
-    w = Window.partitionBy(*by).orderBy(draw(seed, *keys), *keys)
-    return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+    """Up to n rows (a number or a column) of each stratum.
+
+    For a number the planner keeps the first n of each stratum in every task before rows are shuffled; a column goes by ``running``."""
+    if isinstance(n, int):
+        w = Window.partitionBy(*by).orderBy(draw(seed, *keys), *keys)
+        return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+    return running(rows, by, F.lit(1).cast("long"), seed, *keys).where(F.col("_before") < n).drop("_before")
 
 
 def split_by_count(rows: DataFrame, n: int, seed: str, *keys: str) -> DataFrame:
@@ -36,8 +59,7 @@ def split_by_share(rows: DataFrame, share: float, seed: str, *keys: str) -> Data
 
 def early_stop(counts: DataFrame, key: str, n: str, target: float, seed: str) -> DataFrame:
     """Scenes in md5 order until their samples reach 1.5 times the target; counts has one row for each scene."""
-    w = Window.orderBy(draw(seed, key), key).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum(n).over(w), F.lit(0))).where(F.col("before") < 1.5 * target)
+    return running(counts, [], F.col(n), seed, key).withColumnRenamed("_before", "before").where(F.col("before") < 1.5 * target)
 
 
 def negatives(observed: DataFrame, universe: DataFrame, groups: list[str], keys: list[str], seed: str, ratio: float = 0.5) -> DataFrame:
@@ -105,11 +127,9 @@ def balanced(samples: DataFrame, groups: list[str], answer: str, target: int, se
     decided = balance_metrics(counts, groups).select(*groups, ((F.col("num_choices") > 1) & should_balance(F.col("balance_score"), F.col("dominant_ratio"), F.col("min_count"), F.col("num_choices"))).alias("_balance"))
     goals = answer_targets(counts, groups, target).join(decided, groups).select(*groups, answer, "target", "_balance")
     known = rows.join(goals, [*groups, answer])
-    within = Window.partitionBy(*groups, answer).orderBy(draw(seed, *keys), *keys)
-    whole = Window.partitionBy(*groups).orderBy(draw(seed, *keys), *keys)
-    taken = known.where("_balance").withColumn("_rank", F.row_number().over(within)).where("_rank <= target")
-    rest = known.where("not _balance").withColumn("_rank", F.row_number().over(whole)).where(F.col("_rank") <= target)
-    return taken.union(rest).select(*samples.columns)
+    taken = stratified(known.where("_balance"), [*groups, answer], F.col("target"), seed, *keys)
+    rest = stratified(known.where("not _balance"), groups, target, seed, *keys)
+    return taken.select(*samples.columns).union(rest.select(*samples.columns))
 
 
 def capped_scenes(samples: DataFrame, scene: str, seed: str, *keys: str, threshold: float = 0.1) -> DataFrame:
@@ -121,7 +141,7 @@ def capped_scenes(samples: DataFrame, scene: str, seed: str, *keys: str, thresho
     m = balance_metrics(counts, []).select((F.floor(2 * F.col("total") / F.col("num_choices"))).alias("cap"), ((F.round("dominant_ratio", 9) > 0.5) | (F.round("balance_score", 9) < threshold)).alias("uneven")).first()
     if not m or not m.uneven:
         return samples
-    return stratified(some, [scene], m.cap, seed, *keys).unionByName(samples.where(F.col(scene).isNull()))
+    return stratified(some, [scene], int(m.cap), seed, *keys).unionByName(samples.where(F.col(scene).isNull()))
 
 
 def ratio_balanced(rows: DataFrame, flag: str, seed: str, *keys: str, groups: list[str] | None = None) -> DataFrame:

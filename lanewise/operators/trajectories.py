@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,5 +175,6 @@ def future_path(t: DataFrame, c: Config = DEFAULT, seed: str = "path") -> DataFr
     front = F.coalesce(ahead > c.forward, F.lit(False)) & (F.round("ego_speed", 9) > c.ego_speed)
     marked = near.join(gap, [*TRACK, "idx"]).withColumn("positive", front & ((aside <= 0.5) | (F.round("future", 9) < c.path)))
     one = marked.where("observed").groupBy(*TRACK, "positive").agg(F.min_by("idx", F.struct(draw(seed, *TRACK, "idx"), F.col("idx"))).alias("idx"))
+    one = one.persist(StorageLevel.DISK_ONLY)  # two rows for each object, read by a count, sums and the selection
     even = ratio_balanced(one, "positive", seed, *TRACK)
     return even.select(*TRACK, "idx", F.when(F.col("positive"), "yes").otherwise("no").alias("answer"))
