@@ -7,9 +7,10 @@ As a node's capacity is the sum of its leaves', splitting capped budgets from th
 one row for each domain, language and source; it is as large as the target's own description and is worked on by the driver.
 
 *Selection*.  In each epoch a leaf's documents come in the order of a hash of (seed, epoch, doc_id).  Full epochs take all of them;
-the last one takes the documents that begin within the rest of the budget.  The cut is found without sorting a leaf: documents
-are counted by leaf and the leading bits of their hash, running sums over these slices find the one that holds the cut, and
-only that slice is sorted.  A leaf with a third of all rows is thus spread over all tasks.
+the last one takes the documents that begin within the rest of the budget.  The cut is found without sorting a leaf: tokens
+are summed by leaf and the leading 16 bits of the hash; running sums, first over 256 coarse slices and then over the 256 fine
+ones of the slice that holds the cut, find the fine one, and only its documents are sorted.  A leaf with a third of all rows
+is thus spread over all tasks.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settled
+
 LEVELS = ("domain", "lang", "source")
-SLICES = 4096
+#: Leaves up to which their plan is broadcast; more of them are joined by a shuffle.
+BROADCAST_LEAVES = 50_000
 NO_VALUE = ""
 
 
@@ -45,19 +49,23 @@ def split(budget: float, weights: list[float], room: list[float]) -> list[float]
 def budgets(supply: Mapping[tuple[str, str, str], int], budget: float, weights: Mapping[tuple[str, ...], float], max_epochs: int) -> dict[tuple[str, str, str], int]:
     """Tokens for each leaf.  ``weights``: by path from the root, of any length up to 3; 1 for paths not named."""
     out: dict[tuple[str, str, str], int] = {}
-
-    def room(path: tuple[str, ...]) -> float:
-        return float(max_epochs * sum(n for leaf, n in supply.items() if leaf[: len(path)] == path))
+    room: dict[tuple[str, ...], float] = {(): 0.0}
+    below: dict[tuple[str, ...], set] = {}
+    for leaf, n in supply.items():
+        for k in range(len(leaf) + 1):
+            room[leaf[:k]] = room.get(leaf[:k], 0.0) + max_epochs * n
+            if k < len(leaf):
+                below.setdefault(leaf[:k], set()).add(leaf[: k + 1])
 
     def down(path: tuple[str, ...], amount: float) -> None:
         if len(path) == len(LEVELS):
             out[path] = round(amount)
             return
-        children = sorted({leaf[: len(path) + 1] for leaf in supply if leaf[: len(path)] == path})
-        for child, share in zip(children, split(amount, [weights.get(c, 1.0) for c in children], [room(c) for c in children]), strict=True):
+        children = sorted(below.get(path, ()))
+        for child, share in zip(children, split(amount, [weights.get(c, 1.0) for c in children], [room[c] for c in children]), strict=True):
             down(child, share)
 
-    down((), min(budget, room(())))
+    down((), min(budget, room[()]))
     return out
 
 
@@ -89,18 +97,22 @@ def mix(docs: DataFrame, domains: Mapping[str, str], weights: Mapping[tuple[str,
         return marked.withColumns({"mix_epochs": F.lit(1), "mix_budget": F.lit(0).cast("long")}).drop("mix_lang", "mix_source")
     plan = budgets(supply, share * sum(supply.values()), weights, max_epochs)
     spark = docs.sparkSession
-    # whole epochs, then what the last one takes; the leaves of the tree, broadcast as they are the target's own description
+    # whole epochs, then what the last one takes
     rows = [(*k, b, b // supply[k], b % supply[k]) for k, b in plan.items()]
-    leaves = spark.createDataFrame(rows, "mix_domain string, mix_lang string, mix_source string, mix_budget long, mix_whole long, mix_rest long")
+    small = F.broadcast if len(rows) <= BROADCAST_LEAVES else (lambda df: df)
+    named = "mix_domain string, mix_lang string, mix_source string, "
+    leaves = spark.createDataFrame(rows, named + "mix_budget long, mix_whole long, mix_rest long")
     hashed = F.xxhash64(F.lit(seed), F.col("mix_whole"), F.col("doc_id").cast("long"))
-    dealt = marked.join(F.broadcast(leaves), leaf).withColumns({"mix_hash": hashed, "mix_slice": F.shiftright(hashed, 52).cast("int")})
-    sizes = dealt.groupBy(*leaf, "mix_slice").agg(F.sum("mix_tokens").alias("n"), F.first("mix_rest").alias("rest"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*leaf).orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = sizes.withColumn("before", before).where("before < rest and before + n >= rest").select(*leaf, F.col("mix_slice").alias("mix_cut"), F.col("before").alias("mix_before"))
+    dealt = marked.join(small(leaves), leaf).withColumns({"mix_hash": hashed, "mix_slice": F.shiftright(hashed, 48).cast("int")})
+    fine = settled(dealt.groupBy(*leaf, "mix_slice").agg(F.sum("mix_tokens").alias("n"), F.first("mix_rest").alias("rest")).withColumn("coarse", F.shiftright("mix_slice", 8)))
+    so_far = lambda order: F.coalesce(F.sum("n").over(Window.partitionBy(*leaf).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    coarse = fine.groupBy(*leaf, "coarse").agg(F.sum("n").alias("n"), F.first("rest").alias("rest")).withColumn("before", so_far("coarse"))
+    coarse_cut = coarse.where("before < rest and before + n >= rest").select(*leaf, "coarse", F.col("before").alias("base"))
+    cuts = fine.join(small(coarse_cut), [*leaf, "coarse"]).withColumn("before", F.col("base") + so_far("mix_slice")).where("before < rest and before + n >= rest")
     # one row for each leaf with a rest
-    found = {(r[0], r[1], r[2]): (r[3], r[4]) for r in cuts.collect()}
+    found = {(r[0], r[1], r[2]): (r[3], r[4]) for r in cuts.select(*leaf, "mix_slice", "before").collect()}
     cut_rows = [(*k, *found.get(k, (-(1 << 30), 0))) for k in plan]
-    known = dealt.join(F.broadcast(spark.createDataFrame(cut_rows, "mix_domain string, mix_lang string, mix_source string, mix_cut int, mix_before long")), leaf)
+    known = dealt.join(small(spark.createDataFrame(cut_rows, named + "mix_cut int, mix_before long")), leaf)
     # the slice with the cut is sorted; the others only look at their slice
     columns = known.columns
     inside = known.where("mix_slice = mix_cut").withColumn("mix_order", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
