@@ -24,16 +24,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables that ``settled`` has written in this process and ``forget`` hasn't removed.
+_settled: list[str] = []
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cut lineage that survives lost executors.
 
-    Parquet instead of ``checkpoint()`` as it is compressed and read by column."""
+    Parquet instead of ``checkpoint()`` as it is compressed and read by column.  The table stays until ``forget``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, *but: DataFrame) -> int:
+    """Removes the tables that ``settled`` has written so far, except those that the named DataFrames read; returns how many.
+
+    For the caller who knows that no other DataFrame still needs them, as between the stages of a pipeline."""
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in but for f in df.inputFiles()}
+    gone = [p for p in _settled if p.rsplit("/", 1)[-1] not in kept]
+    for path in gone:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _settled.remove(path)
+    return len(gone)
+
+
 def remainder(doc_id: Column, parts: int = 4) -> Column:
     """crc32 of the id as text, modulo ``parts``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts

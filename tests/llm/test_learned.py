@@ -121,3 +121,12 @@ def test_pipeline(spark, docs):
     tokens = mixed.agg(F.sum(mixing.n_tokens(F.col("text")))).first()[0]
     assert tokens >= 0.85 * masked.agg(F.sum(mixing.n_tokens(F.col("text")))).first()[0]
     assert p.run(spark, SF).count() == encoded.count()
+
+
+def test_forget_keeps_what_is_named(spark):
+    from lanewise.llm.common import forget, settled
+
+    a, b = settled(spark.range(3)), settled(spark.range(5))
+    assert forget(spark, b) >= 1 and b.count() == 5
+    with pytest.raises(Exception, match="(?i)path|exist|FAILED_READ_FILE"):
+        a.count()
