@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.llm import bpe, mixing, near_dedup, secrets, toxicity
-from lanewise.llm.common import settled, table
+from lanewise.llm.common import forget, settled, table
 from lanewise.llm.queries import DOMAINS, WEIGHTS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -55,8 +55,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, tidy: bool = False) -> DataFrame:
+    """All stages.  ``tidy``: tables that this process has settled are removed as soon as the next stage's input is written."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = settled(stage(spark, docs, sf_dir))
+        if tidy:
+            forget(spark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
