@@ -16,8 +16,8 @@ whole sequence is the one element; without words the set is empty and the docume
    threshold go.
 5. *Exact*: full sets, built again from the texts, are intersected.
 6. *The rest*: where the members of a hub's lists still fall into several components, all members outside its largest one are
-   held against every member of another component.  They meet in blocks of about ``BLOCK`` sets, so neither pairs nor a whole
-   group are ever written out, and no link is lost.
+   held against every member of another component.  They meet in tiles of about ``BLOCK`` members and ``PROBES`` outsiders, so
+   neither pairs nor a whole group are ever written out or held by one task, and no link is lost.
 
 Every table is keyed by hashes that spread evenly; a hot group of copies is one class, a hot group of near copies is spread
 over its k runs and its blocks.
@@ -163,21 +163,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFr
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_elements", "b_elements").mapInArrow(lambda it: batches(it, PAIRS, compare), "a long, b long")
 
 
-BLOCK = 256
+BLOCK, PROBES = 256, 512
 
 
 def across_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components among the members (hub, fp, component) of the same hub."""
     sizes = members.groupBy("hub", "component").agg(F.count("*").alias("n"))
-    hubs = (
+    # cut, so that the join below has two plain sides and a hub with very many members can be split
+    hubs = settled(
         sizes.groupBy("hub")
         .agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("total"), F.count("*").alias("parts"))
         .where("parts > 1")
-        .select("hub", F.col("m.component").alias("largest"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
+        .select(
+            "hub",
+            F.col("m.component").alias("largest"),
+            F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"),
+            F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("m.n")) / PROBES).cast("int")).alias("parts"),
+        )
     )
     open_members = settled(members.join(hubs, "hub"))
-    held = open_members.select("hub", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("probe"), "fp", "component")
-    probes = open_members.where("component <> largest").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(2).alias("probe"), "fp", "component")
+    # a tile is a block of members and a part of those outside the largest component
+    dealt = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tile = F.col("i") * F.col("parts") + F.col("j")
+    held = open_members.withColumn("i", dealt("blocks")).withColumn("j", every("parts")).select("hub", tile.alias("block"), F.lit(1).alias("probe"), "fp", "component")
+    probes = open_members.where("component <> largest").withColumn("j", dealt("parts")).withColumn("i", every("blocks")).select("hub", tile.alias("block"), F.lit(2).alias("probe"), "fp", "component")
 
     def compare(it):
         at, block, index = None, [], None
