@@ -65,10 +65,12 @@ def early_stop(counts: DataFrame, key: str, n: str, target: float, seed: str) ->
 def negatives(observed: DataFrame, universe: DataFrame, groups: list[str], keys: list[str], seed: str, ratio: float = 0.5) -> DataFrame:
     """For each group as many keys that weren't observed, by md5, as make up the ratio.
 
-    The universe is a dimension of fixed size; it meets each group once, and the anti join is on all keys."""
+    The universe is a dimension of fixed size; its rows are exploded as a literal for each group, and the anti join is on all keys."""
     seen = observed.select(*groups, *keys).distinct()
     wanted = seen.groupBy(*groups).agg(F.floor(F.count("*") * ratio / (1 - ratio)).alias("_wanted"))
-    free = wanted.withColumn("_all", F.lit(1)).join(F.broadcast(universe.withColumn("_all", F.lit(1))), "_all").drop("_all").join(seen, [*groups, *keys], "left_anti")
+    kinds = dict(universe.dtypes)
+    every = F.array(*[F.struct(*[F.lit(r[k]).cast(kinds[k]).alias(k) for k in keys]) for r in universe.select(*keys).distinct().collect()])
+    free = wanted.select("*", F.explode(every).alias("_u")).select(*groups, "_wanted", "_u.*").join(seen, [*groups, *keys], "left_anti")
     w = Window.partitionBy(*groups).orderBy(draw(seed, *groups, *keys), *keys)
     return free.withColumn("_rank", F.row_number().over(w)).where("_rank <= _wanted").select(*groups, *keys)
 
