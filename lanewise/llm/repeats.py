@@ -190,10 +190,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, k: int = 64, small: int =
     marked = settled(found.join(marks, ["part", "whole"]))
     sure = marked.where("n > 1").select("doc_id", "th", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
     # a group's tuples that were all seen twice or more have no windows in doubt; single ones are compared with one of each
-    kinds = marks.groupBy("part").agg(F.count("*").alias("kinds"))
+    # cut, so that joins with it have two plain sides and a part with very many samples can be split
+    kinds = settled(marks.groupBy("part").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     one_of_each = marked.where("n > 1").groupBy("part", "whole").agg(F.min(F.struct("doc_id", "th", "first", "last")).alias("m")).select("part", "m.*")
     unsure = marked.where("n = 1").select("part", "doc_id", "th", "first", "last")
-    in_doubt = settled(unsure.union(one_of_each).join(kinds.where("kinds > 1"), "part"))
+    in_doubt = settled(unsure.union(one_of_each).join(kinds, "part"))
     rows = settled(contexts(docs, in_doubt.drop("kinds").dropDuplicates(), length))
     large = kinds.where(f"kinds > {small}").select("part")
     grouped = rows.join(large, "part", "left_anti").repartition("part").sortWithinPartitions("part").mapInArrow(lambda it: in_small_groups(it, length), "doc_id long, th long, start long, end long")
