@@ -20,9 +20,11 @@ def overlaps(truth: DataFrame, found: DataFrame, image: str = "image") -> DataFr
 
 
 def hits(truth: DataFrame, found: DataFrame, threshold: float, image: str = "image") -> DataFrame:
-    """found with hit: some truth of the image overlaps by the threshold or more.  Several boxes may hit one truth."""
-    best = overlaps(truth, found, image).groupBy("found_id").agg(F.max("iou").alias("_iou"))
-    return found.join(best.withColumnRenamed("found_id", "box_id"), "box_id", "left").withColumn("hit", F.coalesce(F.round("_iou", 9) >= threshold, F.lit(False))).drop("_iou")
+    """found with hit: some truth of the image overlaps by the threshold or more.  Several boxes may hit one truth.
+
+    Box ids need to be unique within their image only."""
+    best = overlaps(truth, found, image).groupBy(image, "found_id").agg(F.max("iou").alias("_iou"))
+    return found.join(best.withColumnRenamed("found_id", "box_id"), [image, "box_id"], "left").withColumn("hit", F.coalesce(F.round("_iou", 9) >= threshold, F.lit(False))).drop("_iou")
 
 
 def top_k_rate(scored: DataFrame, ks: list[int], image: str, order: list[Column]) -> DataFrame:

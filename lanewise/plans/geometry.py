@@ -147,17 +147,12 @@ def iou_pairs(spark, sf_dir):
     return detection.overlaps(*boxes(spark, sf_dir)).select("image", "truth_id", "found_id", F.round("iou", 6).alias("iou"))
 
 
-def _keyed(spark, sf_dir):
-    """Box ids that are unique over all images."""
-    return [x.withColumn("box_id", F.col("image") * 1000 + F.col("box_id")) for x in boxes(spark, sf_dir)]
-
-
 HIT = f"{BOXES}, best AS (SELECT image, found_id, max(iou) AS iou FROM iou GROUP BY ALL), h AS (SELECT f.image, f.box_id, f.score, coalesce(round(iou, 9) >= 0.3, false) AS hit FROM f LEFT JOIN best ON f.image = best.image AND f.box_id = found_id)"
 
 
 @query(f"{HIT}, r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, box_id) AS r FROM h), g AS (SELECT image, min(r) FILTER (WHERE hit) AS first FROM r GROUP BY image) SELECT CAST(k AS INTEGER) AS k, count(*) AS images, round(avg(CASE WHEN first <= k THEN 1.0 ELSE 0.0 END), 6) AS rate FROM g, (SELECT unnest([1, 3, 5]) AS k) GROUP BY k")
 def topk_hit_rate(spark, sf_dir):
-    h = detection.hits(*_keyed(spark, sf_dir), 0.3)
+    h = detection.hits(*boxes(spark, sf_dir), 0.3)
     return detection.top_k_rate(h, [1, 3, 5], "image", [F.col("score").desc(), F.col("box_id")]).withColumn("rate", F.round("rate", 6))
 
 
@@ -168,7 +163,7 @@ v AS (SELECT *, max(precision) OVER (PARTITION BY prompt ORDER BY score DESC, im
 
 
 def curve(spark, sf_dir):
-    truth, found = _keyed(spark, sf_dir)
+    truth, found = boxes(spark, sf_dir)
     n = truth.groupBy((F.col("image") % 100).alias("prompt")).agg(F.count("*").alias("positives"))
     h = detection.hits(truth, found, 0.3).withColumn("prompt", F.col("image") % 100).join(n, "prompt")
     return detection.precision_recall(h, F.col("positives"), ["prompt"], "hit", [F.col("score").desc(), F.col("image"), F.col("box_id")])
@@ -177,7 +172,7 @@ def curve(spark, sf_dir):
 @query(f"{CURVE} SELECT prompt, image, box_id, tp, fp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(envelope, 6) AS envelope FROM v")
 def pr_curve(spark, sf_dir):
     c = curve(spark, sf_dir)
-    return c.select("prompt", "image", (F.col("box_id") - F.col("image") * 1000).alias("box_id"), "tp", "fp", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "envelope")])
+    return c.select("prompt", "image", "box_id", "tp", "fp", *[F.round(x, 6).alias(x) for x in ("precision", "recall", "envelope")])
 
 
 @query(f"{CURVE}, s AS (SELECT prompt, r, coalesce(max(envelope) FILTER (WHERE floor(round(recall * 100, 9)) >= r), 0.0) AS p FROM v, (SELECT unnest(range(101)) AS r) GROUP BY ALL) SELECT prompt, round(sum(p) / 101, 6) AS ap FROM s GROUP BY prompt")
@@ -186,11 +181,11 @@ def average_precision(spark, sf_dir):
 
 
 def _greedy_average(spark, sf_dir):
-    truth, found = _keyed(spark, sf_dir)
+    truth, found = boxes(spark, sf_dir)
     prompt = (F.col("image") % 10).alias("prompt")
     n = truth.groupBy(prompt).agg(F.count("*").alias("positives"))
     m = detection.greedy(truth, found, detection.THRESHOLDS).withColumn("prompt", F.col("image") % 10).join(n, "prompt")
-    c = detection.precision_recall(m, F.col("positives"), ["prompt", "threshold"], "matched", [F.col("score").desc(), F.col("found_id")])
+    c = detection.precision_recall(m, F.col("positives"), ["prompt", "threshold"], "matched", [F.col("score").desc(), F.col("image"), F.col("found_id")])
     return detection.average_precision(c, ["prompt", "threshold"])
 
 

@@ -36,3 +36,13 @@ def test_matches_sql(name, spark, duck, small):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(name, spark, small):
     assert QUERIES[name](spark, small).count() > 0
+
+
+@pytest.mark.parametrize("name", ["topk_hit_rate", "pr_curve", "average_precision"])
+def test_images_of_over_1000_boxes(name, spark, small, tmp_path):
+    con = duckdb.connect()
+    lines = f"select * replace (case when l_orderkey % 3 = 0 then 1 else l_orderkey + 1 end as l_orderkey) from '{small}/lineitem.parquet'"
+    con.execute(f"copy ({lines}) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    assert con.sql("select count(*) from lineitem where l_orderkey = 1").fetchall()[0][0] > 1000
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(SQL[name]).df())
