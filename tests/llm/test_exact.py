@@ -215,6 +215,31 @@ def test_secrets(spark, docs, rows):
     assert masked[20_001].text == 'é😀 [secret] password="x" [secret] [secret]"'
 
 
+def test_secrets_of_each_alphabet(spark):
+    rng = random.Random(8)
+    word = lambda n, signs: "".join(rng.choice(signs) for _ in range(n))
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    made = {
+        "base36": lambda: word(40, low + digits),
+        "BASE36": lambda: word(40, low.upper() + digits),
+        "base32": lambda: word(40, low + "234567"),
+        "BASE32": lambda: word(40, low.upper() + "234567"),
+        "HEX": lambda: word(40, "0123456789ABCDEF"),
+        "dashed hex": lambda: "-".join(word(n, "0123456789abcdef") for n in (8, 4, 4, 4, 12)),
+        "DASHED HEX": lambda: "-".join(word(n, "0123456789ABCDEF") for n in (8, 4, 4, 4, 12)),
+        "base64": lambda: word(40, secrets.SIGNS["base64"]),
+    }
+    tokens = [(k, make()) for k, make in made.items() for _ in range(50)]
+    names = "the-number-of-words-in-this-list-12 somewhat_longer_identifier_2 docs/guide/getting-started-2024 ACCOUNT-SETTINGS-PAGE-NUMBER-7 averageofthelastweeks52".split()
+    tokens += [("name", t) for t in names]
+    df = spark.createDataFrame([(i, f"é see {t} here") for i, (_, t) in enumerate(tokens)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.report(df).collect()}
+    found = collections.Counter(k for i, (k, t) in enumerate(tokens) if got[i] == f"random:6:{6 + len(t)}")
+    assert all(found[k] >= 43 for k in made) and found["name"] == 0, found
+    masked = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
+    assert all(masked[i] == "é see [secret] here" for i in got if got[i].startswith("random:6:"))
+
+
 def test_quality_rules(docs, rows):
     got = collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rules.assessed(with_clashing_columns(docs)).collect())
     want = collections.Counter()
