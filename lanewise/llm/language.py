@@ -7,7 +7,8 @@ scoring a chunk means to look up its distinct 4-grams in that array, work out th
 document.  The language of the lowest cross-entropy per character wins.  A result is ``rejected`` if its cross-entropy lies
 above what 99.5 % of the language's calibration documents have, plus a margin for short texts.
 
-Models are fitted to a sample of about ``per_language`` documents of each language (by hash of doc_id; every fourth calibrates).
+Models are fitted to a sample of about ``per_language`` documents of each language (by hash of doc_id; every fourth calibrates
+where these are enough for a limit, else all are learnt from).
 4-grams are counted in tasks, then summed; the driver gets one number for each language and distinct 4-gram of the sample.
 """
 
@@ -28,6 +29,8 @@ from .common import bounded_batches, held_out
 
 CHUNK = 1 << 20
 BLANK = 32
+#: Calibration documents that a language's limit needs.
+LEAST = 20
 
 
 @lru_cache(1)
@@ -147,6 +150,10 @@ def fit(docs: DataFrame, per_language: int = 1500) -> Model:
     bound = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(parts, parts * per_language // n)))])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
     sample = known.where(chance < bound[F.col("lang")]).withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0)
+    # a language without enough documents for a limit, or to learn from beside them, sets none aside
+    enough = F.count_if("calibrates") >= LEAST
+    apart = [r.lang for r in sample.where(F.col("text").rlike(r"\p{L}")).groupBy("lang").agg((enough & (F.count_if(~F.col("calibrates")) > 0)).alias("apart")).where("apart").collect()]
+    sample = sample.withColumn("calibrates", F.col("calibrates") & F.col("lang").isin(apart))
 
     def count(batch):
         texts, langs = Texts(batch.column("text")), np.array(batch.column("lang").to_pylist(), object)
@@ -186,7 +193,7 @@ def fit(docs: DataFrame, per_language: int = 1500) -> Model:
     held = sample.where("calibrates").select("lang", "text").mapInArrow(lambda it: batches(it, CALIBRATION, calibrate), "lang string, entropy double, n long").toPandas()
     for k, lang in enumerate(languages):
         mine = held[(held.lang == lang) & (held.n >= 40)].entropy
-        model.limits[k] = np.quantile(mine, 0.995) + 0.1 if len(mine) >= 20 else np.inf
+        model.limits[k] = np.quantile(mine, 0.995) + 0.1 if len(mine) >= LEAST else np.inf
     return model
 
 

@@ -75,6 +75,20 @@ def test_language(docs):
     assert all(0 <= r.score <= 1 for r in by.values())
 
 
+def test_language_of_one_document(spark, docs):
+    """A language is learnt from its only document, whatever the document's hash."""
+    learnt = [r.id for r in spark.range(200_000, 200_100).where(~held_out(F.col("id"))).collect()]
+    # signs of its own for each language
+    rows = [(i, "".join(chr(0x3B1 + (k * 7 + n) % 17 if n % 6 else 32) for n in range(300)) if k == 0 else "".join(chr(0x4E00 + 100 * k + n % 50) for n in range(300)), f"l{k}") for k, i in enumerate(learnt[:24])]
+    few = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    common = docs.select("doc_id", "text", "lang").where("lang is not null")
+    model = language.fit(common.union(few), 300)
+    assert {x for _, _, x in rows} <= set(model.languages)
+    got = {r.doc_id: r.lang_pred for r in language.predict(few, model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+    assert language.fit(few, 300).languages == sorted(lang for _, _, lang in rows)
+
+
 def test_kneser_ney_is_a_distribution():
     text = "abracadabra cadabra abra " * 4
     data = np.frombuffer(text.encode(), np.uint8)
