@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as tx
-from ..schema import ATTRIBUTE_TEXT, BANDS, CHOICES, COLORS, DIRECTION_PHRASE, FACING_TEXT, HEADINGS, LABELS, MOVEMENTS, MOVING_TEXT, SCENARIO_TEXT, ZONES
+from ..schema import ATTRIBUTE_TEXT, BANDS, CHOICES, COLORS, DIRECTION_PHRASE, FACING_TEXT, HEADINGS, LABELS, MOVEMENTS, MOVING_TEXT, SCENARIO_TEXT, TRAJECTORY_TEXT, ZONES
 from . import sampling
 
 BUILDERS: dict[str, Callable[..., DataFrame]] = {}
@@ -108,17 +108,14 @@ def _bands_of(kind: Column) -> Column:
 @builder("ego_relative")
 def ego_relative(found: DataFrame, described: DataFrame, seed: str = "ego") -> DataFrame:
     """found: rows of the trajectory questions with question_name, scene_id, object_id, idx, answer, scenario (or null).
-    described: scene_id, object_id, idx, description, bbox of objects that their best camera sees whole."""
+    described: scene_id, object_id, idx, description, bbox of objects that their best camera sees whole.
+
+    A text is drawn by md5 from those of the scenario, or of the question where it has none."""
     rows = found.join(described, ["scene_id", "object_id", "idx"])
     key = F.concat_ws("|", "question_name", "scene_id", "object_id", "idx", "answer")
-    fixed = {
-        "_prompt_faster_than_ego": "Is the {} moving faster than the ego vehicle?",
-        "_prompt_approaching_stop_sign": "Is the ego vehicle approaching the {}?",
-        "_prompt_parallel_motion": "Is the {} moving parallel or perpendicular to the ego vehicle?",
-        "_prompt_vehicle_future_path": "Is the {} in the future path of the ego vehicle?",
-    }
-    scenario = F.create_map(*[x for k, v in SCENARIO_TEXT.items() for x in (F.lit(k), literal_array(v))])
-    template = F.coalesce(sampling.pick(scenario[F.col("scenario")], seed, key), case(fixed, F.col("question_name")))
+    texts = {**SCENARIO_TEXT, **TRAJECTORY_TEXT}
+    by_name = F.create_map(*[x for k, v in texts.items() for x in (F.lit(k), literal_array(v))])
+    template = sampling.pick(by_name[F.coalesce("scenario", "question_name")], seed, key)
     choices = F.when(F.col("question_name") == "_prompt_parallel_motion", literal_array(["parallel", "perpendicular"])).otherwise(literal_array(["yes", "no"]))
     return kept(rows.withColumns({"choices": choices, "question": tx.filled(template, F.col("description")), "question_id": question_id(key)}))
 

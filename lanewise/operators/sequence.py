@@ -17,15 +17,24 @@ def with_frame_index(frames: DataFrame, keys: list[str], order: list[str], name:
     return frames.withColumn(name, F.row_number().over(ordered(keys, order)) - 1)
 
 
+def backward(before: Column, value: Column, seconds: float = FRAME_SECONDS) -> Column:
+    """Change since the value before, by the fixed frame time; 0 where there is none."""
+    return F.coalesce((value - before) / seconds, F.lit(0.0))
+
+
+def central(before: Column, value: Column, after: Column, seconds: float = FRAME_SECONDS) -> Column:
+    """Central difference of neighbouring values; one-sided where one is missing, null where both are."""
+    return F.when(before.isNull(), (after - value) / seconds).when(after.isNull(), (value - before) / seconds).otherwise((after - before) / (2 * seconds))
+
+
 def range_rate(distance: Column, w: WindowSpec, seconds: float = FRAME_SECONDS) -> Column:
     """Change of a distance by the fixed frame time; 0 for the first frame."""
-    return F.coalesce((distance - F.lag(distance).over(w)) / seconds, F.lit(0.0))
+    return backward(F.lag(distance).over(w), distance, seconds)
 
 
 def gradient(value: Column, w: WindowSpec, seconds: float = FRAME_SECONDS) -> Column:
     """Central difference; one-sided at both ends; null for a single frame."""
-    before, after = F.lag(value).over(w), F.lead(value).over(w)
-    return F.when(before.isNull(), (after - value) / seconds).when(after.isNull(), (value - before) / seconds).otherwise((after - before) / (2 * seconds))
+    return central(F.lag(value).over(w), value, F.lead(value).over(w), seconds)
 
 
 def cumulative(condition: Column, w: WindowSpec) -> Column:
@@ -33,17 +42,30 @@ def cumulative(condition: Column, w: WindowSpec) -> Column:
     return F.sum(F.coalesce(condition, F.lit(False)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def interpolated(value: Column, time: Column, keys: list[str], order: list[str]) -> Column:
-    """Linear interpolation of missing values between the nearest observed frames; the outer ones hold at the ends.
+def between(value: Column, v0: Column, t0: Column, v1: Column, t1: Column, time: Column) -> Column:
+    """The value, else the straight line from (t0, v0) to (t1, v1) at ``time``; the one that is there if the other isn't."""
+    return F.when(value.isNotNull(), value).when(v0.isNull(), v1).when(v1.isNull(), v0).otherwise(v0 + (v1 - v0) * (time - t0) / (t1 - t0))
 
-    The next observed frame is the last one seen in descending order: a frame that grows from the start is one pass, one that
-    reaches to the end would be worked out anew for every row."""
-    at = F.when(value.isNotNull(), time)
+
+def around(keys: list[str], order: list[str]) -> tuple[WindowSpec, WindowSpec]:
+    """All rows up to this one, in ascending and in descending order: a frame that grows from the start is one pass, one that reaches
+    to the end would be worked out anew for every row."""
     back = ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    v0, t0 = F.last(value, ignorenulls=True).over(back), F.last(at, ignorenulls=True).over(back)
-    v1, t1 = F.last(value, ignorenulls=True).over(ahead), F.last(at, ignorenulls=True).over(ahead)
-    return F.when(value.isNotNull(), value).when(v0.isNull(), v1).when(v1.isNull(), v0).otherwise(v0 + (v1 - v0) * (time - t0) / (t1 - t0))
+    return back, Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def interpolated(value: Column, time: Column, keys: list[str], order: list[str]) -> Column:
+    """Linear interpolation of missing values between the nearest observed frames; the outer ones hold at the ends."""
+    at = F.when(value.isNotNull(), F.struct(value.alias("v"), time.alias("t")))
+    v0, v1 = (F.last(at, ignorenulls=True).over(w) for w in around(keys, order))
+    return between(value, v0["v"], v0["t"], v1["v"], v1["t"], time)
+
+
+def filled_in(rows: DataFrame, columns: list[str], time: Column, keys: list[str], order: list[str]) -> DataFrame:
+    """rows with each of the columns interpolated; they are missing together, so the observed rows on both sides are found once."""
+    there = F.when(F.col(columns[0]).isNotNull(), F.struct(*columns, time.alias("_t")))
+    sides = rows.withColumns({n: F.last(there, ignorenulls=True).over(w) for n, w in zip(("_b", "_a"), around(keys, order), strict=True)})
+    return sides.withColumns({c: between(F.col(c), F.col("_b")[c], F.col("_b._t"), F.col("_a")[c], F.col("_a._t"), time) for c in columns}).drop("_b", "_a")
 
 
 def ego_motion(frames: DataFrame, keys: list[str], order: list[str], position: tuple[str, str, str]) -> DataFrame:
@@ -70,17 +92,20 @@ def previous_pairs(frames: DataFrame, keys: list[str], idx: str = "idx") -> Data
     return frames.withColumn("current_idx", current).withColumn("previous_idx", F.greatest(F.col("current_idx") - 1, F.lit(0)))
 
 
-def suffix_minimum(points: DataFrame, path: DataFrame, key: str, idx: str, distance: Column) -> DataFrame:
-    """For each point (alias a) the least distance to the path's positions (alias b) at the same frame or later.
+def suffix_minimum(points: DataFrame, path: DataFrame, key: str, idx: str, at: tuple[str, ...], along: tuple[str, ...], name: str = "min_distance") -> DataFrame:
+    """points with the least distance from ``at`` to the path's positions ``along`` at the same frame or later; points without one go.
 
-    A join on the scene with idx as a residual condition, aggregated at once; frames of a scene are few by nature."""
-    joined = points.alias("a").join(path.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"b.{idx}") >= F.col(f"a.{idx}")))
-    return joined.groupBy(F.col(f"a.{key}").alias(key), F.col(f"a.{idx}").alias(idx)).agg(F.min(distance).alias("min_distance"))
+    A scene's path is one array, ordered from its end, so each point looks at its leading part; no pair of rows is made."""
+    whole = path.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(idx, *along)), asc=False).alias("_path"))
+    squares = lambda p: sum((F.pow(F.col(a) - p[b], F.lit(2.0)) for a, b in zip(at[1:], along[1:], strict=True)), F.pow(F.col(at[0]) - p[along[0]], F.lit(2.0)))
+    least = F.array_min(F.transform(F.filter("_path", lambda p: p[idx] >= F.col(idx)), squares))
+    return points.join(whole, key).withColumn(name, F.sqrt(least)).drop("_path").where(F.col(name).isNotNull())
 
 
-def folded_angle(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Angle of two plane vectors in degrees, 0 to 90; null where one is shorter than 0.01."""
-    na, nb = F.sqrt(ax * ax + ay * ay), F.sqrt(bx * bx + by * by)
-    cos = F.try_divide(ax * bx + ay * by, na * nb)
+def folded_angle(a: list[Column], b: list[Column]) -> Column:
+    """Angle of two vectors in degrees, 0 to 90; null where one is shorter than 0.01."""
+    dots = lambda p, q: sum((x * y for x, y in zip(p[1:], q[1:], strict=True)), p[0] * q[0])
+    na, nb = F.sqrt(dots(a, a)), F.sqrt(dots(b, b))
+    cos = F.try_divide(dots(a, b), na * nb)
     angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(cos, 12)))))
     return F.when((na >= 0.01) & (nb >= 0.01), F.least(angle, 180 - angle))

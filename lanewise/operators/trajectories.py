@@ -1,21 +1,21 @@
 """Trajectories of a scene's objects against the ego path, and the five questions asked of them.
 
 ``tracks`` is the common substrate, a row for each object and frame: scene_id, object_id, kind (display type), label, idx, n
-(frames of the scene), x, y, z, speed, observed, ex, ey, ez, ego_speed, ux, uy, uz, lidar.  Every question is a filter and an aggregation on it.
+(frames of the scene), x, y, z, speed, observed, ex, ey, ez, ego_speed, ux, uy, uz, lx, ly, lz (the pose's lateral axis), lidar.
+Every question is a filter and an aggregation on it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import norm
 from ..schema import APPROACH_BOUNDS
 from . import sequence as s
-from .sampling import draw, ratio_balanced
+from .sampling import draw
 
 
 @dataclass(frozen=True)
@@ -45,21 +45,24 @@ class Config:
 
 DEFAULT = Config()
 TRACK = ["scene_id", "object_id"]
+#: Kinds that are asked how they move.
+MOVERS = ("Vehicle", "Pedestrian", "Cyclist")
 
 
 def tracks(frames: DataFrame, observations: DataFrame) -> DataFrame:
-    """frames: scene_id, timestamp, ex, ey, ez.  observations: scene_id, timestamp, object_id, kind, label, x, y, z, speed, lidar.
+    """frames: scene_id, timestamp, ex, ey, ez, lx, ly, lz (ego position and lateral axis, the last and the second column of its pose).
+    observations: scene_id, timestamp, object_id, kind, label, x, y, z, speed, lidar.
 
     Scenes with fewer than three frames are left out.  An object gets a row for every frame of its scene; positions and speed
-    between its observations are interpolated.  kind and label are those of its last observation."""
+    between its observations are interpolated.  An unknown speed is 0; an observation without a position fills nothing in.
+    kind and label are those of its last observation."""
     path = s.ego_motion(s.with_frame_index(frames, ["scene_id"], ["timestamp"]), ["scene_id"], ["timestamp"], ("ex", "ey", "ez"))
     path = path.withColumn("n", F.count("*").over(Window.partitionBy("scene_id"))).where("n >= 3")
     known = observations.groupBy(*TRACK).agg(F.max_by(F.struct("kind", "label"), "timestamp").alias("a")).select(*TRACK, "a.*")
     grid = path.join(known, "scene_id")
-    seen = observations.select(*TRACK, "timestamp", "x", "y", "z", "speed", "lidar", F.lit(True).alias("observed"))
+    seen = observations.select(*TRACK, "timestamp", "x", "y", "z", F.coalesce("speed", F.lit(0.0)).alias("speed"), "lidar", F.lit(True).alias("observed"))
     full = grid.join(seen, [*TRACK, "timestamp"], "left").withColumn("observed", F.coalesce("observed", F.lit(False)))
-    t = F.col("timestamp").cast("double")
-    return full.withColumns({c: s.interpolated(F.col(c), t, TRACK, ["idx"]) for c in ("x", "y", "z", "speed")})
+    return s.filled_in(full, ["x", "y", "z", "speed"], F.col("timestamp").cast("double"), TRACK, ["idx"])
 
 
 def distance() -> Column:
@@ -67,12 +70,13 @@ def distance() -> Column:
 
 
 def faster_than_ego(t: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """scene_id, object_id, idx, answer: 'yes' at the frame of the largest ratio, 'no' at that of the largest inverse.
+    """scene_id, object_id, idx, answer: 'yes' at the frame of the largest ratio, 'no' at that of the largest inverse; of vehicles,
+    pedestrians and cyclists.
 
     A frame in which the object isn't observed gives no row; if that is the 'yes' frame there is no 'no' row either."""
     ratio = F.round(F.col("speed") / (F.col("ego_speed") + 1e-6), 9)
     inverse = F.round(F.col("ego_speed") / (F.col("speed") + 1e-6), 9)
-    near = t.withColumn("near", F.round(distance(), 9) < c.near)
+    near = t.where(F.col("kind").isin(*MOVERS)).withColumn("near", F.round(distance(), 9) < c.near)
     yes = near.withColumn("hit", F.col("near") & (ratio > c.ratio) & (F.col("speed") > c.moving))
     no = F.col("near") & (ratio <= c.ratio)
     both = yes.withColumns({"_no": no, "_ys": F.when(F.col("hit"), ratio).otherwise(0.0), "_ns": F.when(no, inverse).otherwise(0.0)})
@@ -90,14 +94,17 @@ def faster_than_ego(t: DataFrame, c: Config = DEFAULT) -> DataFrame:
 def relative_motion(t: DataFrame) -> DataFrame:
     """Adds d, rate, c (convergence), ho and he (headings of object and ego towards each other)."""
     w = s.ordered(TRACK, ["idx"])
-    d = t.withColumn("d", distance())
-    v = d.withColumns({f"v{a}": s.gradient(F.col(a), w) for a in "xyz"} | {f"w{a}": s.gradient(F.col(f"e{a}"), w) for a in "xyz"} | {"rate": s.range_rate(F.col("d"), w)})
-    vo, ve = [F.col(f"v{a}") for a in "xyz"], [F.col(f"w{a}") for a in "xyz"]
+    series = ["d", "x", "y", "z", "ex", "ey", "ez"]
+    # the rows before and after as one struct each
+    v = t.withColumn("d", distance()).withColumns({"_b": F.lag(F.struct(*series)).over(w), "_a": F.lead(F.struct(*series)).over(w)})
+    rate = lambda k: s.central(F.col("_b")[k], F.col(k), F.col("_a")[k])
+    v = v.withColumns({f"v{k}": rate(k) for k in series[1:]} | {"rate": s.backward(F.col("_b.d"), F.col("d"))})
+    vo, ve = [F.col(f"v{a}") for a in "xyz"], [F.col(f"ve{a}") for a in "xyz"]
     to_ego = [F.col(f"e{a}") - F.col(a) for a in "xyz"]
     unit = lambda p: [x / (norm(*p) + 1e-8) for x in p]
     dots = lambda p, q: sum((x * y for x, y in zip(p[1:], q[1:], strict=True)), p[0] * q[0])
     rel, to_object = [a - b for a, b in zip(vo, ve, strict=True)], [-x for x in to_ego]
-    return v.withColumns({"c": dots(unit(rel), unit(to_ego)), "ho": dots(unit(vo), unit(to_ego)), "he": dots(unit(ve), unit(to_object))}).drop(*[f"{p}{a}" for p in "vw" for a in "xyz"])
+    return v.withColumns({"c": dots(unit(rel), unit(to_ego)), "ho": dots(unit(vo), unit(to_ego)), "he": dots(unit(ve), unit(to_object))}).drop("_b", "_a", *[f"v{k}" for k in series[1:]])
 
 
 def moving_towards_ego(t: DataFrame, c: Config = DEFAULT) -> DataFrame:
@@ -126,10 +133,12 @@ def moving_towards_ego(t: DataFrame, c: Config = DEFAULT) -> DataFrame:
 
 
 def parallel_motion(t: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """scene_id, object_id, idx, answer ('parallel', 'perpendicular'), confidence: the surest observed frame of each."""
+    """scene_id, object_id, idx, answer ('parallel', 'perpendicular'), confidence: the surest observed frame of each vehicle, pedestrian
+    and cyclist, by the angle in space between its motion to the next frame and the ego's."""
     w = s.ordered(TRACK, ["idx"])
-    step = lambda k: F.lead(k).over(w) - F.col(k)
-    a = t.withColumn("angle", F.round(s.folded_angle(step("ex"), step("ey"), step("x"), step("y")), 9))
+    movers = t.where(F.col("kind").isin(*MOVERS)).withColumn("_a", F.lead(F.struct("x", "y", "z", "ex", "ey", "ez")).over(w))
+    step = lambda *names: [F.col("_a")[k] - F.col(k) for k in names]
+    a = movers.withColumn("angle", F.round(s.folded_angle(step("ex", "ey", "ez"), step("x", "y", "z")), 9))
     use = a.where((F.round(distance(), 9) < c.near) & (F.col("speed") > 2) & (F.round("ego_speed", 9) > 2) & (F.col("idx") < F.col("n") - 1) & F.col("angle").isNotNull() & F.col("observed") & F.col("label").isNotNull())
     answer = F.when(F.col("angle") < c.parallel, "parallel").when(F.col("angle") > c.perpendicular, "perpendicular")
     sure = F.when(F.col("angle") < c.parallel, (c.parallel - F.col("angle")) / c.parallel).otherwise((F.col("angle") - c.perpendicular) / 20)
@@ -152,29 +161,31 @@ def approaching_stop_sign(t: DataFrame, c: Config = DEFAULT, facing: Column | No
 
 
 def frames_without_sign(frames: DataFrame, t: DataFrame, near: float = 30.0) -> DataFrame:
-    """Frames (scene_id, idx) with no stop sign within reach."""
-    with_sign = t.where("label = 'Stop Sign' and observed").where(F.round(distance(), 9) < near).select("scene_id", "idx").distinct()
+    """Frames (scene_id, idx) with no sign of any kind within reach of its track."""
+    with_sign = t.where("kind = 'Sign'").where(F.round(distance(), 9) < near).select("scene_id", "idx").distinct()
     return frames.select("scene_id", "idx").join(with_sign, ["scene_id", "idx"], "left_anti")
 
 
 def future_path(t: DataFrame, c: Config = DEFAULT, seed: str = "path") -> DataFrame:
-    """scene_id, object_id, idx, answer: vehicles in the lane ahead or close to where the ego will be, and others; one frame of each
-    kind for an object, and as many of one kind as of the other.
+    """scene_id, object_id, idx, answer: vehicles ahead that are in the ego's lane or come close to where it will be, and others; one
+    frame of each kind for an object, and in each scene as many of one kind as of the other.
 
-    The lane runs along the ego's direction, half a metre to each side.  Future distance is the least one from the object's place to the ego's later positions."""
-    v = t.where("kind = 'Vehicle'").withColumn("d", distance())
+    Ahead: more than ``forward`` metres along the ego's direction.  The lane is as wide as the pose's lateral axis, half of it to each
+    side of the ego.  Future distance is the least one, in the plane, from the vehicle's place to the ego's later positions."""
+    v = t.where("kind = 'Vehicle'").where(F.round(distance(), 9) < c.near)
     ego = t.select("scene_id", "idx", "ex", "ey").distinct()
-    near = v.where(F.round("d", 9) < c.near)
-    later = near.alias("a").join(ego.alias("b"), (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("b.idx") >= F.col("a.idx")))
-    gap = later.groupBy(F.col("a.scene_id").alias("scene_id"), F.col("a.object_id").alias("object_id"), F.col("a.idx").alias("idx")).agg(
-        F.min(norm(F.col("a.x") - F.col("b.ex"), F.col("a.y") - F.col("b.ey"))).alias("future")
-    )
-    dx, dy = F.col("x") - F.col("ex"), F.col("y") - F.col("ey")
-    ahead = F.round(F.try_divide(dx * F.col("ux") + dy * F.col("uy"), norm(dx, dy)), 9)
-    aside = F.round(F.abs(dx * F.col("uy") - dy * F.col("ux")), 9)
-    front = F.coalesce(ahead > c.forward, F.lit(False)) & (F.round("ego_speed", 9) > c.ego_speed)
-    marked = near.join(gap, [*TRACK, "idx"]).withColumn("positive", front & ((aside <= 0.5) | (F.round("future", 9) < c.path)))
+    near = s.suffix_minimum(v, ego, "scene_id", "idx", ("x", "y"), ("ex", "ey"), "future")
+    rel = [F.col(a) - F.col(f"e{a}") for a in "xyz"]
+    dots = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
+    ego_way, side = [F.col(f"u{a}") for a in "xyz"], [F.col(f"l{a}") for a in "xyz"]
+    ahead = F.round(dots(rel, ego_way) / (norm(*ego_way) + 1e-6), 9) > c.forward
+    # 0 at the right edge of the lane, 1 at the left one
+    across = F.round(F.try_divide(dots(rel, side), dots(side, side)) + 0.5, 9)
+    in_lane = F.coalesce((dots(side, side) > 1e-8) & across.between(0, 1), F.lit(False))
+    marked = near.withColumn("positive", ahead & (F.round("ego_speed", 9) > c.ego_speed) & (in_lane | (F.round("future", 9) < c.path)))
     one = marked.where("observed").groupBy(*TRACK, "positive").agg(F.min_by("idx", F.struct(draw(seed, *TRACK, "idx"), F.col("idx"))).alias("idx"))
-    one = one.persist(StorageLevel.DISK_ONLY)  # two rows for each object, read by a count, sums and the selection
-    even = ratio_balanced(one, "positive", seed, *TRACK)
-    return even.select(*TRACK, "idx", F.when(F.col("positive"), "yes").otherwise("no").alias("answer"))
+    # two rows for each object; a scene has few objects
+    rank = F.row_number().over(Window.partitionBy("scene_id", "positive").orderBy(draw(seed, *TRACK), "object_id"))
+    scene = Window.partitionBy("scene_id")
+    even = one.withColumns({"_r": rank, "_n": F.least(F.count_if("positive").over(scene), F.count_if(~F.col("positive")).over(scene))})
+    return even.where("_r <= _n").select(*TRACK, "idx", F.when(F.col("positive"), "yes").otherwise("no").alias("answer"))

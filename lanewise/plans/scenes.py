@@ -81,8 +81,8 @@ def cumulative_consistency(spark, sf_dir):
 @query(f"{FRAMES} SELECT a.scene_id, a.idx, round(min(sqrt((a.value - b.idx) * (a.value - b.idx) + (a.y - b.y) * (a.y - b.y))), 6) AS min_distance FROM frames a JOIN frames b ON a.scene_id = b.scene_id AND b.idx >= a.idx GROUP BY a.scene_id, a.idx")
 def suffix_min_distance(spark, sf_dir):
     f = frames(spark, sf_dir).select("scene_id", "idx", "value", "y")
-    d = F.sqrt((F.col("a.value") - F.col("b.idx")) * (F.col("a.value") - F.col("b.idx")) + (F.col("a.y") - F.col("b.y")) * (F.col("a.y") - F.col("b.y")))
-    return s.suffix_minimum(f, f, "scene_id", "idx", d).withColumn("min_distance", F.round("min_distance", 6))
+    path = f.select("scene_id", "idx", F.col("idx").cast("double").alias("px"), F.col("y").alias("py"))
+    return s.suffix_minimum(f, path, "scene_id", "idx", ("value", "y"), ("px", "py")).select("scene_id", "idx", F.round("min_distance", 6).alias("min_distance"))
 
 
 @query(f"""{FRAMES}, v AS (SELECT scene_id, idx, 1.0 AS ax, lead(y) OVER w - y AS ay, lead(value) OVER w - value AS bx, 1.0 AS by_ FROM frames WINDOW w AS (PARTITION BY scene_id ORDER BY idx)),
@@ -91,11 +91,12 @@ SELECT scene_id, idx, round(least(a, 180 - a), 5) AS angle, CASE WHEN round(leas
 def motion_angle_parallel_perpendicular(spark, sf_dir):
     f = frames(spark, sf_dir)
     lead = lambda c: F.lead(c).over(by_frame()) - F.col(c)
-    a = f.select("scene_id", "idx", F.round(s.folded_angle(F.lit(1.0), lead("y"), lead("value"), F.lit(1.0)), 5).alias("angle")).where("angle is not null")
+    a = f.select("scene_id", "idx", F.round(s.folded_angle([F.lit(1.0), lead("y")], [lead("value"), F.lit(1.0)]), 5).alias("angle")).where("angle is not null")
     return a.withColumn("kind", F.when(F.col("angle") < 20, "parallel").when(F.col("angle") > 70, "perpendicular").otherwise("neither"))
 
 
-# trajectory questions: frames at whole seconds, the ego moves 1 along x a frame, an object stands at (value, event_id % 7)
+# trajectory questions: frames at whole seconds, the ego moves 1 along x a frame, an object stands at (value, event_id % 7), the lateral axis is
+# (event_id % 5 / 4 - 0.5, 1)
 KINDS = {"click": "Vehicle", "view": "Pedestrian", "purchase": "Cyclist", "error": "Sign", "scroll": "Vehicle"}
 
 
@@ -107,14 +108,14 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "scene_id", "timestamp", F.col("event_type").alias("object_id"), kind.alias("kind"), label.alias("label"), F.col("value").alias("x"), (F.col("event_id") % 7).cast("double").alias("y"),
         F.lit(0.0).alias("z"), (F.col("value") / 4).alias("speed"), F.lit(20).alias("lidar"),
     )
-    path = f.select("scene_id", "timestamp", F.col("idx").cast("double").alias("ex"), (F.col("y") / 13).alias("ey"), F.lit(0.0).alias("ez"))
+    path = f.select("scene_id", "timestamp", F.col("idx").cast("double").alias("ex"), (F.col("y") / 13).alias("ey"), F.lit(0.0).alias("ez"), ((F.col("event_id") % 5) / 4 - 0.5).alias("lx"), F.lit(1.0).alias("ly"), F.lit(0.0).alias("lz"))
     return trajectories.tracks(path, seen)
 
 
 TRACKS = f"""{FRAMES}, kinds AS (SELECT *, CASE event_type WHEN 'view' THEN 'Pedestrian' WHEN 'purchase' THEN 'Cyclist' WHEN 'error' THEN 'Sign' ELSE 'Vehicle' END AS kind FROM frames),
-p0 AS (SELECT scene_id, idx, 1.0 * idx AS ex, y / 13 AS ey, count(*) OVER (PARTITION BY scene_id) AS n FROM frames),
+p0 AS (SELECT scene_id, idx, 1.0 * idx AS ex, y / 13 AS ey, CAST(event_id % 5 AS DOUBLE) / 4 - 0.5 AS lx, CAST(1.0 AS DOUBLE) AS ly, count(*) OVER (PARTITION BY scene_id) AS n FROM frames),
 p1 AS (SELECT *, coalesce(ex - lag(ex) OVER w, 0.0) AS dx, coalesce(ey - lag(ey) OVER w, 0.0) AS dy FROM p0 WINDOW w AS (PARTITION BY scene_id ORDER BY idx)),
-path AS (SELECT scene_id, idx, n, ex, ey, sqrt(dx * dx + dy * dy) / 0.1 AS ego_speed, CASE WHEN sqrt(dx * dx + dy * dy) > 1e-6 THEN dx / sqrt(dx * dx + dy * dy) ELSE 0.0 END AS ux,
+path AS (SELECT scene_id, idx, n, ex, ey, lx, ly, sqrt(dx * dx + dy * dy) / 0.1 AS ego_speed, CASE WHEN sqrt(dx * dx + dy * dy) > 1e-6 THEN dx / sqrt(dx * dx + dy * dy) ELSE 0.0 END AS ux,
   CASE WHEN sqrt(dx * dx + dy * dy) > 1e-6 THEN dy / sqrt(dx * dx + dy * dy) ELSE 0.0 END AS uy FROM p1 WHERE n >= 3),
 objects AS (SELECT DISTINCT scene_id, event_type AS object_id, kind FROM kinds),
 t0 AS (SELECT p.*, o.object_id, o.kind, k.value AS sx, CAST(k.event_id % 7 AS DOUBLE) AS sy, k.value / 4 AS ss, CASE WHEN k.idx IS NOT NULL THEN 1.0 * k.idx END AS st FROM path p JOIN objects o ON p.scene_id = o.scene_id
@@ -122,7 +123,7 @@ t0 AS (SELECT p.*, o.object_id, o.kind, k.value AS sx, CAST(k.event_id % 7 AS DO
 t1 AS (SELECT *, last_value(st IGNORE NULLS) OVER b AS a0, first_value(st IGNORE NULLS) OVER a AS a1, last_value(sx IGNORE NULLS) OVER b AS x0, first_value(sx IGNORE NULLS) OVER a AS x1,
   last_value(sy IGNORE NULLS) OVER b AS y0, first_value(sy IGNORE NULLS) OVER a AS y1, last_value(ss IGNORE NULLS) OVER b AS s0, first_value(ss IGNORE NULLS) OVER a AS s1 FROM t0
   WINDOW b AS (PARTITION BY scene_id, object_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY scene_id, object_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-t AS (SELECT scene_id, object_id, kind, CASE WHEN kind = 'Sign' THEN 'Stop Sign' ELSE 'a ' || lower(kind) END AS label, idx, n, ex, ey, ego_speed, ux, uy, sx IS NOT NULL AS observed,
+t AS (SELECT scene_id, object_id, kind, CASE WHEN kind = 'Sign' THEN 'Stop Sign' ELSE 'a ' || lower(kind) END AS label, idx, n, ex, ey, lx, ly, ego_speed, ux, uy, sx IS NOT NULL AS observed,
   {', '.join(f"CASE WHEN s{c} IS NOT NULL THEN s{c} WHEN {c}0 IS NULL THEN {c}1 WHEN {c}1 IS NULL THEN {c}0 ELSE {c}0 + ({c}1 - {c}0) * (idx - a0) / (a1 - a0) END AS {n}" for c, n in (("x", "x"), ("y", "y"), ("s", "speed")))} FROM t1),
 d AS (SELECT *, sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey)) AS dist FROM t)"""
 
@@ -132,7 +133,7 @@ def trajectory_substrate(spark, sf_dir):
     return tracks(spark, sf_dir).select("scene_id", "object_id", "idx", "observed", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("x", "y", "speed", "ego_speed")])
 
 
-@query(f"""{TRACKS}, f AS (SELECT *, round(dist, 9) < 30 AS near, round(speed / (ego_speed + 1e-6), 9) AS r, round(ego_speed / (speed + 1e-6), 9) AS inv FROM d),
+@query(f"""{TRACKS}, f AS (SELECT *, round(dist, 9) < 30 AS near, round(speed / (ego_speed + 1e-6), 9) AS r, round(ego_speed / (speed + 1e-6), 9) AS inv FROM d WHERE kind IN ('Vehicle', 'Pedestrian', 'Cyclist')),
 g AS (SELECT *, near AND r > 1.5 AND speed > 2.8 AS ys, near AND r <= 1.5 AS ns FROM f),
 b AS (SELECT *, row_number() OVER (PARTITION BY scene_id, object_id ORDER BY CASE WHEN ys THEN r ELSE 0.0 END DESC, idx) AS yr, row_number() OVER (PARTITION BY scene_id, object_id ORDER BY CASE WHEN ns THEN inv ELSE 0.0 END DESC, idx) AS nr FROM g),
 o AS (SELECT scene_id, object_id, bool_or(ys) AS ay, bool_or(ns) AS an, max(idx) FILTER (WHERE yr = 1) AS yi, bool_or(observed) FILTER (WHERE yr = 1) AS yo, max(idx) FILTER (WHERE nr = 1) AS ni, bool_or(observed) FILTER (WHERE nr = 1) AS no_ FROM b GROUP BY ALL)
@@ -169,7 +170,7 @@ def moving_towards_ego(spark, sf_dir):
     return trajectories.moving_towards_ego(tracks(spark, sf_dir))
 
 
-@query(f"""{TRACKS}, v AS (SELECT *, lead(ex) OVER w - ex AS ax, lead(ey) OVER w - ey AS ay, lead(x) OVER w - x AS bx, lead(y) OVER w - y AS by_ FROM d WINDOW w AS (PARTITION BY scene_id, object_id ORDER BY idx)),
+@query(f"""{TRACKS}, v AS (SELECT *, lead(ex) OVER w - ex AS ax, lead(ey) OVER w - ey AS ay, lead(x) OVER w - x AS bx, lead(y) OVER w - y AS by_ FROM d WHERE kind IN ('Vehicle', 'Pedestrian', 'Cyclist') WINDOW w AS (PARTITION BY scene_id, object_id ORDER BY idx)),
 c AS (SELECT *, degrees(acos(greatest(-1.0, least(1.0, round((ax * bx + ay * by_) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + by_ * by_)), 12))))) AS a0 FROM v
   WHERE round(dist, 9) < 30 AND speed > 2 AND round(ego_speed, 9) > 2 AND idx < n - 1 AND observed AND sqrt(ax * ax + ay * ay) >= 0.01 AND sqrt(bx * bx + by_ * by_) >= 0.01),
 e AS (SELECT *, round(least(a0, 180 - a0), 9) AS a FROM c),
@@ -187,7 +188,7 @@ def approaching_stop_sign(spark, sf_dir):
     return trajectories.approaching_stop_sign(tracks(spark, sf_dir))
 
 
-@query(f"{TRACKS} SELECT scene_id, idx FROM path EXCEPT SELECT scene_id, idx FROM d WHERE label = 'Stop Sign' AND observed AND round(dist, 9) < 30")
+@query(f"{TRACKS} SELECT scene_id, idx FROM path EXCEPT SELECT scene_id, idx FROM d WHERE kind = 'Sign' AND round(dist, 9) < 30")
 def frames_without_sign(spark, sf_dir):
     t = tracks(spark, sf_dir)
     return trajectories.frames_without_sign(t.select("scene_id", "idx").distinct(), t)
@@ -195,10 +196,10 @@ def frames_without_sign(spark, sf_dir):
 
 @query(f"""{TRACKS}, v AS (SELECT * FROM d WHERE kind = 'Vehicle' AND round(dist, 9) < 30),
 g AS (SELECT v.scene_id, v.object_id, v.idx, min(sqrt((v.x - p.ex) * (v.x - p.ex) + (v.y - p.ey) * (v.y - p.ey))) AS future FROM v JOIN path p ON v.scene_id = p.scene_id AND p.idx >= v.idx GROUP BY ALL),
-m AS (SELECT v.scene_id, v.object_id, v.idx, v.observed, coalesce(round(((x - ex) * ux + (y - ey) * uy) / nullif(sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey)), 0), 9) > 0.3, false) AND round(ego_speed, 9) > 5
-  AND (round(abs((x - ex) * uy - (y - ey) * ux), 9) <= 0.5 OR round(future, 9) < 5) AS positive FROM v JOIN g ON v.scene_id = g.scene_id AND v.object_id = g.object_id AND v.idx = g.idx),
+m AS (SELECT v.scene_id, v.object_id, v.idx, v.observed, round(((x - ex) * ux + (y - ey) * uy) / (sqrt(ux * ux + uy * uy) + 1e-6), 9) > 0.3 AND round(ego_speed, 9) > 5
+  AND (round(((x - ex) * lx + (y - ey) * ly) / (lx * lx + ly * ly) + 0.5, 9) BETWEEN 0 AND 1 OR round(future, 9) < 5) AS positive FROM v JOIN g ON v.scene_id = g.scene_id AND v.object_id = g.object_id AND v.idx = g.idx),
 o AS (SELECT *, row_number() OVER (PARTITION BY scene_id, object_id, positive ORDER BY md5('path|' || scene_id || '|' || object_id || '|' || idx), idx) AS rn FROM m WHERE observed),
-e AS (SELECT *, row_number() OVER (PARTITION BY positive ORDER BY md5('path|' || scene_id || '|' || object_id), scene_id, object_id) AS r2, least(count(*) FILTER (WHERE positive) OVER (), count(*) FILTER (WHERE NOT positive) OVER ()) AS cap FROM o WHERE rn = 1)
+e AS (SELECT *, row_number() OVER (PARTITION BY scene_id, positive ORDER BY md5('path|' || scene_id || '|' || object_id), object_id) AS r2, least(count(*) FILTER (WHERE positive) OVER (PARTITION BY scene_id), count(*) FILTER (WHERE NOT positive) OVER (PARTITION BY scene_id)) AS cap FROM o WHERE rn = 1)
 SELECT scene_id, object_id, idx, CASE WHEN positive THEN 'yes' ELSE 'no' END AS answer FROM e WHERE r2 <= cap""")
 def vehicle_future_path(spark, sf_dir):
     return trajectories.future_path(tracks(spark, sf_dir))

@@ -130,6 +130,26 @@ SCENARIO_TEXT = {
     "ego_diverging": ["Is the ego vehicle moving away from the {}?", "Is the ego vehicle heading away from the {}?"],
     "general_divergence": ["Are the ego vehicle and the {} moving apart?", "Is the distance between the ego vehicle and the {} increasing?"],
 }
+#: Texts by question; one is drawn for each sample.  Those on the scene as a whole name no object.
+TRAJECTORY_TEXT = {
+    "_prompt_faster_than_ego": ["Is the {} moving faster than the ego vehicle?"],
+    "_prompt_parallel_motion": ["Is the {} moving parallel or perpendicular to the ego vehicle?", "What is the relative motion direction of the {} compared to ego?"],
+    "_prompt_approaching_stop_sign": [
+        "Is the ego vehicle approaching a stop sign?",
+        "Is there a stop sign ahead that the ego vehicle is approaching?",
+        "Is the ego vehicle getting closer to a stop sign?",
+        "Is there a stop sign that the ego vehicle is moving towards?",
+        "Is the ego vehicle heading towards a stop sign?",
+        "Is the ego vehicle nearing a stop sign?",
+        "Can you see a stop sign that the ego vehicle is approaching?",
+    ],
+    "_prompt_vehicle_future_path": [
+        "Is there a vehicle in the ego vehicle's future path?",
+        "Is there a vehicle ahead in the ego vehicle's path?",
+        "Can you see a vehicle in front of the ego vehicle?",
+        "Is there a vehicle blocking the ego vehicle's path ahead?",
+    ],
+}
 APPROACH_BOUNDS = {"Pedestrian": (2.0, 10.0), "Cyclist": (2.0, 15.0), "Vehicle": (2.0, 25.0)}
 ZONES = {
     "location_sf": "America/Los_Angeles", "location_phx": "America/Phoenix", "location_mtv": "America/Los_Angeles", "location_la": "America/Los_Angeles",

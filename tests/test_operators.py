@@ -53,7 +53,7 @@ def test_best_frame_takes_the_earliest(spark):
 
 
 def scene(spark, ego, objects):
-    frames = spark.createDataFrame([("s", i, float(x), float(y), 0.0) for i, (x, y) in enumerate(ego)], "scene_id string, timestamp long, ex double, ey double, ez double")
+    frames = spark.createDataFrame([("s", i, float(x), float(y), 0.0, 0.0, 1.0, 0.0) for i, (x, y) in enumerate(ego)], "scene_id string, timestamp long, ex double, ey double, ez double, lx double, ly double, lz double")
     seen = [("s", t, o, kind, label, float(x), float(y), 0.0, float(v), 20) for o, (kind, label, at) in objects.items() for t, x, y, v in at]
     return frames, spark.createDataFrame(seen, "scene_id string, timestamp long, object_id string, kind string, label string, x double, y double, z double, speed double, lidar int")
 
@@ -99,7 +99,9 @@ def test_stop_signs(spark):
     t = trajectories.tracks(frames, seen)
     got = Counter((r.object_id, r.answer) for r in trajectories.approaching_stop_sign(t).collect())
     assert got == {("near", "yes"): 5, ("passed", "no"): 5}
-    assert trajectories.frames_without_sign(t.select("scene_id", "idx").distinct(), t.where("object_id = 'other'")).count() == 6
+    # a sign of any kind counts
+    assert trajectories.frames_without_sign(t.select("scene_id", "idx").distinct(), t.where("object_id = 'other'")).count() == 0
+    assert trajectories.frames_without_sign(t.select("scene_id", "idx").distinct(), t.where("object_id = 'other'"), near=5).count() == 5
 
 
 def test_samples_are_the_same_in_any_partitioning(spark):
