@@ -9,6 +9,8 @@ from ..functions.geometry import iou
 from ..functions.text import let
 
 BOX = ("x1", "y1", "x2", "y2")
+#: Parts that the boxes of a key are dealt to.
+PARTS = 32
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
 
@@ -35,11 +37,14 @@ def top_k_rate(scored: DataFrame, ks: list[int], image: str, order: list[Column]
     return per_k.groupBy("k").agg(F.count("*").alias("images"), F.avg(F.when(F.col("first") <= F.col("k"), 1.0).otherwise(0.0)).alias("rate"))
 
 
-def greedy(truth: DataFrame, found: DataFrame, thresholds: list[float], image: str = "image", most: int = 100) -> DataFrame:
+def greedy(truth: DataFrame, found: DataFrame, thresholds: list[float], image: str = "image", most: int | None = None) -> DataFrame:
     """threshold, found_id, score, matched: in order of score, each box takes the free truth of the highest overlap.
 
-    Pairs are collected by image, ``most`` boxes at most as is usual for this metric, and folded over in the JVM."""
-    kept = found.withColumn("_r", F.row_number().over(Window.partitionBy(image).orderBy(F.col("score").desc(), "box_id"))).where(F.col("_r") <= most).drop("_r")
+    ``most``: only so many boxes of an image, those of the highest score, take part, as some users of this metric want it; None
+    for all.  Pairs are collected by image and folded over in the JVM."""
+    kept = found
+    if most is not None:
+        kept = found.withColumn("_r", F.row_number().over(Window.partitionBy(image).orderBy(F.col("score").desc(), "box_id"))).where(F.col("_r") <= most).drop("_r")
     ids = dict(truth.dtypes)["box_id"]
     near = overlaps(truth, kept, image).withColumn("iou", F.round("iou", 9)).where(F.col("iou") >= min(thresholds))
     # a box that overlaps no truth enough at any threshold needs no walk
@@ -100,7 +105,12 @@ def confident(found: DataFrame, image: str, limit: float) -> DataFrame:
 
 
 def similarity(boxes: DataFrame, prompts: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Dot product of each box's vector with each prompt's of the same keys."""
+    """Dot product of each box's vector with each prompt's of the same keys.
+
+    The boxes of a key are dealt to ``PARTS`` parts by a hash of their vector, and the prompts, the stated query set and fewer by
+    nature, are given to each part: a key that holds a third of all rows is as many groups."""
     from ..functions.geometry import dot
 
-    return boxes.join(prompts, keys).withColumn("similarity", dot(F.col(a), F.col(b)))
+    dealt = boxes.withColumn("_part", F.pmod(F.xxhash64(a), F.lit(PARTS)).cast("int"))
+    given = prompts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return dealt.join(given, [*keys, "_part"]).withColumn("similarity", dot(F.col(a), F.col(b))).drop("_part")

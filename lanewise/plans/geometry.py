@@ -3,12 +3,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import detection, questions, scenes
+from ..operators import detection, scenes
 from ..sources.tables import table
 from .registry import query
 
@@ -180,6 +179,20 @@ def average_precision(spark, sf_dir):
     return detection.average_precision(curve(spark, sf_dir), ["prompt"]).withColumn("ap", F.round("ap", 6))
 
 
+GREEDY = f"""WITH RECURSIVE {BOXES[5:]}, opts AS (SELECT image, found_id, list({{'less': -round(iou, 9), 't': truth_id}} ORDER BY -round(iou, 9), truth_id) AS o FROM iou GROUP BY ALL),
+s AS (SELECT f.image, f.box_id, f.score, o, row_number() OVER (PARTITION BY f.image ORDER BY f.score DESC, f.box_id) AS r FROM f LEFT JOIN opts ON f.image = opts.image AND f.box_id = found_id),
+th AS (SELECT unnest([{', '.join(f'CAST({x} AS DOUBLE)' for x in detection.THRESHOLDS)}]) AS threshold),
+walk AS (SELECT image, threshold, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS hit FROM (SELECT DISTINCT image FROM s), th
+  UNION ALL SELECT image, threshold, r, CASE WHEN len(c) > 0 THEN list_append(taken, c[1].t) ELSE taken END, CASE WHEN len(c) > 0 THEN c[1].t END FROM (
+    SELECT w.image, w.threshold, s.r, w.taken, list_filter(coalesce(s.o, []), lambda x: -x.less >= w.threshold AND NOT list_contains(w.taken, x.t)) AS c FROM walk w JOIN s ON s.image = w.image AND s.r = w.r + 1)),
+m AS (SELECT w.image, w.image % 10 AS prompt, w.threshold, s.box_id, s.score, w.hit IS NOT NULL AS matched FROM walk w JOIN s ON s.image = w.image AND s.r = w.r),
+n AS (SELECT image % 10 AS prompt, count(*) AS positives FROM t GROUP BY ALL),
+c AS (SELECT *, count(*) FILTER (WHERE matched) OVER w AS tp, count(*) OVER w AS both_ FROM m WINDOW w AS (PARTITION BY prompt, threshold ORDER BY score DESC, image, box_id ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT c.prompt, threshold, tp / positives AS recall, max(tp / both_) OVER (PARTITION BY c.prompt, threshold ORDER BY score DESC, image, box_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM c JOIN n ON c.prompt = n.prompt),
+g AS (SELECT prompt, threshold, r, coalesce(max(envelope) FILTER (WHERE floor(round(recall * 100, 9)) >= r), 0.0) AS p FROM v, (SELECT unnest(range(101)) AS r) GROUP BY ALL),
+ap AS (SELECT prompt, threshold, sum(p) / 101 AS ap FROM g GROUP BY ALL)"""
+
+
 def _greedy_average(spark, sf_dir):
     truth, found = boxes(spark, sf_dir)
     prompt = (F.col("image") % 10).alias("prompt")
@@ -189,13 +202,13 @@ def _greedy_average(spark, sf_dir):
     return detection.average_precision(c, ["prompt", "threshold"])
 
 
-@query()
+@query(f"{GREEDY} SELECT prompt, round(avg(ap), 6) AS mean_ap FROM ap GROUP BY prompt")
 def mean_average_precision(spark, sf_dir):
     """Greedy matching at ten thresholds, AP at each, by prompt."""
     return _greedy_average(spark, sf_dir).groupBy("prompt").agg(F.round(F.avg("ap"), 6).alias("mean_ap"))
 
 
-@query()
+@query(f"{GREEDY} SELECT threshold, round(avg(ap), 6) AS mean_ap, count(*) FILTER (WHERE ap > 0) AS prompts FROM ap GROUP BY threshold")
 def average_precision_by_threshold(spark, sf_dir):
     """Mean over prompts at each threshold, and how many prompts found anything."""
     return _greedy_average(spark, sf_dir).groupBy("threshold").agg(F.round(F.avg("ap"), 6).alias("mean_ap"), F.count_if(F.col("ap") > 0).alias("prompts"))
@@ -226,70 +239,15 @@ def coordinate_rescale_clip(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.round(g.rescale(F.col("l_discount") * 8, F.lit(640), F.lit(480.0)), 6).alias("x"))
 
 
-@query(f"{E} SELECT a.vec_id AS box, b.vec_id AS prompt, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])), 6) AS similarity FROM e a JOIN e b ON a.label = b.label WHERE b.vec_id < 20")
+@query(f"{E} SELECT a.vec_id AS box, b.vec_id AS prompt, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])), 6) AS similarity FROM e a JOIN e b ON a.label = b.label WHERE b.vec_id % 20 = 0")
 def embedding_prompt_similarity(spark, sf_dir):
+    """Every vector against the prompts of its label; prompts are the vectors whose id is divisible by 20."""
     e = vectors(spark, sf_dir)
-    prompts = e.where("vec_id < 20").select("label", F.col("vec_id").alias("prompt"), F.col("v").alias("b"))
+    prompts = e.where("vec_id % 20 = 0").select("label", F.col("vec_id").alias("prompt"), F.col("v").alias("b"))
     out = detection.similarity(e.select("label", F.col("vec_id").alias("box"), F.col("v").alias("a")), prompts, ["label"], "a", "b")
     return out.select("box", "prompt", F.round("similarity", 6).alias("similarity"))
 
 
-# question builders on stand-ins
-@query()
-def questions_object_binary(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    kinds = F.array(*map(F.lit, ["TYPE_VEHICLE", "TYPE_PEDESTRIAN", "TYPE_CYCLIST"]))
-    head = F.array(*map(F.lit, ["towards", "away", "left", "right", "not moving"]))
-    kind = F.element_at(kinds, (F.col("event_id") % 3 + 1).cast("int"))
-    seen = e.select(
-        F.col("user_id").cast("string").alias("scene_id"), F.date_trunc("day", "ts").cast("string").alias("timestamp"), F.lit("FRONT").alias("camera"), kind.alias("type"),
-        F.element_at(head, (F.col("event_id") % 5 + 1).cast("int")).alias("direction"), F.element_at(head, (F.col("event_id") % 4 + 1).cast("int")).alias("facing"), g.speed_band(kind, F.col("value")).alias("band"),
-    )
-    return questions.get("object_binary")(seen, seen)
-
-
-@query()
-def questions_drawn_box(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    from ..schema import COLORS, HEADINGS, LABELS, MOVEMENTS
-
-    pick = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
-    k = F.col("p_partkey")
-    views = p.select(
-        (k % 50).cast("string").alias("scene_id"), k.cast("string").alias("object_id"), F.lit("TYPE_VEHICLE").alias("type"), F.when(k % 3 > 0, pick(COLORS, k)).alias("color"), F.when(k % 4 > 0, pick(LABELS, k)).alias("label"),
-        pick(HEADINGS, k).alias("heading"), pick(MOVEMENTS, k).alias("movement"), (F.col("p_size") / 2).alias("speed"), F.array(*[F.lit(0)] * 4).alias("bbox"),
-    )
-    return questions.get("object_drawn_box")(views)
-
-
-@query()
-def questions_ego_relative(spark, sf_dir):
-    from ..operators import trajectories
-    from .scenes import tracks
-
-    t = tracks(spark, sf_dir).persist(StorageLevel.DISK_ONLY)  # six consumers; a lost part is worked out again
-    each = [
-        ("_prompt_faster_than_ego", trajectories.faster_than_ego(t).withColumn("scenario", F.lit(None).cast("string"))),
-        ("_prompt_moving_towards_ego", trajectories.moving_towards_ego(t)),
-        ("_prompt_parallel_motion", trajectories.parallel_motion(t).withColumn("scenario", F.lit(None).cast("string"))),
-        ("_prompt_approaching_stop_sign", trajectories.approaching_stop_sign(t).withColumn("scenario", F.lit(None).cast("string"))),
-        ("_prompt_vehicle_future_path", trajectories.future_path(t).withColumn("scenario", F.lit(None).cast("string"))),
-    ]
-    found = None
-    for name, part in each:
-        part = part.select("scene_id", "object_id", "idx", "answer", "scenario", F.lit(name).alias("question_name"))
-        found = part if found is None else found.unionByName(part)
-    seen = t.where("observed").select("scene_id", "object_id", "idx", F.coalesce("label", "kind").alias("description"), F.array(*[F.lit(0)] * 4).alias("bbox"))
-    return questions.get("ego_relative")(found, seen)
-
-
-@query()
-def questions_scene(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    frames = e.select(F.col("user_id").cast("string").alias("scene_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp"), F.when(F.col("event_id") % 3 > 0, "sunny").alias("weather"), F.lit("Day").alias("time_of_day"), F.lit("location_phx").alias("location"))
-    return questions.get("scene_multi_choice")(frames)
-
-
 @query("SELECT user_id AS scene_id, count(*) AS n FROM events WHERE value > 10 GROUP BY user_id")
 def objects_in_view(spark, sf_dir):
     o = table(spark, sf_dir, "events").select(F.col("user_id").alias("scene_id"), F.when(F.col("value") > 10, "FRONT").alias("most_visible_camera_name"))

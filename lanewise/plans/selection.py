@@ -86,13 +86,14 @@ def early_stop_scenes(spark, sf_dir):
     return sampling.early_stop(counts, "user_id", "n", 300, "e")
 
 
-@query("""WITH o AS (SELECT DISTINCT user_id, event_type, CAST(event_id % 7 AS BIGINT) AS band FROM events WHERE event_id % 10 = 0), u AS (SELECT event_type, band FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest(range(7)) AS band)),
+@query("""WITH o AS (SELECT DISTINCT user_id, event_type, CAST(hour(ts) AS BIGINT) AS band FROM events), u AS (SELECT event_type, band FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest(range(24)) AS band)),
 w AS (SELECT user_id, count(*) AS wanted FROM o GROUP BY user_id), f AS (SELECT user_id, event_type, band, wanted FROM w, u WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.user_id = w.user_id AND o.event_type = u.event_type AND o.band = u.band))
 SELECT user_id, event_type, band FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('n|' || user_id || '|' || event_type || '|' || band), event_type, band) AS r FROM f) WHERE r <= wanted""")
 def negative_combinations(spark, sf_dir):
+    """Of each user as many pairs of type and hour that no event has as of those that one has."""
     e = table(spark, sf_dir, "events")
-    seen = e.where("event_id % 10 = 0").select("user_id", "event_type", (F.col("event_id") % 7).alias("band"))
-    universe = e.select("event_type").distinct().withColumn("band", F.explode(F.array(*[F.lit(i).cast("long") for i in range(7)])))
+    seen = e.select("user_id", "event_type", F.hour("ts").cast("long").alias("band"))
+    universe = e.select("event_type").distinct().withColumn("band", F.explode(F.array(*[F.lit(i).cast("long") for i in range(24)])))
     return sampling.negatives(seen, universe, ["user_id"], ["event_type", "band"], "n")
 
 

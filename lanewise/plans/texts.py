@@ -78,12 +78,15 @@ def jaccard(spark, sf_dir):
     return pairs(spark, sf_dir).select("conv_id", "turn", F.round(tx.jaccard(tx.tokens(F.col(Q)), tx.tokens(F.col(A))), 6).alias("jaccard"))
 
 
-def _prf_sql(source: str) -> str:
-    return f"""{PAIRS}, {source},
+PRF = f""",
 p AS (SELECT conv_id, turn, {_share('shared', 'nq')} AS precision, {_share('shared', 'na')} AS recall FROM s)
 SELECT conv_id, turn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END, 6) AS f1 FROM p"""
 
 
+def _prf_sql(source: str) -> str:
+    return f"{PAIRS}, {source}{PRF}"
+
+
 def _prf(df, column):
     return df.select("conv_id", "turn", column.alias("m")).select("conv_id", "turn", *[F.round(f"m.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
 
@@ -108,7 +111,14 @@ def rouge_2(spark, sf_dir):
     return _prf(pairs(spark, sf_dir), tx.rouge_n(F.col(Q), F.col(A), 2))
 
 
-@query()
+# the row of the table of longest common subsequences after i words of the question: a running maximum
+LCS = f"""WITH RECURSIVE {PAIRS[5:]}, walk AS (SELECT conv_id, turn, q, a, 0 AS i, list_transform(range(len(a)), lambda j: CAST(0 AS BIGINT)) AS best FROM tok
+  UNION ALL SELECT conv_id, turn, q, a, i + 1, list_transform(range(1, len(cand) + 1), lambda j: list_max(cand[1:j])) FROM (
+    SELECT *, list_transform(range(1, len(a) + 1), lambda j: CASE WHEN a[j] = q[i + 1] THEN 1 + CASE WHEN j > 1 THEN best[j - 1] ELSE 0 END ELSE best[j] END) AS cand FROM walk WHERE i < len(q))),
+s AS (SELECT conv_id, turn, coalesce(list_max(best), 0) AS shared, len(q) AS nq, len(a) AS na FROM walk WHERE i = len(q))"""
+
+
+@query(LCS + PRF)
 def rouge_l(spark, sf_dir):
     return _prf(pairs(spark, sf_dir), tx.rouge_l(F.col(Q), F.col(A)))
 
