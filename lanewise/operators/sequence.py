@@ -92,14 +92,22 @@ def previous_pairs(frames: DataFrame, keys: list[str], idx: str = "idx") -> Data
     return frames.withColumn("current_idx", current).withColumn("previous_idx", F.greatest(F.col("current_idx") - 1, F.lit(0)))
 
 
-def suffix_minimum(points: DataFrame, path: DataFrame, key: str, idx: str, at: tuple[str, ...], along: tuple[str, ...], name: str = "min_distance") -> DataFrame:
-    """points with the least distance from ``at`` to the path's positions ``along`` at the same frame or later; points without one go.
-
-    A scene's path is one array, ordered from its end, so each point looks at its leading part; no pair of rows is made."""
-    whole = path.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(idx, *along)), asc=False).alias("_path"))
-    squares = lambda p: sum((F.pow(F.col(a) - p[b], F.lit(2.0)) for a, b in zip(at[1:], along[1:], strict=True)), F.pow(F.col(at[0]) - p[along[0]], F.lit(2.0)))
-    least = F.array_min(F.transform(F.filter("_path", lambda p: p[idx] >= F.col(idx)), squares))
-    return points.join(whole, key).withColumn(name, F.sqrt(least)).drop("_path").where(F.col(name).isNotNull())
+def suffix_minimum(points: DataFrame, path: DataFrame, keys: list[str], at: tuple[str, ...], along: tuple[str, ...], name: str = "min_distance", needed: Column | None = None) -> DataFrame:
+    """points with the least distance from ``at`` to the path's positions ``along`` at the same frame or later; null where there is none,
+    or where ``needed`` doesn't hold.
+
+    keys: the scene, what else names a point, and the frame's index last; the path has the scene and the index.  Both sides are dealt
+    by scene once: the join's rows go straight into the aggregation of the same task, none of them is shuffled.  (As arrays of the
+    path, looked at by higher-order functions, the same took two to four times as long.)"""
+    scene, idx = keys[0], keys[-1]
+    b = path.select(F.col(scene).alias("_s"), F.col(idx).alias("_i"), *[F.col(c).alias(f"_{c}") for c in along])
+    later = (F.col(scene) == F.col("_s")) & (F.col("_i") >= F.col(idx))
+    joined = points.join(b, later if needed is None else later & needed, "left")
+    gaps = [F.col(p) - F.col(f"_{q}") for p, q in zip(at, along, strict=True)]
+    square = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
+    rest = [c for c in points.columns if c not in keys]
+    # columns one by one, not as a struct: buffers of numbers are updated in place by the hash aggregation
+    return joined.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in rest], F.sqrt(F.min(square)).alias(name))
 
 
 def folded_angle(a: list[Column], b: list[Column]) -> Column:

@@ -172,9 +172,6 @@ def future_path(t: DataFrame, c: Config = DEFAULT, seed: str = "path") -> DataFr
 
     Ahead: more than ``forward`` metres along the ego's direction.  The lane is as wide as the pose's lateral axis, half of it to each
     side of the ego.  Future distance is the least one, in the plane, from the vehicle's place to the ego's later positions."""
-    v = t.where("kind = 'Vehicle'").where(F.round(distance(), 9) < c.near)
-    ego = t.select("scene_id", "idx", "ex", "ey").distinct()
-    near = s.suffix_minimum(v, ego, "scene_id", "idx", ("x", "y"), ("ex", "ey"), "future")
     rel = [F.col(a) - F.col(f"e{a}") for a in "xyz"]
     dots = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
     ego_way, side = [F.col(f"u{a}") for a in "xyz"], [F.col(f"l{a}") for a in "xyz"]
@@ -182,8 +179,13 @@ def future_path(t: DataFrame, c: Config = DEFAULT, seed: str = "path") -> DataFr
     # 0 at the right edge of the lane, 1 at the left one
     across = F.round(F.try_divide(dots(rel, side), dots(side, side)) + 0.5, 9)
     in_lane = F.coalesce((dots(side, side) > 1e-8) & across.between(0, 1), F.lit(False))
-    marked = near.withColumn("positive", ahead & (F.round("ego_speed", 9) > c.ego_speed) & (in_lane | (F.round("future", 9) < c.path)))
-    one = marked.where("observed").groupBy(*TRACK, "positive").agg(F.min_by("idx", F.struct(draw(seed, *TRACK, "idx"), F.col("idx"))).alias("idx"))
+    v = t.where("kind = 'Vehicle' and observed").where(F.round(distance(), 9) < c.near)
+    v = v.select(*TRACK, "idx", "x", "y", (ahead & (F.round("ego_speed", 9) > c.ego_speed)).alias("front"), in_lane.alias("in_lane"))
+    ego = t.select("scene_id", "idx", "ex", "ey").distinct()
+    # only what is in front and beside the lane needs the ego's later way
+    found = s.suffix_minimum(v, ego, [*TRACK, "idx"], ("x", "y"), ("ex", "ey"), "future", F.col("front") & ~F.col("in_lane"))
+    marked = found.withColumn("positive", F.col("front") & (F.col("in_lane") | F.coalesce(F.round("future", 9) < c.path, F.lit(False))))
+    one = marked.groupBy(*TRACK, "positive").agg(F.min_by("idx", F.struct(draw(seed, *TRACK, "idx"), F.col("idx"))).alias("idx"))
     # two rows for each object; a scene has few objects
     rank = F.row_number().over(Window.partitionBy("scene_id", "positive").orderBy(draw(seed, *TRACK), "object_id"))
     scene = Window.partitionBy("scene_id")

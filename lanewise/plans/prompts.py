@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import questions, trajectories
 from ..schema import BANDS, ATTRIBUTE_TEXT, CHOICES, COLORS, DAY_PERIODS, DIRECTION_PHRASE, FACING_TEXT, HEADINGS, LABELS, MOVEMENTS, MOVING_TEXT, NIGHT, SCENARIO_TEXT, TRAJECTORY_TEXT, ZONES
-from ..sources.tables import table
+from ..sources.tables import cut, table
 from .registry import SQL, query
 from .scenes import TRACKS, tracks
 
@@ -140,7 +140,7 @@ def ego_relative(spark: SparkSession, sf_dir: str, t: DataFrame) -> DataFrame:
 
 @query(f"{EGO_RELATIVE} SELECT * FROM asked")
 def questions_ego_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(ego_relative(spark, sf_dir, tracks(spark, sf_dir)), "choices", "bbox")
+    return joined(ego_relative(spark, sf_dir, cut(tracks(spark, sf_dir))), "choices", "bbox")
 
 
 SHOWN = "SELECT scene_id, object_id, idx, concat_ws(', ', idx, 0, idx + 1, 1) AS bbox, concat_ws('/', scene_id, idx || '.jpg') AS image_path FROM seen WHERE idx % 7 <> 3"
@@ -151,7 +151,7 @@ SELECT p.* EXCLUDE (bbox), c.bbox AS current_bbox, c.image_path AS current_image
 JOIN shown c ON p.scene_id = c.scene_id AND p.object_id = c.object_id AND p.current_idx = c.idx JOIN shown v ON p.scene_id = v.scene_id AND p.object_id = v.object_id AND p.previous_idx = v.idx""")
 def questions_ego_relative_two_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same questions with the frame before; an object is out of sight in every seventh frame."""
-    t = tracks(spark, sf_dir)
+    t = cut(tracks(spark, sf_dir))
     idx = F.col("idx")
     seen = t.where("observed").select(
         "scene_id", "object_id", "idx", F.array(idx, F.lit(0), idx + 1, F.lit(1)).alias("bbox"), F.concat_ws("/", "scene_id", F.concat(idx.cast("string"), F.lit(".jpg"))).alias("image_path"), (idx % 7 != 3).alias("visible"),

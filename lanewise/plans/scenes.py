@@ -82,7 +82,7 @@ def cumulative_consistency(spark, sf_dir):
 def suffix_min_distance(spark, sf_dir):
     f = frames(spark, sf_dir).select("scene_id", "idx", "value", "y")
     path = f.select("scene_id", "idx", F.col("idx").cast("double").alias("px"), F.col("y").alias("py"))
-    return s.suffix_minimum(f, path, "scene_id", "idx", ("value", "y"), ("px", "py")).select("scene_id", "idx", F.round("min_distance", 6).alias("min_distance"))
+    return s.suffix_minimum(f, path, ["scene_id", "idx"], ("value", "y"), ("px", "py")).select("scene_id", "idx", F.round("min_distance", 6).alias("min_distance"))
 
 
 @query(f"""{FRAMES}, v AS (SELECT scene_id, idx, 1.0 AS ax, lead(y) OVER w - y AS ay, lead(value) OVER w - value AS bx, 1.0 AS by_ FROM frames WINDOW w AS (PARTITION BY scene_id ORDER BY idx)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,18 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the folder that the session names for checkpoints and read again, for plans that read it several times;
+    df itself where the session names none."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_list(df: DataFrame, column: str, path: str, mode: str = "errorifexists") -> None:
     df.select(F.col(column).cast("string")).write.mode(mode).text(path)
 
