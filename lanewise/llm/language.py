@@ -7,9 +7,10 @@ scoring a chunk means to look up its distinct 4-grams in that array, work out th
 document.  The language of the lowest cross-entropy per character wins.  A result is ``rejected`` if its cross-entropy lies
 above what 99.5 % of the language's calibration documents have, plus a margin for short texts.
 
-Models are fitted to a sample of about ``per_language`` documents of each language (by hash of doc_id; every fourth calibrates
-where these are enough for a limit, else all are learnt from).
+Models are fitted to a sample of about ``per_language`` documents of each language (by a 64-bit hash of doc_id and text; every fourth
+calibrates where these are enough for a limit, else all are learnt from).  Rows that repeat a document count once.
 4-grams are counted in tasks, then summed; the driver gets one number for each language and distinct 4-gram of the sample.
+Languages are few: each one has a model in every task, and a row of counts on the driver.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bpe import LETTER, classes
 from .bytesnum import Texts, U, batches
-from .common import bounded_batches, held_out
+from .common import bounded_batches, held_out, settled
 
 CHUNK = 1 << 20
 BLANK = 32
@@ -140,16 +141,27 @@ COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64(
 CALIBRATION = pa.schema([("lang", pa.string()), ("entropy", pa.float64()), ("n", pa.int64())])
 
 
+def bounds(sizes: dict[str, int], per_language: int) -> dict[str, int]:
+    """The signed 64-bit number below which a hash puts a document into its language's sample: the share per_language / size of the
+    whole range, never none of it, or all of it."""
+    whole = 1 << 64
+    return {lang: min(whole, max(1, whole * per_language // n)) - (1 << 63) for lang, n in sizes.items()}
+
+
 def fit(docs: DataFrame, per_language: int = 1500) -> Model:
-    """Model from text and non-null lang of documents that aren't held out."""
+    """Model from text and non-null lang of documents that aren't held out.  A language whose sample has no letter isn't learnt."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], [])
-    parts = 1 << 20
-    bound = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(parts, parts * per_language // n)))])
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
-    sample = known.where(chance < bound[F.col("lang")]).withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0)
+    least = bounds(sizes, per_language)
+    most = (1 << 63) - 1
+    bound = F.create_map(*[x for lang, n in least.items() for x in (F.lit(lang), F.lit(min(n, most)))])
+    whole = F.col("lang").isin([lang for lang, n in least.items() if n > most])
+    hashed = known.withColumn("h", F.xxhash64("doc_id", "text"))
+    chosen = hashed.where(whole | (F.col("h") < bound[F.col("lang")])).groupBy("lang", "h").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text"))
+    # about per_language texts of each language, which are read four times
+    sample = settled(chosen.withColumn("calibrates", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(4)) == 0).drop("h"))
     # a language without enough documents for a limit, or to learn from beside them, sets none aside
     enough = F.count_if("calibrates") >= LEAST
     apart = [r.lang for r in sample.where(F.col("text").rlike(r"\p{L}")).groupBy("lang").agg((enough & (F.count_if(~F.col("calibrates")) > 0)).alias("apart")).where("apart").collect()]
@@ -203,7 +215,7 @@ PREDICTED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("sco
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """For each row of docs (doc_id, text; further columns are ignored): doc_id, held_out, lang_pred ('und' for a null text,
     one without letters, or without a model), score (share of the language among the likelihoods, per character, of all;
-    0 for 'und'), entropy and rejected."""
+    0 for 'und'), entropy and rejected.  Repeated rows get the same result; a long text is scored whole, with memory for it."""
 
     def one(batch):
         texts = Texts(batch.column("text"))
