@@ -5,8 +5,9 @@ words, none) and their number up to k.  Sketches of parts merge to the sketch of
 From two sketches come resemblance (share of the union's k smallest that both hold), containment and, from one, the number of
 distinct shingles (k-th smallest hash against the hash range).
 
-The query's *next document* is found without a global sort: ids are dealt to buckets of neighbouring ids, a window looks ahead
-within the bucket, and the first document of each bucket is also given to the bucket before, as its end.
+The query's *next document* is found on keys alone: distinct (doc_id, hash of the text) are dealt to ranges by Spark's range partitioning,
+whatever the ids' spread, a window looks ahead within a range, and the first key of the range after it follows its last one.  Then
+each document hands its sketch and as many leading characters as needed to the document before it, by two equi-joins on such keys.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settled
 from .rules import WORD, let
 
 SHINGLE = 5
-MOST_BUCKETS = 20_000
 NONE = "array<bigint>"
 
 
@@ -70,39 +71,53 @@ def union_sketch(docs: DataFrame, keys: list[str], k: int = 64) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list("h")), 1, k).alias("sketch"))
 
 
-def with_next(docs: DataFrame, per_bucket: int = 2000) -> DataFrame:
-    """doc_id and text of each row, and next_text: the text of the next row by doc_id (equal ids: by text), after the last the first."""
+KEY = ["there", "id", "h"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the key of its place among all documents: null ids first, then by id, equal ids by a hash of the text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    edge = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    if not edge.n:
-        return docs.withColumn("next_text", F.lit(None).cast("string"))
-    # at most MOST_BUCKETS rows come to the driver; beyond, buckets grow, and their windows sort with spills
-    buckets = max(1, min(MOST_BUCKETS, -(-edge.n // per_bucket)))
-    lo, hi = edge.lo or 0, edge.hi or 0
-    width = (hi - lo) // buckets + 1
-    # a null id comes first
-    place = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(0))
-    dealt = docs.withColumn("bucket", place)
-    # one row for each bucket
-    firsts = sorted((r.bucket, r.least is not None, r.least) for r in dealt.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id")).alias("m")).select("bucket", F.when(F.col("m.there"), F.col("m.doc_id")).alias("least")).collect())
-    before = {b: firsts[i - 1][0] for i, (b, _, _) in enumerate(firsts)}
-    ids = [x for _, there, x in firsts if there]
-    lead = (F.col("doc_id").isin(ids) if ids else F.lit(False)) | F.col("doc_id").isNull()
-    first_rows = dealt.where(lead).withColumn("bucket", F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("bucket")])
-    both = dealt.withColumn("end", F.lit(0)).union(first_rows.withColumn("end", F.lit(1)))
-    ahead = Window.partitionBy("bucket").orderBy("end", "doc_id", "text")
-    return both.select("*", F.lead("text").over(ahead).alias("next_text")).where("end = 0").drop("end", "bucket")
+    return docs.select("doc_id", "text", F.col("doc_id").isNotNull().alias("there"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("h"))
+
+
+def following(docs: DataFrame) -> DataFrame:
+    """For each distinct key of ``keyed`` rows: half (of the length, rounded down) and next, the key that comes after it, the first
+    one after the last."""
+    # the number of a range is kept by writing it: it must not be worked out anew
+    keys = docs.groupBy(*KEY).agg(F.any_value(F.expr("int(length(text) div 2)")).alias("half"))
+    dealt = settled(keys.repartitionByRange(*KEY).withColumn("range", F.spark_partition_id()))
+    # one row for each range, as many as there are shuffle partitions
+    ranges = Window.orderBy("range")
+    firsts = dealt.groupBy("range").agg(F.min(F.struct(*KEY)).alias("first"))
+    after = firsts.select("range", F.coalesce(F.lead("first").over(ranges), F.first("first").over(ranges)).alias("after"))
+    ahead = F.lead(F.struct(*KEY)).over(Window.partitionBy("range").orderBy(*KEY))
+    return dealt.repartitionByRange("range").withColumn("next", ahead).join(after, "range").select(*KEY, "half", F.coalesce("next", "after").alias("next"))
+
+
+def with_next(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id and text of each row, and of the document after it ``head``, as many leading characters as half the row's own text has,
+    and ``following``, its sketch.  Rows that repeat a doc_id and a text are one document here, and get the same."""
+    rows = keyed(docs)
+    links = following(rows)
+    before = links.select("half", *[F.col(c).alias(f"to_{c}") for c in KEY], *[F.col(f"next.{c}").alias(c) for c in KEY])
+    to = [f"to_{c}" for c in KEY]
+    given = rows.join(before, KEY).select(*to, F.expr("left(text, half)").alias("head"), sketch(F.col("text"), k).alias("following"))
+    # repeated rows hand over the same
+    once = given.groupBy(*to).agg(F.any_value("head").alias("head"), F.any_value("following").alias("following"))
+    return rows.join(once.select(*[F.col(f"to_{c}").alias(c) for c in KEY], "head", "following"), KEY).select("doc_id", "text", "head", "following")
 
 
 def neighbours(docs: DataFrame, k: int = 64) -> DataFrame:
     """For each row of docs (doc_id, text; further columns are ignored): doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next, and the estimated numbers of distinct shingles.
+    edited_fingerprint, near_edited, near_next, the estimated number of distinct shingles, and the estimated share of them that the
+    next document holds.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document's.
-    A null text is an empty one.  Rows that share a doc_id follow each other by text.  A single row is its own next one.
+    A null text is an empty one.  Null ids come first; rows that share a doc_id follow each other by a hash of the text; rows that
+    repeat both are one document and get the same result.  A single document is its own next one.  Long texts are hashed whole.
     """
-    edited = F.concat(F.expr("left(text, int(length(text) - length(text) div 2))"), F.expr("left(next_text, int(length(text) div 2))"))
-    found = with_next(docs).select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text"), k).alias("own"), sketch(F.col("next_text"), k).alias("following"))
+    edited = F.concat(F.expr("left(text, int(length(text) - length(text) div 2))"), F.col("head"))
+    found = with_next(docs, k).select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text"), k).alias("own"), "following")
     found = found.withColumn("changed", sketch(F.col("edited"), k))
     return found.select(
         "doc_id",
@@ -113,4 +128,5 @@ def neighbours(docs: DataFrame, k: int = 64) -> DataFrame:
         resemblance(F.col("own"), F.col("changed"), k).alias("near_edited"),
         resemblance(F.col("own"), F.col("following"), k).alias("near_next"),
         distinct_shingles(F.col("own"), k).alias("distinct_shingles"),
+        containment(F.col("own"), F.col("following"), k).alias("contained_next"),
     )
