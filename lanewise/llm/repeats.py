@@ -237,7 +237,8 @@ def without_repeats(docs: DataFrame, length: int = 400, k: int = 64, small: int
         repeated_spans(docs, length, k, small)
         .select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "start", "end")
         .groupBy("d", "t")
-        .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        # a set: rows that repeat a row find the same spans, which are told apart on the map side already
+        .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     )
     return (
         docs.join(spans_of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
