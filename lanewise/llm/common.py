@@ -13,9 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage; a local one only where the session names none, as in tests."""
+    """The shared folder for cut lineage.  Where the session names none: a local one if all tasks run in this process or on this
+    machine's threads (tests), else an error, as executors elsewhere wouldn't see it."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="spark-")
@@ -62,6 +66,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def bounded_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
-    """df, after the session's Arrow batches are bound by bytes instead of rows alone: texts differ widely in length."""
+    """df, after the session's Arrow batches are bound by bytes instead of rows alone: texts differ widely in length.
+
+    This sets ``spark.sql.execution.arrow.maxBytesPerBatch`` of the caller's session and leaves it set, as plans read it when they run."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return df

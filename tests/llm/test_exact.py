@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lanewise.llm import bpe, fingerprints, mixing, near_dedup, repeats, rules, secrets
@@ -240,6 +241,43 @@ def test_secrets_of_each_alphabet(spark):
     assert all(masked[i] == "é see [secret] here" for i in got if got[i].startswith("random:6:"))
 
 
+IDENTIFIERS = [
+    "iPhone14ProMaxCaseBlackLeather", "https/AbcDef/2024/IndexOfFiles", "EN12345ISO9001CertifiedPartner", "Sha256DigestOfDocumentTextHere", "getHttpServletRequest2ServerName",
+    "the-best-of-2024-in-review-of-x", "user_account_identifier_v2_final", "ISO8601TimestampParserFactoryBean", "com/example/project1/module2/Class", "2024/01/15/some-article-about-z",
+    "Donaudampfschifffahrtsgesellschaft2", "XMLHttpRequest2EventTarget01", "abcdefghijklmnopqrstuvwxyz01", "Zzzzzzzzzzzzzzzzzzzzzzzz1",
+]
+
+
+def test_secrets_among_many_identifiers(spark):
+    """A few keys among 100 times as many names: the limit rises with what is tested, and names stay clean."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice(secrets.SIGNS["base64"][:62]) for _ in range(n))
+    names = [(i, f"see {IDENTIFIERS[i % len(IDENTIFIERS)]}{rng.randint(10, 99) if i >= len(IDENTIFIERS) else ''} now") for i in range(3000)]
+    keys = [(5000 + i, f"see {word(48)} now") for i in range(30)]
+    df = spark.createDataFrame(names + keys, "doc_id long, text string")
+    hits = {r.doc_id for r in secrets.report(df).where("spans <> ''").collect()}
+    assert sum(i >= 5000 for i in hits) >= 27
+    assert sum(i < 5000 for i in hits) <= 2
+
+
+def test_redacted_keeps_all_other_columns(spark, docs):
+    df = with_clashing_columns(docs).withColumns({c: F.lit("mine") for c in ("n_assign", "n_access", "all_spans", "_secrets_0", "_secrets_1")})
+    got = secrets.redacted(df)
+    assert got.schema == df.schema
+    same = [c for c in df.columns if c not in ("text", "n_chars")]
+    count = lambda x: collections.Counter(map(tuple, x.select(*same).collect()))
+    assert count(got) == count(df)
+    assert all(secrets.redacted(empty(spark)).collect() == [] for _ in range(1))
+
+
+def test_redaction_of_very_many_spans(spark):
+    rng = random.Random(6)
+    tokens = ["".join(rng.choice("0123456789abcdef") for _ in range(24)) for _ in range(9000)]
+    text = "é " + " – ".join(f"token={t}" for t in tokens) + " end"
+    row = secrets.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.text == "é " + " – ".join(["[secret]"] * 9000) + " end"
+
+
 def test_quality_rules(docs, rows):
     got = collections.Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rules.assessed(with_clashing_columns(docs)).collect())
     want = collections.Counter()
@@ -260,22 +298,61 @@ def test_divergence_drops_foreign_signs(spark, docs):
     assert not any(got[i].kept for i, *_ in junk) and all(r.kept or r.base_failed for i, r in got.items() if i < 30_000)
 
 
-@pytest.mark.parametrize("per_bucket", [2000, 3])
-def test_fingerprints(docs, rows, per_bucket, monkeypatch):
-    monkeypatch.setattr(fingerprints.with_next, "__defaults__", (per_bucket,))
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    want = collections.Counter()
-    for k, (i, t) in enumerate(ordered):
-        nxt, half = ordered[(k + 1) % len(ordered)][1], len(t) // 2
-        want[(i, len(t), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest())] += 1
-    got = fingerprints.neighbours(with_clashing_columns(docs)).collect()
-    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
-    by_text = collections.defaultdict(set)
-    text = dict(rows)
-    for r in got:
-        by_text[text[r.doc_id]].add(r.fingerprint)
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    assert all(len(v) == 1 for v in by_text.values())
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def xx(data, seed=42):
+    return signed(xxhash.xxh64(data, seed=seed).intdigest())
+
+
+def shingle_sketch(text, k=64):
+    """Bottom-k sketch by its definition: 5-word shingles, a chain of hashes over the words, as Spark chains columns."""
+    w = [x.encode() for x in WORD.findall(text)]
+    hashes = set()
+    for i in range(len(w) - 4):
+        h = 42
+        for x in w[i : i + 5]:
+            h = xx(x, h & ((1 << 64) - 1))
+        hashes.add(h)
+    if 0 < len(w) < 5:
+        hashes = {xx(b" ".join(w))}
+    return sorted(hashes)[:k]
+
+
+def likeness(a, b, k=64):
+    u = sorted(set(a) | set(b))[:k]
+    return sum(x in a and x in b for x in u) / len(u) if u else 1.0
+
+
+def next_documents(rows):
+    """Each distinct (doc_id, text), and the text after it."""
+    ordered = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, xx(r[1].encode())))
+    return {r: ordered[(k + 1) % len(ordered)][1] for k, r in enumerate(ordered)}
+
+
+@pytest.mark.parametrize("ids", ["as they are", "wide", "outlier", "equal", "null"])
+def test_fingerprints(docs, rows, ids, spark):
+    if ids != "as they are":
+        some = [t for _, t in rows if len(t) < 3000][:60]
+        lo, hi = -(1 << 63), (1 << 63) - 1
+        numbers = {"wide": [lo, lo + 1, -1, 0, 5, hi - 1, hi], "outlier": [*range(50), 1 << 62], "equal": [7], "null": [None, 3]}[ids]
+        rows = [(numbers[i % len(numbers)], t) for i, t in enumerate(some)]
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    after, want = next_documents(rows), collections.Counter()
+    shown = lambda s: ",".join(f"{x & ((1 << 64) - 1):X}" for x in s)
+    known = {}
+    for i, t in rows:
+        if (i, t) not in known:
+            nxt, half = after[i, t], len(t) // 2
+            edited = t[: len(t) - half] + nxt[:half]
+            a, b, c = map(shingle_sketch, (t, edited, nxt))
+            known[i, t] = (i, len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(a), shown(b), round(likeness(a, b), 9), round(likeness(a, c), 9))
+        want[known[i, t]] += 1
+    found = fingerprints.neighbours(with_clashing_columns(docs))
+    got = collections.Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in found.collect())
+    assert got == want
+    assert all(0 <= r.contained_next <= 1 for r in found.select("contained_next").collect())
 
 
 def test_sketches_merge_and_estimate(spark):

@@ -1,5 +1,7 @@
 """Learnt operators: held-out accuracy, limits of what they learn from, odd rows; and the pipeline."""
 
+import collections
+import itertools
 import math
 
 import numpy as np
@@ -144,3 +146,44 @@ def test_forget_keeps_what_is_named(spark):
     assert forget(spark, b) >= 1 and b.count() == 5
     with pytest.raises(Exception, match="(?i)path|exist|FAILED_READ_FILE"):
         a.count()
+
+
+def test_no_language_is_left_without_a_sample():
+    """However many documents a language has, about per_language of them fall below its bound."""
+    sizes = {"few": 3, "some": 1501, "many": 10**7, "most": 2 * 10**9, "all": 10**15}
+    got = language.bounds(sizes, 1500)
+    for lang, n in sizes.items():
+        share = (got[lang] + (1 << 63)) / 2**64
+        assert abs(share * n - min(n, 1500)) < 0.01 * min(n, 1500)
+
+
+def test_kneser_ney_equals_its_definition():
+    """Interpolated Kneser-Ney worked out with dictionaries, for every 4-gram over a small alphabet."""
+    texts = ["abracadabra", "barbara", "abba cab", "dab"]
+    seqs = ["   " + t + " " for t in texts]
+    counts = {4: collections.Counter(s[i : i + 4] for s in seqs for i in range(len(s) - 3))}
+    for k in (3, 2, 1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    discount = {}
+    for k, c in counts.items():
+        one, two = (sum(v == x for v in c.values()) for x in (1, 2))
+        discount[k] = one / (one + 2 * two) if one and two else 0.5
+    floor = 1 / (len(counts[1]) + 1)
+
+    def prob(g):
+        k = len(g)
+        if not k:
+            return floor
+        same = {h: v for h, v in counts[k].items() if h[:-1] == g[:-1]}
+        if not same:
+            return prob(g[1:])
+        total = sum(same.values())
+        rest = sum(min(v, discount[k]) for v in same.values()) / total
+        return max(same.get(g, 0) - discount[k], 0) / total + rest * prob(g[1:])
+
+    pack = lambda g: sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g))
+    made = np.array([pack(g) for g in counts[4]], np.uint64)
+    model = language.KneserNey.of(made, np.array(list(counts[4].values())))
+    every = ["".join(g) for g in itertools.product("abcdr ", repeat=4)]
+    got = model.log_prob(np.array([pack(g) for g in every], np.uint64))
+    assert np.allclose(got, [np.log(prob(g)) for g in every])
