@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .bytesnum import LOWER, Texts, U, batches, mix, prefix, spans, words
 from .common import bounded_batches, held_out
-from .toxicity import sigmoid
+from .toxicity import labelled, sigmoid
 
 SHAPE = np.arange(256, dtype=np.uint8)
 SHAPE[65:91], SHAPE[97:123], SHAPE[48:58], SHAPE[128:] = 65, 97, 48, 97
@@ -91,15 +91,10 @@ def fitted(y: np.ndarray, weight: np.ndarray, rows: np.ndarray, bucket: np.ndarr
 EXAMPLES = pa.schema([("grade", pa.int64()), ("doc_id", pa.int64()), ("bucket", pa.binary()), ("value", pa.binary())])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int = 3, per_grade: int = 2500, dims: int = 1 << 18) -> Model:
-    """Model from ratings (doc_id and ``grade``, 0 to grades - 1) of documents that aren't held out; the documents of the
-    least hash of doc_id, at most ``per_grade`` of each grade.  Without any rating all documents get the same figures."""
-    known = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade")).where(f"doc_id is not null and grade between 0 and {grades - 1}").where(~held_out(F.col("doc_id")))
-    totals = {r.grade: r.n for r in known.groupBy("grade").agg(F.count("*").alias("n")).collect()}
-    sample = None
-    for g in range(grades):
-        one = known.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade)
-        sample = one if sample is None else sample.union(one)
+def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int = 3, per_grade: int = 2500, dims: int = 1 << 18, longest: int = 1 << 20) -> Model:
+    """Model from ratings (doc_id and ``grade``, 0 to grades - 1) of documents that aren't held out, chosen by ``labelled``: at most
+    ``per_grade`` of each grade, of at most ``longest`` characters.  Without any rating all documents get the same figures."""
+    totals, sample = labelled(docs, ratings, grade, list(range(grades)), per_grade, longest)
 
     def numbers(batch):
         texts = Texts(batch.column("text"))
@@ -110,16 +105,9 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int = 3, per
             bounds = np.searchsorted(key // dims, np.arange(j - i + 1))
             key = (key % dims).astype(np.int32)
             cut = lambda x: [x[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]  # noqa: B023, E731
-            yield [batch.column("grade").slice(i, j - i).cast(pa.int64()), batch.column("doc_id").slice(i, j - i), cut(key), cut(value)]
-
-    # at most grades * per_grade ids are broadcast
-    found = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(sample.dropDuplicates(["doc_id"])), "doc_id")
-        .select("grade", "doc_id", "text")
-        .mapInArrow(lambda it: batches(it, EXAMPLES, numbers), "grade long, doc_id long, bucket binary, value binary")
-        .collect()
-    )
+            yield [batch.column("label").slice(i, j - i).cast(pa.int64()), batch.column("doc_id").slice(i, j - i), cut(key), cut(value)]
+
+    found = sample.mapInArrow(lambda it: batches(it, EXAMPLES, numbers), "grade long, doc_id long, bucket binary, value binary").collect()
     if not found:
         return Model(np.zeros(dims, np.float32), np.arange(grades - 1) - 2.0)
     found.sort(key=lambda r: (r.doc_id, r.grade, bytes(r.bucket)))
@@ -136,7 +124,8 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("expected_grade", pa.float64()), ("
 
 def grade(docs: DataFrame, model: Model, cut: int = 1, least: float = 0.5) -> DataFrame:
     """For each row of docs (doc_id, text; further columns are ignored): doc_id, held_out, expected_grade, tail_prob =
-    P(grade >= cut) and kept (tail_prob >= least).  A null text counts as empty and is graded by its figures alone."""
+    P(grade >= cut) and kept (tail_prob >= least).  A null text counts as empty and is graded by its figures alone.
+    Repeated rows get the same result; a long text is graded whole."""
 
     def one(batch):
         texts = Texts(batch.column("text"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnum import LOWER, PLAIN, Texts, U, batches, prefix, spans, words
@@ -144,19 +144,31 @@ def speaking(sample: DataFrame, dims: int, evidence: float) -> np.ndarray:
     return chosen
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 5000, dims: int = 1 << 20, evidence: float = 15.0) -> Model:
-    """Model from labels (doc_id, ``label`` 0/1) of documents that aren't held out; at most ``per_class`` of each class,
-    those of the least hash of doc_id.  Rows without label or doc_id aren't used; without any row every score is near 0."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
+def labelled(docs: DataFrame, labels: DataFrame, label: Column, values: list[int], per_value: int, longest: int) -> tuple[dict[int, int], DataFrame]:
+    """How many documents have each label, and label, doc_id, text of at most ``per_value`` of each label, those of the least hash of
+    doc_id, that aren't held out.
+
+    A document labelled more than once counts with its least label; of rows that repeat a doc_id the text of the least hash is
+    taken; texts of more than ``longest`` characters aren't learnt from.  So the sample's rows and bytes are bounded."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label.cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(values)).where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
     totals = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [known.where(F.col("label") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
-    # at most 2 * per_class ids are broadcast; the sample's texts stay in the shared folder
-    sample = settled(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(chosen[0].union(chosen[1]).dropDuplicates(["doc_id"])), "doc_id")
-        .select("label", "doc_id", "text")
-    )
+    chosen = None
+    for y in values:
+        one = known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_value)
+        chosen = one if chosen is None else chosen.union(one)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    # at most len(values) * per_value ids are broadcast
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("label", "text"), F.xxhash64("text")).alias("r"))
+    return totals, found.select("r.label", "doc_id", "r.text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 5000, dims: int = 1 << 20, evidence: float = 15.0, longest: int = 1 << 20) -> Model:
+    """Model from labels (doc_id, ``label`` 0/1) of documents that aren't held out, chosen by ``labelled``: at most ``per_class`` of
+    each class, of at most ``longest`` characters.  Rows without label or doc_id aren't used; without any row every score is near 0."""
+    totals, found = labelled(docs, labels, F.col(label), [0, 1], per_class, longest)
+    # the sample's texts stay in the shared folder
+    sample = settled(found)
     speaks = speaking(sample, dims, evidence)
 
     def numbers(batch):
@@ -191,7 +203,7 @@ def document_scores(model: Model, data: np.ndarray, offsets: np.ndarray):
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """For each row of docs (doc_id, text; further columns are ignored): doc_id, held_out, score (noisy-or; 0 for a null or
     empty text or one without words), predicted, n_sentences, worst_score, offending: first and last byte, in turn, of the
-    sentences that reach the threshold by themselves."""
+    sentences that reach the threshold by themselves.  Repeated rows get the same result; a long text is scored whole."""
 
     def one(batch):
         texts = Texts(batch.column("text"))
@@ -221,7 +233,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_cla
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """Rows of docs, with all their columns, whose score stays below the threshold.  One pass, no shuffle."""
+    """Rows of docs, with all their columns, whose score stays below the threshold; a null or empty text stays.  One pass, no shuffle."""
 
     def one(it):
         for batch in it:
