@@ -233,12 +233,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     sig = settled(signatures(docs, size, k))
     some = sig.where("n_shingles > 0 and doc_id is not null").withColumnRenamed("n_shingles", "n")
     classes = settled(some.groupBy("fp", "n").agg(F.min("doc_id").alias("doc")))
-    lists = listed(some.groupBy("fp", "n").agg(F.min("sketch").alias("sketch")))
-    # one exchange; lists of one class end here
-    live = settled(lists.selectExpr("key", "fp", "count(*) over (partition by key) members").where("members > 1"))
-    weight = live.groupBy("fp").agg(F.sum("members").alias("weight"))
-    hubs = settled(live.join(weight, "fp").selectExpr("max(struct(weight, fp)) over (partition by key).fp hub", "fp").distinct())
-    sets = settled(full_sets(docs, classes.select("fp", "doc").join(weight, "fp", "left_semi"), size))
+    lists = listed(settled(some.groupBy("fp", "n").agg(F.min("sketch").alias("sketch"))))
+    # lists are counted on the map side first, so one that very many classes stand in is no hot task; lists of one class end here
+    shared = lists.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    live = settled(lists.join(shared, "key"))
+    weighed = settled(live.join(live.groupBy("fp").agg(F.sum("members").alias("weight")), "fp"))
+    named = weighed.groupBy("key").agg(F.max(F.struct("weight", "fp"))["fp"].alias("hub"))
+    hubs = settled(weighed.select("key", "fp").join(named, "key").select("hub", "fp").distinct())
+    sets = settled(full_sets(docs, classes.select("fp", "doc").join(hubs.select("fp"), "fp", "left_semi"), size))
     links = settled(confirmed(hubs.where("hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b")), sets, percent, k))
     comp = components(links)
     members = settled(hubs.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("hub", "fp", F.coalesce("component", "fp").alias("component")))
@@ -259,8 +261,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 128) -> DataFrame:
     """Rows of docs, with all their columns, without near duplicates: of each group of ``near_duplicates`` the row with the
-    smallest doc_id stays (of rows that repeat a doc_id, one).  Rows without doc_id stay."""
+    smallest doc_id stays (of rows that repeat a doc_id, the one whose text has the least hash).  Rows without doc_id stay."""
     kept = near_duplicates(docs, size, percent, k).where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi")
     # partitioned by doc_id already
-    return named.dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    one = named.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(F.col("text").cast("string"))).alias("_row"))
+    return one.select("_row.*").union(docs.where("doc_id is null"))
