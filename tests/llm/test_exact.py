@@ -118,7 +118,7 @@ def test_empty_tables(spark):
         assert made.collect() == []
 
 
-@pytest.mark.parametrize("small", [2000, 0])
+@pytest.mark.parametrize("small", [2000, 20, 0])
 def test_repeats(docs, rows, small):
     length = 400
     counts = collections.Counter()

@@ -3,13 +3,15 @@
 import collections
 import itertools
 import math
+import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lanewise.llm import language, quality, toxicity
-from lanewise.llm.bytesnum import U
+from lanewise.llm.bytesnum import U, prefix, spans
 from lanewise.llm.common import held_out, table
 
 from .fixtures import documents, with_clashing_columns
@@ -187,3 +189,42 @@ def test_kneser_ney_equals_its_definition():
     every = ["".join(g) for g in itertools.product("abcdr ", repeat=4)]
     got = model.log_prob(np.array([pack(g) for g in every], np.uint64))
     assert np.allclose(got, [np.log(prob(g)) for g in every])
+
+
+def test_labels_that_differ_and_rows_that_repeat(spark):
+    """The least label counts, one row of each doc_id is learnt from, and a long text isn't."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    a, b, c, d = ids[:4]
+    docs = spark.createDataFrame([(a, "x"), (a, "y"), (a, "y"), (b, "z" * 50), (c, None), (d, "w"), (None, "v")], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, 1), (a, 0), (b, 1), (c, 0), (d, 1), (d, 1), (None, 1), (ids[5], 7)], "doc_id long, toxic int")
+    totals, sample = toxicity.labelled(docs, labels, F.col("toxic"), [0, 1], 10, 40)
+    got = {r.doc_id: (r.label, r.text) for r in sample.collect()}
+    assert totals == {0: 2, 1: 2} and set(got) == {a, c, d} and got[c] == (0, None) and got[d] == (1, "w") and got[a][0] == 0
+    for part in (sample, sample.repartition(7)):
+        assert {r.doc_id: (r.label, r.text) for r in part.collect()} == got
+
+
+def test_toxicity_equals_a_naive_scorer(spark, docs, labels):
+    """Sentences and words cut by regular expressions, each hashed by itself, summed and joined by noisy-or."""
+    model = toxicity.fit(docs, labels)
+    dims = len(model.weights)
+
+    def bucket(word, k=0):
+        data = np.frombuffer(word, np.uint8)
+        return int((spans(prefix(data), np.array([0]), np.array([len(data)]))[0] ^ U(k)) & U(dims - 1))
+
+    def naive(text):
+        clean = 1.0
+        for sentence in re.split(rb"[.!?\n]", (text or "").encode()):
+            words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", sentence)
+            if words:
+                low = [bytes(c + 32 if 65 <= c < 91 else c for c in w) for w in words]
+                z = model.bias + sum(float(model.weights[bucket(w)]) + sum(float(model.weights[bucket(w[:n], k)]) if len(w) > n else float(model.weights[0]) for k, n in enumerate(toxicity.STEMS, 1)) for w in low)
+                base = 1 / (1 + math.exp(-model.bias))
+                clean *= 1 - max(0.0, (1 / (1 + math.exp(-min(40, max(-40, z)))) - base) / (1 - base))
+        return 1 - clean
+
+    some = docs.where("doc_id is null or doc_id % 9 = 0 or doc_id >= 10000")
+    want = sorted((r.doc_id if r.doc_id is not None else -1, round(naive(r.text), 6)) for r in some.collect())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, round(r.score, 6)) for r in toxicity.score(with_clashing_columns(some), model).collect())
+    assert got == want
