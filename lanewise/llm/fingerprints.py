@@ -75,9 +75,9 @@ KEY = ["there", "id", "h"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the key of its place among all documents: null ids first, then by id, equal ids by a hash of the text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return docs.select("doc_id", "text", F.col("doc_id").isNotNull().alias("there"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("h"))
+    """text and the key of its place among all documents: null ids first, then by id, equal ids by a hash of the text."""
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(text.alias("text"), doc_id.isNotNull().alias("there"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id"), F.xxhash64(text).alias("h"))
 
 
 def following(docs: DataFrame) -> DataFrame:
@@ -96,7 +96,9 @@ def following(docs: DataFrame) -> DataFrame:
 
 def with_next(docs: DataFrame, k: int) -> DataFrame:
     """doc_id and text of each row, and of the document after it ``head``, as many leading characters as half the row's own text has,
-    and ``following``, its sketch.  Rows that repeat a doc_id and a text are one document here, and get the same."""
+    and ``following``, its sketch.  Rows that repeat a doc_id and a text are one document here, and get the same.
+
+    Both joins read the same columns of the rows, so texts are shuffled once."""
     rows = keyed(docs)
     links = following(rows)
     before = links.select("half", *[F.col(c).alias(f"to_{c}") for c in KEY], *[F.col(f"next.{c}").alias(c) for c in KEY])
@@ -104,7 +106,7 @@ def with_next(docs: DataFrame, k: int) -> DataFrame:
     given = rows.join(before, KEY).select(*to, F.expr("left(text, half)").alias("head"), sketch(F.col("text"), k).alias("following"))
     # repeated rows hand over the same
     once = given.groupBy(*to).agg(F.any_value("head").alias("head"), F.any_value("following").alias("following"))
-    return rows.join(once.select(*[F.col(f"to_{c}").alias(c) for c in KEY], "head", "following"), KEY).select("doc_id", "text", "head", "following")
+    return rows.join(once.select(*[F.col(f"to_{c}").alias(c) for c in KEY], "head", "following"), KEY).select(F.when(F.col("there"), F.col("id")).alias("doc_id"), "text", "head", "following")
 
 
 def neighbours(docs: DataFrame, k: int = 64) -> DataFrame:
