@@ -30,6 +30,21 @@ def matched(truth: DataFrame, predictions: DataFrame, key: str, rank: str | None
     return joined.where(complete).drop("_there")
 
 
+def aligned(truth: DataFrame, predictions: DataFrame, position: str, key: str) -> DataFrame:
+    """Truth with the prediction at the same position; an error where one of both is missing or their keys differ."""
+    others = [c for c in predictions.columns if c not in (position, key)]
+    p = predictions.select(position, F.col(key).alias("_key"), *others)
+    joined = truth.join(p, position, "full")
+    same = F.when(F.coalesce(F.col(key) != F.col("_key"), F.lit(True)), F.raise_error(F.concat(F.lit("no match at position "), F.col(position).cast("string")))).otherwise(F.lit(True))
+    return joined.where(same).drop("_key")
+
+
+def typed(rows: DataFrame, answer: str, choices: str, truth_choices: str) -> DataFrame:
+    """Adds prediction: the typed answer if it is one of its choices, else null.  Choices other than the truth's are an error."""
+    same = F.when(~F.col(choices).eqNullSafe(F.col(truth_choices)), F.raise_error(F.lit("a prediction has other choices than its truth"))).otherwise(F.lit(True))
+    return rows.where(same).withColumn("prediction", F.when(F.array_contains(choices, F.col(answer)), F.col(answer)))
+
+
 def classified(rows: DataFrame, kinds: DataFrame, name: str, strict: bool = True) -> DataFrame:
     """Rows with the columns of their kind (a constant dimension, keyed by ``name``); a name without kind raises an error, or
     without ``strict`` its rows go (``unmapped`` has them)."""
@@ -146,6 +161,17 @@ def failures(rows: DataFrame, keys: list[str], least: int, truth: str = "truth",
     return confusion(rows.where(F.col(truth) != F.col(prediction)), keys, truth, prediction).where(F.col("n") >= least)
 
 
+def model_failures(rows: DataFrame, model: str, top: int = 3, truth: str = "truth", prediction: str = "prediction") -> DataFrame:
+    """model, total, accuracy, rank, truth, prediction, n: the commonest valid but wrong pairs of each model, ties by name; a model without
+    one has no row.  From one small table of counts."""
+    counts = confusion(rows, [model], truth, prediction)
+    hit = F.col(truth) == F.col(prediction)
+    whole = counts.groupBy(model).agg(F.sum("n").alias("total"), ratio(F.sum(F.when(hit, F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
+    order = Window.partitionBy(model).orderBy(F.col("n").desc(), truth, prediction)
+    wrong = counts.where(~hit).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return whole.join(wrong, model).select(model, "total", "accuracy", "rank", truth, prediction, "n")
+
+
 def cross_model_failures(rows: DataFrame, question: str, model: str, models: int = 2, total: int = 3, truth: str = "truth", prediction: str = "prediction") -> DataFrame:
     """Failures that several models share: question, truth, prediction, n_models, n, score = n_models * n, by_model ('a:3,b:1').
 

@@ -14,6 +14,19 @@ def cameras(frames: DataFrame) -> DataFrame:
     return frames.select("scene_id", "timestamp", F.posexplode("images").alias("pos", "c")).select("scene_id", "timestamp", "pos", "c.*")
 
 
+def fan_out(frames: DataFrame) -> dict[str, DataFrame]:
+    """The relations of nested frames (rows of ``schema.FRAMES``): scenes (with their sorted timestamps), frames without their lists,
+    cameras, point clouds and references of objects.  Each is one projection or aggregation of the scan."""
+    each = lambda c: frames.select("scene_id", "timestamp", F.posexplode(c).alias("pos", "c")).select("scene_id", "timestamp", "pos", "c.*")
+    return {
+        "scenes": frames.groupBy("scene_id").agg(F.array_sort(F.collect_set("timestamp")).alias("timestamps")),
+        "frames": frames.drop("images", "point_clouds", "objects"),
+        "cameras": each("images"),
+        "point_clouds": each("point_clouds"),
+        "objects": each("objects"),
+    }
+
+
 def labelled(objects: DataFrame, labels: DataFrame, colors: DataFrame) -> DataFrame:
     """Objects with cvat_label, cvat_color and in_cvat from two dictionaries (object_id, value).
 

@@ -307,3 +307,25 @@ def accuracy_heat_map(spark, sf_dir):
 def sample_weighted_leaderboard(spark, sf_dir):
     board = ev.macro(figures(spark, sf_dir, ["model", "question"]), ["model", "question"])
     return rounded(ev.weighted_mean(board, ["model"], ["f1", "recall"], "samples"), "f1", "recall")
+
+
+@query(f"""{RESULTS}, c AS (SELECT model, truth, prediction, count(*) AS n FROM results GROUP BY ALL), w AS (SELECT model, CAST(sum(n) AS BIGINT) AS total, round(coalesce(sum(n) FILTER (WHERE truth = prediction), 0) / sum(n), 6) AS accuracy FROM c GROUP BY model)
+SELECT model, total, accuracy, CAST(row_number() OVER (PARTITION BY model ORDER BY n DESC, truth, prediction) AS INTEGER) AS rank, truth, prediction, n FROM c JOIN w USING (model) WHERE truth <> prediction QUALIFY rank <= 3""")
+def model_top_confusions(spark, sf_dir):
+    return rounded(ev.model_failures(results(spark, sf_dir), "model"), "accuracy")
+
+
+@query("SELECT l_orderkey AS position, o_orderpriority AS truth, n AS prediction FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) JOIN orders ON l_orderkey = o_orderkey")
+def aligned_predictions(spark, sf_dir):
+    """Orders and counts of their lines, by position, with the key as what must agree."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("position")).agg(F.count("*").alias("prediction")).withColumn("key", F.col("position"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("position"), F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("truth"))
+    truth = orders.join(lines.select("position"), "position", "left_semi")
+    return ev.aligned(truth, lines, "position", "key").select("position", "truth", "prediction")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN o_orderpriority END AS prediction FROM orders")
+def typed_predictions(spark, sf_dir):
+    choices = F.array(*map(F.lit, ["1-URGENT", "2-HIGH", "3-MEDIUM"]))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", choices.alias("choices"), choices.alias("truth_choices"))
+    return ev.typed(rows, "o_orderpriority", "choices", "truth_choices").select("o_orderkey", "prediction")

@@ -252,3 +252,10 @@ def embedding_prompt_similarity(spark, sf_dir):
 def objects_in_view(spark, sf_dir):
     o = table(spark, sf_dir, "events").select(F.col("user_id").alias("scene_id"), F.when(F.col("value") > 10, "FRONT").alias("most_visible_camera_name"))
     return scenes.in_view(o).groupBy("scene_id").agg(F.count("*").alias("n"))
+
+
+@query(f"{E}, p AS (SELECT a.vec_id, a.v AS a, b.v AS b FROM e a JOIN e b ON b.vec_id = a.vec_id + 1), d AS (SELECT vec_id, list_sum(list_transform(list_zip(a, b), lambda p: p[1] * p[2])) AS ab, list_sum(list_transform(a, lambda x: x * x)) AS aa, list_sum(list_transform(b, lambda x: x * x)) AS bb FROM p) SELECT vec_id, round(CASE WHEN aa * bb = 0 THEN 0.0 ELSE ab / (sqrt(aa) * sqrt(bb)) END, 6) AS cosine FROM d")
+def embedding_cosine(spark, sf_dir):
+    """Cosine of each vector with the one of the next id."""
+    e = vectors(spark, sf_dir).select("vec_id", "v")
+    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id").select("vec_id", F.round(g.cosine(F.col("v"), F.col("w")), 6).alias("cosine"))

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import speed_band
-from ..functions.text import day_period
-from ..operators import scenes, trajectories
+from ..functions.text import camera_display, day_period
+from ..operators import questions, scenes, trajectories
 from ..operators import sequence as s
 from ..schema import BANDS, bands
 from ..sources.tables import table
@@ -331,3 +331,20 @@ def mean_speed(spark, sf_dir):
 @query("SELECT event_id, user_id, value FROM events WHERE user_id = 3 AND event_type = 'click' ORDER BY ts, event_id LIMIT 1")
 def object_lookup(spark, sf_dir):
     return scenes.lookup(table(spark, sf_dir, "events"), ["ts", "event_id"], user_id=3, event_type="click").select("event_id", "user_id", "value")
+
+
+@query("SELECT o_orderkey AS scene_id, l_linenumber AS name, l_suppkey AS path FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def frame_fan_out(spark, sf_dir):
+    """Orders as frames that nest their lines as cameras, flattened again."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("name"), F.col("l_suppkey").alias("path"))).alias("images"))
+    none = F.array().cast("array<struct<id: string, path: string>>")
+    frames = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("scene_id"), F.lit(0).cast("long").alias("timestamp"), "images", none.alias("point_clouds"), none.alias("objects"))
+    return scenes.fan_out(frames)["cameras"].select("scene_id", "name", "path")
+
+
+@query("SELECT p_partkey, lower(replace(p_brand || '_' || p_type, '_', ' ')) AS camera, CASE WHEN p_size % 2 = 0 THEN p_name || '.jpg' ELSE p_type || '.jpg' END AS image FROM part")
+def camera_images(spark, sf_dir):
+    """The image of a named camera, of the front one where none is named, and the camera's name as shown."""
+    name = F.when(F.col("p_size") % 2 == 0, F.lit("SIDE"))
+    image = questions.best_image(F.array(F.concat("p_name", F.lit(".jpg")), F.concat("p_type", F.lit(".jpg"))), F.array(F.lit("SIDE"), F.lit("FRONT")), name)
+    return table(spark, sf_dir, "part").select("p_partkey", camera_display(F.concat_ws("_", "p_brand", "p_type")).alias("camera"), image.alias("image"))

@@ -42,9 +42,10 @@ ANSWER = (
     "score DOUBLE, scores ARRAY<DOUBLE>, object_id STRING, prompt STRING"
 )
 QUESTION_TYPES = (
-    "single_image", "single_image_multi_prompt", "single_image_multi_choice", "multi_image", "multi_image_single_object",
-    "multi_frame_multi_choice", "multi_image_lidar",
+    "single_image", "single_image_single_object", "single_image_multi_prompt", "single_image_multi_choice", "single_base64_image_multi_choice",
+    "multi_image_lidar", "multi_image", "multi_frame_multi_choice", "multi_image_single_object",
 )
+ANSWER_TYPES = ("object_2d", "multi_object_2d", "raw_text", "multiple_choice", "regression")
 
 # The data set's label, colour and type names, thresholds in metres a second, and question texts.
 LABELS_BY_GROUP = {

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import ANSWER, QUESTION
+from ..schema import ANSWER, ANSWER_TYPES, QUESTION, QUESTION_TYPES
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +45,13 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("tag", F.inline("samples")).select("tag", F.from_json("question", QUESTION).alias("question"), F.from_json("answer", ANSWER).alias("answer"))
 
 
+def known_types(samples: DataFrame, questions: tuple[str, ...] = QUESTION_TYPES, answers: tuple[str, ...] = ANSWER_TYPES) -> DataFrame:
+    """Samples whose question and answer name a known kind; any other name, or none, is an error."""
+    bad = ~(F.coalesce(F.col("question.question_type").isin(*questions), F.lit(False)) & F.coalesce(F.col("answer.answer_type").isin(*answers), F.lit(False)))
+    said = F.concat_ws(", ", F.lit("unknown kind"), F.coalesce("question.question_type", F.lit("null")), F.coalesce("answer.answer_type", F.lit("null")))
+    return samples.where(F.when(bad, F.raise_error(said)).otherwise(F.lit(True)))
+
+
 def encoded_samples(samples: DataFrame) -> DataFrame:
     """value: one line of such a file for each tag.  For data sets of the size of a file; others stay as tables."""
     one = F.struct(F.to_json("question").alias("question"), F.to_json("answer").alias("answer"))

@@ -198,6 +198,22 @@ def test_every_truth_needs_a_prediction(spark):
         evaluation.matched(truth, twice.where("k = 1"), "k").collect()
 
 
+def test_aligned_needs_the_same_keys(spark):
+    truth = spark.createDataFrame([(0, "a", "yes"), (1, "b", "no")], "i int, id string, truth string")
+    good = spark.createDataFrame([(0, "a", "no"), (1, "b", "no")], "i int, id string, prediction string")
+    assert sorted(r.prediction for r in evaluation.aligned(truth, good, "i", "id").collect()) == ["no", "no"]
+    for bad in ([(0, "a", "no"), (1, "c", "no")], [(0, "a", "no")], [(0, "a", "no"), (1, "b", "no"), (2, "c", "no")]):
+        with pytest.raises(Exception, match="no match at position"):
+            evaluation.aligned(truth, spark.createDataFrame(bad, good.schema), "i", "id").collect()
+
+
+def test_typed_predictions_need_the_same_choices(spark):
+    rows = spark.createDataFrame([("a", ["a", "b"], ["a", "b"]), ("c", ["a", "b"], ["a", "b"])], "answer string, choices array<string>, asked array<string>")
+    assert [r.prediction for r in evaluation.typed(rows, "answer", "choices", "asked").collect()] == ["a", None]
+    with pytest.raises(Exception, match="other choices"):
+        evaluation.typed(rows.withColumn("asked", F.array(F.lit("a"))), "answer", "choices", "asked").collect()
+
+
 def test_shared_failures(spark):
     rows = [("q", "m1", "a", "b")] * 2 + [("q", "m2", "a", "b")] + [("q", "m1", "c", "b")] * 5 + [("q", "m2", "a", "a")]
     got = evaluation.cross_model_failures(spark.createDataFrame(rows, "question string, model string, truth string, prediction string"), "question", "model").collect()
@@ -229,6 +245,14 @@ def test_greedy_matching_takes_each_truth_once(spark):
     assert flags == {11: True, 12: True, 13: False}
 
 
+def test_a_cap_of_boxes_is_only_by_choice(spark):
+    box = [0.0, 0.0, 10.0, 10.0]
+    truth = spark.createDataFrame([(1, i, *box) for i in range(130)], "image int, box_id int, x1 double, y1 double, x2 double, y2 double")
+    found = spark.createDataFrame([(1, i, *box, 1 - i / 1000) for i in range(130)], "image int, box_id int, x1 double, y1 double, x2 double, y2 double, score double")
+    assert detection.greedy(truth, found, [0.5]).where("matched").count() == 130
+    assert detection.greedy(truth, found, [0.5], most=100).where("matched").count() == 100
+
+
 def test_average_precision(spark):
     rng = random.Random(1)
     rows = [(0, i, rng.random(), rng.random() < 0.5) for i in range(40)]

@@ -25,6 +25,18 @@ def test_samples_round_trip(spark, tmp_path):
     assert again.collect() == rows
 
 
+def test_unknown_kinds_are_refused(spark, tmp_path):
+    kinds = [("single_image_multi_choice", "multiple_choice"), ("multi_image_lidar", "regression"), ("single_base64_image_multi_choice", "raw_text"), ("single_image_single_object", "object_2d")]
+    sample = lambda q, a: {"question": json.dumps({"question_type": q, "question_id": q}), "answer": json.dumps({"answer_type": a, "value": 1.5, "box": [1, 2, 3, 4], "text": "t"})}
+    (tmp_path / "good.json").write_text(json.dumps({"tag": "t", "samples": [sample(*k) for k in kinds]}))
+    good = tables.known_types(tables.read_samples(spark, str(tmp_path / "good.json")))
+    assert good.count() == 4 and {r.answer.value for r in good.collect()} == {1.5}
+    for q, a in (("no_such", "regression"), ("multi_image", "no_such"), ("multi_image", None)):
+        (tmp_path / "bad.json").write_text(json.dumps({"tag": "t", "samples": [sample(q, a)]}))
+        with pytest.raises(Exception, match="unknown kind"):
+            tables.known_types(tables.read_samples(spark, str(tmp_path / "bad.json"))).collect()
+
+
 def test_lists_batches_and_finished_outputs(spark, tmp_path):
     tables.write_list(spark.createDataFrame([("b ",), ("",), ("a",)], "s string"), "s", f"{tmp_path}/list")
     assert sorted(r.value for r in tables.read_list(spark, f"{tmp_path}/list").collect()) == ["a", "b"]
