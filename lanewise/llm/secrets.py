@@ -104,10 +104,13 @@ def located(text: Column, pattern: str, rank: int, keep: Column | None = None) -
 
 def normal_tail(z: Column) -> Column:
     """Two-sided p-value of a normal deviate (a rational approximation, error below 1e-7)."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.least(F.lit(1.0), 2 * 0.3989422804014327 * F.exp(-x * x / 2) * poly)
+
+    def tail(x: Column) -> Column:
+        poly = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return F.least(F.lit(1.0), 2 * 0.3989422804014327 * F.exp(-x * x / 2) * bound_to(1 / (1 + 0.2316419 * x), poly))
+
+    # the deviate is a long expression: it is written down once
+    return bound_to(F.abs(z), tail)
 
 
 def encoded(token: Column) -> Column:
@@ -154,7 +157,8 @@ def p_value(kind: Column) -> Column:
             cov = total(F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: (x[i] - mean) * (x[i - 1] - mean)))
             return F.when(var <= 0, F.lit(40.0)).otherwise((cov / var + 1 / n) * F.sqrt(n))
 
-        one = F.when(bound_to(classes, chi) > 0, normal_tail(bound_to(classes, chi))).otherwise(F.lit(1.0))
+        # only too uneven counts speak against uniform signs
+        one = normal_tail(F.greatest(bound_to(classes, chi), F.lit(0.0)))
         two = normal_tail(bound_to(F.transform(x, lambda v: F.when(v >= m / 2, 1.0).otherwise(0.0)), runs))
         three = normal_tail(bound_to(total(x) / n, lambda mean: serial(x, mean)))
         four = normal_tail((total(x) / n - (m - 1) / 2) / F.sqrt((m * m - 1) / (12 * n)))
