@@ -89,6 +89,59 @@ def test_near_duplicates_without_a_hub(spark):
     assert got == {i: root(i) for i in range(len(sets))}
 
 
+def classes_of(texts, size=2):
+    sets, parent = [shingles(t, size) for t in texts], list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
+    return [root(i) for i in range(len(sets))]
+
+
+def template_texts(n, own, seed, pool=0):
+    """n texts of one template of 200 words with ``own`` words of each text's own (of a pool of words, if any) put in; every
+    seventh has a near copy, which its hub needn't link with."""
+    rng = random.Random(seed)
+    texts = []
+    for i in range(n):
+        w = [f"t{j}" for j in range(200)]
+        for j in sorted(rng.sample(range(200), own)):
+            w[j] = f"p{rng.randrange(pool)}" if pool else f"o{i}x{j}"
+        texts.append(" ".join(w))
+        if i % 7 == 0:
+            w[rng.randrange(200)] = "copy"
+            texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize(("own", "pool"), [(25, 0), (14, 0), (30, 12)])
+def test_near_duplicates_on_a_template(spark, own, pool):
+    texts = template_texts(60, own, own, pool) + template_texts(40, 40, 3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, size=2).collect()}
+    assert got == dict(enumerate(classes_of(texts)))
+
+
+def test_unlinked_texts_of_a_template_meet_only_in_lists_of_their_own_words(spark):
+    """Rows of lists with several members grow with the near copies, not with the group's square."""
+    rows = {}
+    for n in (100, 400):
+        texts = template_texts(n, 45, 8)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        sig = near_dedup.signatures(df, 2).selectExpr("fp", "doc_id as doc")
+        sets = near_dedup.full_sets(df, sig, 2)
+        members = sig.selectExpr("1L as hub", "fp", "fp as component", f"{len(texts)}L as total")
+        rows[n] = near_dedup.several(near_dedup.rare_lists(members, sets, 80)).count()
+    assert 0 < rows[100] and rows[400] < 6 * rows[100]
+
+
 def test_deduplicated_keeps_one_row_of_each_group(docs):
     out = near_dedup.deduplicated(with_clashing_columns(docs), size=5)
     ids = [r.doc_id for r in out.select("doc_id").collect()]
