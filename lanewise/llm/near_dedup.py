@@ -15,13 +15,9 @@ whole sequence is the one element; without words the set is empty and the docume
 4. *Estimate*: of the k smallest values of both sets' union, the share in both; pairs 6 standard deviations below the
    threshold go.
 5. *Exact*: full sets, built again from the texts, are intersected.
-6. *The rest*: where the members of a hub's lists still fall into several components, sets that are linked share an element
-   among the rarest fifth of either (a set keeps ``percent`` of its elements in the intersection, so the others alone can't
-   hold a prefix one longer).  Rare is what few of ``SAMPLE`` members of the hub have; the order is the same for all of a hub's
-   members, so any sample gives a filter that loses nothing.  Texts that share a template and differ in their own words stand
-   in lists of their own, whatever their number.  A list's head is held against the others (a star), and lists that still hold
-   several components are cut into tiles of about ``BLOCK`` members and ``PROBES`` members outside the largest component, in
-   which the sketches name the pairs that step 5 verifies.
+6. *The rest*: where the members of a hub's lists still fall into several components, all members outside its largest one are
+   held against every member of another component.  They meet in tiles of about ``BLOCK`` members and ``PROBES`` outsiders, so
+   neither pairs nor a whole group are ever held by one task, and a tile writes out no more links than join its components.
 
 Every table is keyed by hashes that spread evenly; a hot group of copies is one class, a hot group of near copies is spread
 over its k runs and its blocks.
@@ -167,82 +163,48 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFr
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_elements", "b_elements").mapInArrow(lambda it: batches(it, PAIRS, compare), "a long, b long")
 
 
-BLOCK, PROBES, SAMPLE = 256, 512, 64
-ELEMENTS = pa.schema([("hub", pa.int64()), ("e", pa.int64())])
-RARE = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("component", pa.int64())])
+BLOCK, PROBES = 256, 512
 
 
-def rare_lists(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """key, fp, component: a row for each of the rarest elements of each member (hub, fp, component, total) of a hub.
-
-    Two sets of a hub with a similarity of ``percent`` or more stand in a common list."""
-
-    def every(batch):
-        hub = batch.column("hub").to_numpy()
-        elements = batch.column("elements").to_pylist()
-        yield [np.repeat(hub, [len(x) // 8 for x in elements]), np.frombuffer(b"".join(elements), np.int64)]
-
-    def rarest(batch):
-        hub, fp, component = (batch.column(c).to_numpy() for c in ("hub", "fp", "component"))
-        raw, shared, counts = (batch.column(c) for c in ("elements", "shared", "counts"))
-        for i in range(len(fp)):
-            s = np.frombuffer(raw[i].as_py(), U)
-            rank = np.zeros(len(s), np.int64)
-            if shared[i].is_valid and len(shared[i].values):
-                e, n = shared[i].values.to_numpy().view(U), counts[i].values.to_numpy()
-                order = np.argsort(e)
-                at = order[np.minimum(np.searchsorted(e, s, sorter=order), len(e) - 1)]
-                rank = np.where(e[at] == s, n[at], 0)
-            first = np.lexsort((s, rank))[: len(s) + percent * len(s) // -100 + 1]
-            keys = mix(s[first] ^ mix(hub[i : i + 1].view(U) * U(3)))
-            yield [signed(keys), np.full(len(keys), fp[i]), np.full(len(keys), component[i])]
-
-    taken = F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1), F.ceil(F.col("total") / SAMPLE)).cast("long")) == 0
-    sample = open_members.where(taken).select("hub", "fp").join(sets, "fp").select("hub", "elements").mapInArrow(lambda it: batches(it, ELEMENTS, every), "hub long, e long")
-    often = sample.groupBy("hub", "e").agg(F.count("*").alias("n")).where("n > 1")
-    known = settled(often.groupBy("hub").agg(F.collect_list(F.struct("e", "n")).alias("x")).select("hub", F.col("x.e").alias("shared"), F.col("x.n").alias("counts")))
-    full = open_members.select("hub", "fp", "component").join(sets, "fp").join(known, "hub", "left")
-    return full.select("hub", "fp", "component", "elements", "shared", "counts").mapInArrow(lambda it: batches(it, RARE, rarest), "key long, fp long, component long")
-
-
-def several(lists: DataFrame) -> DataFrame:
-    """Rows (key, fp, component) of the lists that hold several components, with the list's members."""
-    cut = lists.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    return lists.join(cut.select("key", "members"), "key")
-
-
-def in_tiles(lists: DataFrame, sketches: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs (a, b) of different components in the same list whose sketches allow a similarity of ``percent``."""
-    t = percent / 100
-    sizes = lists.groupBy("key", "component").agg(F.count("*").alias("n"))
-    # cut, so that the join below has two plain sides and a list with very many members can be split
-    plan = settled(
-        sizes.groupBy("key")
-        .agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("total"))
+def across_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components among the members (hub, fp, component) of the same hub."""
+    sizes = members.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    # cut, so that the join below has two plain sides and a hub with very many members can be split
+    hubs = settled(
+        sizes.groupBy("hub")
+        .agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("total"), F.count("*").alias("parts"))
+        .where("parts > 1")
         .select(
-            "key",
+            "hub",
             F.col("m.component").alias("largest"),
             F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"),
             F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("m.n")) / PROBES).cast("int")).alias("parts"),
         )
     )
-    planned = settled(lists.select("key", "fp", "component").join(plan, "key"))
+    open_members = settled(members.join(hubs, "hub"))
+    # a tile is a block of members and a part of those outside the largest component
     dealt = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     tile = F.col("i") * F.col("parts") + F.col("j")
-    held = planned.withColumn("i", dealt("blocks")).withColumn("j", every("parts")).select("key", tile.alias("block"), F.lit(1).alias("probe"), "fp", "component")
-    probes = planned.where("component <> largest").withColumn("j", dealt("parts")).withColumn("i", every("blocks")).select("key", tile.alias("block"), F.lit(2).alias("probe"), "fp", "component")
+    held = open_members.withColumn("i", dealt("blocks")).withColumn("j", every("parts")).select("hub", tile.alias("block"), F.lit(1).alias("probe"), "fp", "component")
+    probes = open_members.where("component <> largest").withColumn("j", dealt("parts")).withColumn("i", every("blocks")).select("hub", tile.alias("block"), F.lit(2).alias("probe"), "fp", "component")
 
     def compare(it):
-        at, block, index = None, [], None
+        at, block, index, root = None, [], None, {}
+
+        def top(c):
+            while c in root:
+                c = root[c]
+            return c
+
         for batch in it:
-            key, place, probe, fp, comp = (batch.column(c).to_pylist() for c in ("key", "block", "probe", "fp", "component"))
-            raw = batch.column("sketch")
+            hub, place, probe, fp, comp = (batch.column(c).to_pylist() for c in ("hub", "block", "probe", "fp", "component"))
+            raw = batch.column("elements")
             a, b = [], []
-            for i in range(len(key)):
+            for i in range(len(hub)):
                 s = np.frombuffer(raw[i].as_py(), U)
-                if (key[i], place[i]) != at:
-                    at, block, index = (key[i], place[i]), [], None
+                if (hub[i], place[i]) != at:
+                    at, block, index, root = (hub[i], place[i]), [], None, {}
                 if probe[i] == 1:
                     block.append((fp[i], comp[i], s))
                     continue
@@ -251,38 +213,20 @@ def in_tiles(lists: DataFrame, sketches: DataFrame, percent: int, k: int) -> Dat
                 if index is None:
                     size = np.array([len(x) for _, _, x in block])
                     index = np.concatenate([x for _, _, x in block]), np.repeat(np.arange(len(block)), size), size, np.array([c for _, c, _ in block]), [f for f, _, _ in block]
-                values, of, size, comps, names = index
-                near = s[np.minimum(np.searchsorted(s, values), len(s) - 1)] == values
-                both, most = np.bincount(of[near], minlength=len(size)), np.maximum(size, len(s))
-                # sketches of fewer than k are whole sets; else the union's is no shorter than the longer of both, and shares no more
-                like = np.where(most < k, 100 * both >= percent * (size + len(s) - both), both >= most * (t - 6 * (t * (1 - t) / most) ** 0.5))
-                for j in np.flatnonzero(like & (comps != comp[i])).tolist():
-                    a.append(min(fp[i], names[j]))
-                    b.append(max(fp[i], names[j]))
+                every, of, size, comps, names = index
+                near = s[np.minimum(np.searchsorted(s, every), len(s) - 1)] == every
+                shared = np.bincount(of[near], minlength=len(size))
+                for j in np.flatnonzero((100 * shared >= percent * (size + len(s) - shared)) & (comps != comp[i])).tolist():
+                    # a link between components that this tile has joined already says nothing new
+                    p, q = top(comp[i]), top(int(comps[j]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        a.append(fp[i])
+                        b.append(names[j])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=PAIRS)
 
-    rows = held.union(probes).join(sketches.select("fp", "sketch"), "fp").select("key", "block", "probe", "fp", "component", "sketch")
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "probe").mapInArrow(compare, "a long, b long").distinct()
-
-
-def across_components(members: DataFrame, links: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int, k: int) -> DataFrame | None:
-    """Links, with those given, between different components among the members (hub, fp, component) of the same hub; None if
-    there are no more than those given."""
-    sizes = members.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("total")).where("lo <> hi")
-    open_members = settled(members.join(sizes.select("hub", "total"), "hub"))
-    live = settled(several(settled(rare_lists(open_members, sets, percent))))
-    if not live.limit(1).count():
-        return None
-    weights = live.groupBy("fp").agg(F.sum("members").alias("weight"))
-    heads = live.join(weights, "fp").groupBy("key").agg(F.max(F.struct("weight", "fp", "component")).alias("h")).select("key", F.col("h.fp").alias("head"), F.col("h.component").alias("head_component"))
-    star = live.join(heads, "key").where("component <> head_component").select(F.least("head", "fp").alias("a"), F.greatest("head", "fp").alias("b")).distinct()
-    links = settled(links.union(confirmed(star, sets, percent, k)))
-    now = components(links).select(F.col("node").alias("fp"), F.col("component").alias("now"))
-    left = settled(several(live.join(now, "fp", "left").select("key", "fp", F.coalesce("now", "fp").alias("component"))))
-    if left.limit(1).count():
-        links = settled(links.union(confirmed(in_tiles(left, sketches, percent, k), sets, percent, k)))
-    return links
+    return held.union(probes).join(sets, "fp").select("hub", "block", "probe", "fp", "component", "elements").repartition("hub", "block").sortWithinPartitions("hub", "block", "probe").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 128) -> DataFrame:
@@ -299,8 +243,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     sig = settled(signatures(docs, size, k))
     some = sig.where("n_shingles > 0 and doc_id is not null").withColumnRenamed("n_shingles", "n")
     classes = settled(some.groupBy("fp", "n").agg(F.min("doc_id").alias("doc")))
-    sketches = settled(some.groupBy("fp", "n").agg(F.min("sketch").alias("sketch")))
-    lists = listed(sketches)
+    lists = listed(settled(some.groupBy("fp", "n").agg(F.min("sketch").alias("sketch"))))
     # lists are counted on the map side first, so one that very many classes stand in is no hot task; lists of one class end here
     shared = lists.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     live = settled(lists.join(shared, "key"))
@@ -311,9 +254,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     links = settled(confirmed(hubs.where("hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b")), sets, percent, k))
     comp = components(links)
     members = settled(hubs.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("hub", "fp", F.coalesce("component", "fp").alias("component")))
-    more = across_components(members, links, sets, sketches, percent, k)
-    if more is not None:
-        comp = components(more)
+    more = settled(across_components(members, sets, percent))
+    if more.limit(1).count():
+        comp = components(links.union(more))
     named = comp.join(classes.select(F.col("fp").alias("node"), "doc"), "node")
     smallest = named.groupBy("component").agg(F.min("doc").alias("smallest"))
     by_class = classes.select("fp", "n", "doc").join(named.join(smallest, "component").select(F.col("node").alias("fp"), "smallest"), "fp", "left")

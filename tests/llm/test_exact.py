@@ -107,7 +107,7 @@ def classes_of(texts, size=2):
 
 def template_texts(n, own, seed, pool=0):
     """n texts of one template of 200 words with ``own`` words of each text's own (of a pool of words, if any) put in; every
-    seventh has a near copy, which its hub needn't link with."""
+    seventh has a near copy."""
     rng = random.Random(seed)
     texts = []
     for i in range(n):
@@ -129,19 +129,6 @@ def test_near_duplicates_on_a_template(spark, own, pool):
     assert got == dict(enumerate(classes_of(texts)))
 
 
-def test_unlinked_texts_of_a_template_meet_only_in_lists_of_their_own_words(spark):
-    """Rows of lists with several members grow with the near copies, not with the group's square."""
-    rows = {}
-    for n in (100, 400):
-        texts = template_texts(n, 45, 8)
-        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        sig = near_dedup.signatures(df, 2).selectExpr("fp", "doc_id as doc")
-        sets = near_dedup.full_sets(df, sig, 2)
-        members = sig.selectExpr("1L as hub", "fp", "fp as component", f"{len(texts)}L as total")
-        rows[n] = near_dedup.several(near_dedup.rare_lists(members, sets, 80)).count()
-    assert 0 < rows[100] and rows[400] < 6 * rows[100]
-
-
 def test_deduplicated_keeps_one_row_of_each_group(docs):
     out = near_dedup.deduplicated(with_clashing_columns(docs), size=5)
     ids = [r.doc_id for r in out.select("doc_id").collect()]
