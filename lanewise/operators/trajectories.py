@@ -55,14 +55,28 @@ def tracks(frames: DataFrame, observations: DataFrame) -> DataFrame:
 
     Scenes with fewer than three frames are left out.  An object gets a row for every frame of its scene; positions and speed
     between its observations are interpolated.  An unknown speed is 0; an observation without a position fills nothing in.
-    kind and label are those of its last observation."""
+    kind and label are those of its last observation.  An object has one observation in a frame at most.
+
+    Observations learn their frame and the observation after them first, which is work on the few rows that there are.  The grid of
+    objects and frames is then shuffled and sorted once, with the observations as marks among its rows."""
     path = s.ego_motion(s.with_frame_index(frames, ["scene_id"], ["timestamp"]), ["scene_id"], ["timestamp"], ("ex", "ey", "ez"))
     path = path.withColumn("n", F.count("*").over(Window.partitionBy("scene_id"))).where("n >= 3")
-    known = observations.groupBy(*TRACK).agg(F.max_by(F.struct("kind", "label"), "timestamp").alias("a")).select(*TRACK, "a.*")
-    grid = path.join(known, "scene_id")
-    seen = observations.select(*TRACK, "timestamp", "x", "y", "z", F.coalesce("speed", F.lit(0.0)).alias("speed"), "lidar", F.lit(True).alias("observed"))
-    full = grid.join(seen, [*TRACK, "timestamp"], "left").withColumn("observed", F.coalesce("observed", F.lit(False)))
-    return s.filled_in(full, ["x", "y", "z", "speed"], F.col("timestamp").cast("double"), TRACK, ["idx"])
+    filled = ["x", "y", "z", "speed"]
+    point = F.when(F.col("x").isNotNull(), F.struct(*filled, F.col("timestamp").cast("double").alias("t"), "idx"))
+    placed = observations.withColumn("speed", F.coalesce("speed", F.lit(0.0))).join(path.select("scene_id", "timestamp", "idx"), ["scene_id", "timestamp"], "left").withColumn("_p", point)
+    known = placed.groupBy(*TRACK).agg(
+        F.max_by(F.struct("kind", "label"), "timestamp").alias("a"), F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("idx"))).alias("_first")
+    ).select(*TRACK, "a.*", "_first")
+    after = F.lead("_p").over(Window.partitionBy(*TRACK, F.col("_p").isNull()).orderBy("idx"))
+    marks = placed.where("idx is not null").withColumn("_next", after).select(*TRACK, "idx", F.struct("idx", "lidar").alias("_s"), F.when(F.col("_p").isNotNull(), F.struct("_p.*", "_next")).alias("_b"))
+    both = path.join(known, "scene_id").withColumn("_grid", F.lit(True)).unionByName(marks.withColumn("_grid", F.lit(False)), allowMissingColumns=True)
+    w = s.ordered(TRACK, ["idx", "_grid"]).rowsBetween(Window.unboundedPreceding, 0)
+    v = both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in ("_s", "_b")}).where("_grid")
+    v = v.withColumns({"_a": F.when(F.col("_b").isNull(), F.col("_first")).otherwise(F.col("_b._next")), "observed": F.coalesce(F.col("_s.idx") == F.col("idx"), F.lit(False))})
+    here, time = F.col("_b.idx") == F.col("idx"), F.col("timestamp").cast("double")
+    between = lambda c: s.between(F.lit(None), F.col("_b")[c], F.col("_b.t"), F.col("_a")[c], F.col("_a.t"), time)
+    full = v.withColumns({c: F.when(here, F.col("_b")[c]).otherwise(between(c)) for c in filled} | {"lidar": F.when(F.col("observed"), F.col("_s.lidar"))})
+    return full.drop("_first", "_grid", "_s", "_b", "_a")
 
 
 def distance() -> Column:
@@ -109,7 +123,9 @@ def relative_motion(t: DataFrame) -> DataFrame:
 
 def moving_towards_ego(t: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """scene_id, object_id, idx, scenario, answer ('yes' for approaching, 'no' for diverging): the pivotal frame of each."""
-    some = F.max("speed").over(Window.partitionBy(*TRACK)) > c.least_speed
+    # in the order that the windows below need, so that the rows are sorted once
+    whole = s.ordered(TRACK, ["idx"]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    some = F.max("speed").over(whole) > c.least_speed
     m = relative_motion(t.where(F.col("kind").isin(*APPROACH_BOUNDS) & F.col("label").isNotNull()).withColumn("_some", some).where("_some"))
     r9 = {k: F.round(k, 9) for k in ("d", "rate", "c", "ho", "he")}
     m = m.withColumns(r9)
