@@ -61,13 +61,6 @@ def interpolated(value: Column, time: Column, keys: list[str], order: list[str])
     return between(value, v0["v"], v0["t"], v1["v"], v1["t"], time)
 
 
-def filled_in(rows: DataFrame, columns: list[str], time: Column, keys: list[str], order: list[str]) -> DataFrame:
-    """rows with each of the columns interpolated; they are missing together, so the observed rows on both sides are found once."""
-    there = F.when(F.col(columns[0]).isNotNull(), F.struct(*columns, time.alias("_t")))
-    sides = rows.withColumns({n: F.last(there, ignorenulls=True).over(w) for n, w in zip(("_b", "_a"), around(keys, order), strict=True)})
-    return sides.withColumns({c: between(F.col(c), F.col("_b")[c], F.col("_b._t"), F.col("_a")[c], F.col("_a._t"), time) for c in columns}).drop("_b", "_a")
-
-
 def ego_motion(frames: DataFrame, keys: list[str], order: list[str], position: tuple[str, str, str]) -> DataFrame:
     """Adds ego_speed and the unit direction ux, uy, uz since the frame before; zeros for the first frame and for none."""
     w = ordered(keys, order)

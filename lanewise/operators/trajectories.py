@@ -54,7 +54,8 @@ def tracks(frames: DataFrame, observations: DataFrame) -> DataFrame:
     observations: scene_id, timestamp, object_id, kind, label, x, y, z, speed, lidar.
 
     Scenes with fewer than three frames are left out.  An object gets a row for every frame of its scene; positions and speed
-    between its observations are interpolated.  An unknown speed is 0; an observation without a position fills nothing in.
+    between its observations are interpolated.  An unknown speed is 0; an observation without a position keeps what it has
+    and fills nothing in.
     kind and label are those of its last observation.  An object has one observation in a frame at most.
 
     Observations learn their frame and the observation after them first, which is work on the few rows that there are.  The grid of
@@ -68,14 +69,15 @@ def tracks(frames: DataFrame, observations: DataFrame) -> DataFrame:
         F.max_by(F.struct("kind", "label"), "timestamp").alias("a"), F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("idx"))).alias("_first")
     ).select(*TRACK, "a.*", "_first")
     after = F.lead("_p").over(Window.partitionBy(*TRACK, F.col("_p").isNull()).orderBy("idx"))
-    marks = placed.where("idx is not null").withColumn("_next", after).select(*TRACK, "idx", F.struct("idx", "lidar").alias("_s"), F.when(F.col("_p").isNotNull(), F.struct("_p.*", "_next")).alias("_b"))
+    marks = placed.where("idx is not null").withColumn("_next", after).select(*TRACK, "idx", F.struct("idx", "lidar", *filled).alias("_s"), F.when(F.col("_p").isNotNull(), F.struct("_p.*", "_next")).alias("_b"))
     both = path.join(known, "scene_id").withColumn("_grid", F.lit(True)).unionByName(marks.withColumn("_grid", F.lit(False)), allowMissingColumns=True)
     w = s.ordered(TRACK, ["idx", "_grid"]).rowsBetween(Window.unboundedPreceding, 0)
     v = both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in ("_s", "_b")}).where("_grid")
     v = v.withColumns({"_a": F.when(F.col("_b").isNull(), F.col("_first")).otherwise(F.col("_b._next")), "observed": F.coalesce(F.col("_s.idx") == F.col("idx"), F.lit(False))})
     here, time = F.col("_b.idx") == F.col("idx"), F.col("timestamp").cast("double")
+    own = lambda c: F.when(F.col("observed"), F.col("_s")[c])
     between = lambda c: s.between(F.lit(None), F.col("_b")[c], F.col("_b.t"), F.col("_a")[c], F.col("_a.t"), time)
-    full = v.withColumns({c: F.when(here, F.col("_b")[c]).otherwise(between(c)) for c in filled} | {"lidar": F.when(F.col("observed"), F.col("_s.lidar"))})
+    full = v.withColumns({c: F.when(here, F.col("_b")[c]).otherwise(F.coalesce(own(c), between(c))) for c in filled} | {"lidar": F.when(F.col("observed"), F.col("_s.lidar"))})
     return full.drop("_first", "_grid", "_s", "_b", "_a")
 
 

@@ -66,6 +66,14 @@ def test_short_scenes_and_gaps(spark):
     assert [r.x for r in got] == [5, 5, 7, 9] and [r.observed for r in got] == [False, True, False, True] and [r.speed for r in got] == [1, 1, 2, 3]
 
 
+def test_observations_without_a_position_or_a_frame(spark):
+    frames, seen = scene(spark, [(0, 0)] * 5, {"a": ("Vehicle", "Sedan", [(-1, 90, 0, 9), (0, 2, 0, 1), (2, 50, 0, 7), (4, 6, 0, 3), (8, 90, 0, 9)])})
+    seen = seen.withColumn("x", F.when(F.col("timestamp") != 2, F.col("x")))
+    got = trajectories.tracks(frames, seen).orderBy("idx").collect()
+    assert [r.x for r in got] == [2, 3, 4, 5, 6] and [r.speed for r in got] == [1, 1.5, 7, 2.5, 3]
+    assert [r.observed for r in got] == [True, False, True, False, True] and [r.lidar for r in got] == [20, None, 20, None, 20]
+
+
 def test_approaching_needs_three_frames(spark):
     ego = [(0, 0)] * 7
     for n, want in ((3, 1), (2, 0)):
