@@ -107,6 +107,44 @@ def words(data: np.ndarray, offsets: np.ndarray, within: np.ndarray = ~SPACE) ->
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``words`` and the hash of each; prefix sums are made for about ``CHUNK`` bytes at a time, or for a single long word."""
+    starts, ends, rows = words(data, offsets)
+    h, i = np.empty(len(starts), U), 0
+    while i < len(starts):
+        a = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, a + CHUNK, "right")))
+        h[i:j] = spans(prefix(data[a : ends[j - 1]]), starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return starts, ends, rows, h
+
+
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every k neighbouring hashes."""
+    out = np.zeros(max(0, len(h) - k + 1), U)
+    for i in range(k):
+        out = mix(out * U(3) + h[i : len(out) + i])
+    return out
+
+
+def sums_of(h: np.ndarray) -> np.ndarray:
+    """Prefix sums of hashes, from which ``spans`` takes the hash of any stretch of them."""
+    out = np.zeros(len(h) + 1, U)
+    np.cumsum(h * powers(len(h))[0][: len(h)], out=out[1:])
+    return out
+
+
+def joined_words(data: np.ndarray, dropped: np.ndarray) -> bytes:
+    """The words of one text joined by single spaces, without the bytes marked as dropped (whole words)."""
+    inside = ~SPACE[data]
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]  # and the one white-space byte after a word
+    gone = dropped.copy()
+    gone[1:] |= dropped[:-1]
+    out = np.where(inside, data, 32).astype(np.uint8)[kept & ~gone]
+    return out.tobytes().rstrip(b" ")
+
+
 def batches(it: Iterator[pa.RecordBatch], schema: pa.Schema, f) -> Iterator[pa.RecordBatch]:
     """f(batch) yields lists of columns; each becomes a record batch."""
     for batch in it:

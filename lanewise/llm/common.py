@@ -32,13 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
 _settled: list[str] = []
 
 
-def settled(df: DataFrame) -> DataFrame:
+#: Spark then removes a statement's shuffle files when the statement is over.
+_SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, sweep: bool = False) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cut lineage that survives lost executors.
 
-    Parquet instead of ``checkpoint()`` as it is compressed and read by column.  The table stays until ``forget``."""
+    Parquet instead of ``checkpoint()`` as it is compressed and read by column.  The table stays until ``forget``.
+    ``sweep``: the shuffle files of this step go as soon as it is written, instead of when the driver collects its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_SWEEP, "false")
+    spark.conf.set(_SWEEP, "true" if sweep else was)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_SWEEP, was)
     _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -11,6 +11,9 @@ from .bpe import encode
 from .common import table
 from .language import identify
 from .near_dedup import near_duplicates
+from .codes import compressed
+from .passages import without_passages
+from .periods import with_runs
 from . import fingerprints, mixing, oracles, quality, rules, secrets
 from .repeats import without_repeats
 from .toxicity import toxicity
@@ -67,9 +70,37 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """docs, in which the texts of one id in ten become periodic from some word on: h = crc32(id), word i >= a becomes word
+    a + (i - a) % p.  Rows without an id stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    word = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    split = docs.select("doc_id", "text", F.when(h % 10 == 0, word).alias("w"), F.floor(h / 10).cast("long").alias("g"))
+    n = F.size("w")
+    cut = split.select("doc_id", "text", "w", "g", F.when(n > 0, (F.col("g") % n).cast("int")).alias("a"))
+    rest = F.size("w") - F.col("a")
+    cut = cut.select("*", (1 + F.floor(rest / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    return cut.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_runs(with_periods(table(spark, sf_dir, "documents")), least=12, keep_text=False)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_passages(table(spark, sf_dir, "documents"), length=13, k=5, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compressed(table(spark, sf_dir, "embeddings"), parts=4, entries=256, scale=1024, rounds=4)
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_near_dedup": oracles.NEAR_DEDUP, "op10_suffix_array_dedup": oracles.REPEATS}
+    return {"op5_minhash_near_dedup": oracles.NEAR_DEDUP, "op10_suffix_array_dedup": oracles.REPEATS, "op11_periodic_runs": oracles.RUNS, "op12_substring_dedup": oracles.PASSAGES, "op13_vector_codes": oracles.CODES}
