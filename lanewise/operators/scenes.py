@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import camera
 from ..functions import geometry as g
 from ..schema import MAX_DISTANCE, MIN_LIDAR
 
@@ -109,23 +110,41 @@ def co_visible(frames: DataFrame, objects: DataFrame, keys: list[str], key: str,
 
 
 def projected(objects: DataFrame, cams: DataFrame) -> DataFrame:
-    """scene_id, timestamp, id, camera, pos, width, height and points (u, v, depth, ok of 8 corners) by a pinhole without distortion.
+    """scene_id, timestamp, id, camera, pos, width, height and points (u, v, depth, ok of the box's 8 corners).
 
-    A table of projections from another source can stand in for this one.  Objects and cameras of a frame meet by an equi-join.
-    The camera's extrinsic maps camera axes to the vehicle's, so its rotation is transposed after the shift."""
+    Lens distortion where the intrinsic has coefficients; rolling shutter where the camera has a direction of reading, a velocity
+    and its times (a line is exposed half the shutter after it opens), else all lines at the time of the pose.  Objects and
+    cameras of a frame meet by an equi-join; the rest is one expression of built-in functions for each corner.
+    A table of projections from another source can stand in for this one."""
     box = g.centre_box(F.col("camera_synced_box"), F.col("box"))
     o = objects.select("scene_id", "timestamp", "id", box.alias("b"))
-    c = cams.select("scene_id", "timestamp", F.col("name").alias("camera"), "pos", "intrinsic", "extrinsic", F.col("metadata.width").alias("width"), F.col("metadata.height").alias("height"))
+    v = F.struct(*[F.coalesce(F.col(f"velocity.v_{a}"), F.lit(0.0)).alias(a) for a in "xyz"])
+    w = F.struct(*[F.coalesce(F.col(f"velocity.w_{a}"), F.lit(0.0)).alias(a) for a in "xyz"])
+    times = {"first": F.col("camera_trigger_time") + F.col("shutter") / 2 - F.col("pose_timestamp"), "readout": F.col("camera_readout_done_time") - F.col("camera_trigger_time") - F.col("shutter")}
+    direction = F.when(F.col("velocity").isNotNull() & F.col("pose").isNotNull(), F.col("metadata.rolling_shutter_direction"))
+    still = F.struct(*[F.lit(0.0).alias(a) for a in "xyz"])
+    c = cams.select(
+        "scene_id", "timestamp", F.col("name").alias("camera"), "pos", "intrinsic", "extrinsic", F.col("metadata.width").alias("width"), F.col("metadata.height").alias("height"),
+        direction.alias("direction"), F.when(F.col("pose").isNotNull(), camera.in_vehicle(F.col("pose"), v)).otherwise(still).alias("v"), w.alias("w"), *[x.alias(n) for n, x in times.items()],
+    )
     joined = o.join(c, ["scene_id", "timestamp"])
     eight = g.corners(*[F.col(f"b.{k}") for k in ("center_x", "center_y", "center_z", "length", "width", "height", "heading")])
+    seen = lambda p: camera.rolling_shutter(p, *[F.col(k) for k in ("v", "w", "extrinsic", "intrinsic", "width", "height", "direction", "first", "readout")])
+    return joined.select("scene_id", "timestamp", "id", "camera", "pos", "width", "height", F.transform(eight, seen).alias("points"))
 
-    def seen(p: Column) -> Column:
-        d = [p[k] - F.col("extrinsic")[i][3] for i, k in enumerate("xyz")]
-        x, y, z = (d[0] * F.col("extrinsic")[0][j] + d[1] * F.col("extrinsic")[1][j] + d[2] * F.col("extrinsic")[2][j] for j in range(3))
-        i = F.col("intrinsic")
-        return g.pinhole(i[0], i[1], i[2], i[3], x, y, z)
 
-    return joined.select("scene_id", "timestamp", "id", "camera", "pos", "width", "height", F.transform(eight, seen).alias("points"))
+def in_images(projections: DataFrame, objects: DataFrame) -> DataFrame:
+    """A row for each object and camera of ``projected``: its box in the image [x1, y1, x2, y2], whether all of it is seen, and the
+    visibility score, which weighs the box's area by the LiDAR points in the object."""
+    b = g.bbox(F.col("points"), F.col("width"), F.col("height"))
+    boxed = projections.join(objects.select("scene_id", "timestamp", "id", F.col("num_lidar_points_in_box").alias("lidar")), ["scene_id", "timestamp", "id"]).withColumn("bbox", b)
+    score = g.visibility(F.size(F.filter("points", lambda x: x["ok"])), F.exists("points", lambda x: x["depth"] < 0), F.col("bbox")[2] - F.col("bbox")[0], F.col("bbox")[3] - F.col("bbox")[1], F.col("lidar"))
+    return boxed.select("scene_id", "timestamp", "id", "camera", "pos", "bbox", g.visible(F.col("points"), F.col("width"), F.col("height")).alias("seen"), score.alias("visibility"))
+
+
+def most_visible(views: DataFrame) -> DataFrame:
+    """The camera of each object and frame with the highest positive visibility, the first by position on ties."""
+    return best_views(views, ["scene_id", "timestamp", "id"], "visibility", ["pos"])
 
 
 def ranked_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

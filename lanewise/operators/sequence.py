@@ -85,22 +85,45 @@ def previous_pairs(frames: DataFrame, keys: list[str], idx: str = "idx") -> Data
     return frames.withColumn("current_idx", current).withColumn("previous_idx", F.greatest(F.col("current_idx") - 1, F.lit(0)))
 
 
-def suffix_minimum(points: DataFrame, path: DataFrame, keys: list[str], at: tuple[str, ...], along: tuple[str, ...], name: str = "min_distance", needed: Column | None = None) -> DataFrame:
+def suffix_minimum(points: DataFrame, path: DataFrame, keys: list[str], at: tuple[str, ...], along: tuple[str, ...], name: str = "min_distance", needed: Column | None = None, block: int = 1024) -> DataFrame:
     """points with the least distance from ``at`` to the path's positions ``along`` at the same frame or later; null where there is none,
     or where ``needed`` doesn't hold.
 
-    keys: the scene, what else names a point, and the frame's index last; the path has the scene and the index.  Both sides are dealt
-    by scene once: the join's rows go straight into the aggregation of the same task, none of them is shuffled.  (As arrays of the
-    path, looked at by higher-order functions, the same took two to four times as long.)"""
+    keys: the scene, what else names a point, and the frame's index last; the path has the scene and the index.
+
+    The path is cut into blocks of frames with bounding boxes.  A point looks at the boxes of its own block and the later ones: the last
+    position of a box is a distance that counts if it isn't before the point's frame, and a box that is no nearer than the least of
+    these can't do better.  Only frames of the blocks that are left are measured.  Both joins are by (scene, block), so no task holds
+    a scene, and a point costs a box for each later block and a few blocks of frames instead of all later frames.  (A path that stays
+    in one place and trembles leaves all its blocks open.)"""
     scene, idx = keys[0], keys[-1]
-    b = path.select(F.col(scene).alias("_s"), F.col(idx).alias("_i"), *[F.col(c).alias(f"_{c}") for c in along])
-    later = (F.col(scene) == F.col("_s")) & (F.col("_i") >= F.col(idx))
-    joined = points.join(b, later if needed is None else later & needed, "left")
-    gaps = [F.col(p) - F.col(f"_{q}") for p, q in zip(at, along, strict=True)]
-    square = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
+    axes = range(len(along))
+    in_block = lambda i: F.floor(F.col(i) / block).cast("long")
+    p = path.select(F.col(scene).alias("_s"), F.col(idx).alias("_i"), *[F.col(c).alias(f"_p{k}") for k, c in enumerate(along)], in_block(idx).alias("_block"))
+    for k in axes:
+        p = p.where(F.col(f"_p{k}").isNotNull())
+    sides = [f(f"_p{k}").alias(f"{side}{k}") for k in axes for side, f in (("lo", F.min), ("hi", F.max))]
+    boxes = p.groupBy("_s", "_block").agg(F.max("_i").alias("last"), F.max_by(F.struct(*[F.col(f"_p{k}").alias(f"at{k}") for k in axes]), "_i").alias("_e"), *sides)
+    boxes = boxes.select("_s", F.struct("_block", "last", "_e.*", *[f"{side}{k}" for k in axes for side in ("lo", "hi")]).alias("_box"), "_block")
+    # a row for each block of a scene; one without positions has the boxes of the next one
+    w = Window.partitionBy("_s").orderBy(F.col("_block").desc())
+    views = boxes.select("_s", F.collect_list("_box").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_boxes"), (F.lead("_block", 1, -1).over(w) + 1).alias("_from"), "_block")
+    views = views.select("_s", "_boxes", F.explode(F.sequence("_from", "_block")).alias("_own"))
+
+    square = lambda parts: sum((g * g for g in parts[1:]), parts[0] * parts[0])
+    end = lambda c: square([F.col(x) - c[f"at{k}"] for k, x in enumerate(at)])
+    off = lambda c: square([F.greatest(c[f"lo{k}"] - F.col(x), F.lit(0.0), F.col(x) - c[f"hi{k}"]) for k, x in enumerate(at)])
+    seen = F.transform("_boxes", lambda c: F.when(c["last"] >= F.col(idx), F.struct(end(c).alias("end"), off(c).alias("off"), c["_block"].alias("_block"))))
+    meant = (F.col(scene) == F.col("_s")) & (in_block(idx) == F.col("_own"))
+    looked = points.join(views, meant if needed is None else meant & needed, "left").drop("_s", "_own").withColumn("_seen", seen).drop("_boxes")
+    looked = looked.withColumn("_near", F.array_min(F.transform("_seen", lambda c: c["end"])))
+    left = F.transform(F.filter("_seen", lambda c: c["off"] < F.col("_near")), lambda c: c["_block"])
+    some = looked.withColumn("_open", F.explode_outer(left)).drop("_seen")
+    joined = some.join(p, (F.col(scene) == F.col("_s")) & (F.col("_open") == F.col("_block")) & (F.col("_i") >= F.col(idx)), "left")
+    gap = square([F.col(x) - F.col(f"_p{k}") for k, x in enumerate(at)])
     rest = [c for c in points.columns if c not in keys]
     # columns one by one, not as a struct: buffers of numbers are updated in place by the hash aggregation
-    return joined.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in rest], F.sqrt(F.min(square)).alias(name))
+    return joined.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in rest], F.sqrt(F.min(F.least("_near", gap))).alias(name))
 
 
 def folded_angle(a: list[Column], b: list[Column]) -> Column:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import camera
 from ..functions import geometry as g
 from ..operators import detection, scenes
 from ..sources.tables import table
@@ -259,3 +260,58 @@ def embedding_cosine(spark, sf_dir):
     """Cosine of each vector with the one of the next id."""
     e = vectors(spark, sf_dir).select("vec_id", "v")
     return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id").select("vec_id", F.round(g.cosine(F.col("v"), F.col("w")), 6).alias("cosine"))
+
+
+# A vector stands in for a point ahead, a vehicle's motion, a camera's place and a lens; its id for the direction in which lines are read.
+BASE = "vec_id, x, y, z, vx, vy, vz, wx, wy, wz, r, yaw, fu, k1, k2, p1, p2, k3, direction, first, readout"
+
+
+def _look(n: int, before: str, dt: str, kept: str) -> str:
+    """One look at the pixel at time ``dt`` after the pose, and the time t at which that pixel's line is exposed.  In steps that are
+    written out, as values that build on each other would else be copied into each other."""
+    steps = [
+        f"SELECT {BASE}{kept}, {dt} AS dt{n} FROM {before}",
+        f"SELECT *, x - vx * dt{n} AS a, y - vy * dt{n} AS b, z - vz * dt{n} AS c, r * dt{n} AS g FROM look{n}_0",
+        f"SELECT *, sin(g) / r AS s, (1 - cos(g)) / (r * r) * (wx * a + wy * b + wz * c) AS l FROM look{n}_1",
+        f"SELECT *, a * cos(g) - (wy * c - wz * b) * s + wx * l - 1.5 AS dx, b * cos(g) - (wz * a - wx * c) * s + wy * l - 0.1 AS dy, c * cos(g) - (wx * b - wy * a) * s + wz * l - 2.0 AS up FROM look{n}_2",
+        f"SELECT *, dx * cos(yaw) + dy * sin(yaw) AS depth, dy * cos(yaw) - dx * sin(yaw) AS side FROM look{n}_3",
+        f"SELECT *, CASE WHEN depth > 1e-6 THEN -side / depth END AS p, CASE WHEN depth > 1e-6 THEN -up / depth END AS q FROM look{n}_4",
+        f"SELECT *, p * p + q * q AS rr FROM look{n}_5",
+        f"SELECT *, 1 + k1 * rr + k2 * rr * rr + k3 * rr * rr * rr AS radial, sqrt((960.0 * 960 + 640 * 640) / rr) AS far FROM look{n}_6",
+        f"""SELECT *, coalesce(radial BETWEEN 0.8 AND 1.2, false) AS ok, 480 + CASE WHEN radial BETWEEN 0.8 AND 1.2 THEN fu * (p * radial + 2 * p1 * p * q + p2 * (rr + 2 * p * p)) ELSE p * far END AS u,
+  320 + CASE WHEN radial BETWEEN 0.8 AND 1.2 THEN 900 * (q * radial + p1 * (rr + 2 * q * q) + 2 * p2 * p * q) ELSE q * far END AS v FROM look{n}_7""",
+    ]
+    line = "CASE direction WHEN 1 THEN v / 640 WHEN 2 THEN u / 960 WHEN 3 THEN 1 - v / 640 WHEN 4 THEN 1 - u / 960 END"
+    steps.append(f"SELECT *, coalesce(CASE WHEN {line} IS NOT NULL THEN first + readout * greatest(0, least(1, {line})) END, dt{n}) AS t{n} FROM look{n}_8")
+    return ", ".join(f"look{n}_{i} AS MATERIALIZED ({sql})" for i, sql in enumerate(steps))
+
+
+def _shutter_sql(steps: int) -> str:
+    looks = [_look(0, "start", "CASE WHEN direction < 5 THEN first + readout / 2 ELSE 0.0 END", "")]
+    for k in range(1, 2 * steps + 1):
+        if k % 2:
+            looks.append(_look(k, f"look{k - 1}_9", f"CASE WHEN direction < 5 THEN t{k - 1} ELSE 0.0 END", f", dt{k - 1}, t{k - 1}"))
+        else:
+            a, b, was = f"t{k - 2}", f"t{k - 1}", f"dt{k - 2}"
+            dt = f"{b} - coalesce(CASE WHEN {b} - 2 * {a} + {was} <> 0 THEN ({b} - {a}) * ({b} - {a}) / ({b} - 2 * {a} + {was}) END, 0.0)"
+            looks.append(_look(k, f"look{k - 1}_9", f"CASE WHEN direction < 5 THEN {dt} ELSE 0.0 END", ""))
+    n = 2 * steps
+    return f"""{E}, start AS (SELECT vec_id, 14 + 20 * v[20] AS x, 8 * v[21] AS y, 1 + 3 * v[22] AS z, 10 + 20 * v[17] AS vx, 4 * v[18] AS vy, v[19] AS vz, 0.4 * v[30] AS wx, 0.4 * v[31] AS wy, 0.4 * v[32] AS wz,
+  0.4 * sqrt(v[30] * v[30] + v[31] * v[31] + v[32] * v[32]) AS r, v[23] AS yaw, 900 + 200 * v[24] AS fu, v[25] / 10 AS k1, v[26] / 20 AS k2, v[27] / 100 AS p1, v[28] / 100 AS p2, v[29] / 100 AS k3, 1 + vec_id % 5 AS direction,
+  v[33] / 100 - 0.02 AS first, 0.04 AS readout FROM e), {", ".join(looks)} SELECT vec_id, round(u, 6) AS u, round(v, 6) AS v, round(depth, 6) AS depth, ok FROM look{n}_9"""
+
+
+@query(_shutter_sql(4))
+def rolling_shutter_projection(spark, sf_dir):
+    v = lambda i: F.col("v")[i - 1]
+    xyz = lambda *c: F.struct(*[x.alias(a) for a, x in zip("xyz", c, strict=True)])
+    c, s = F.cos(v(23)), F.sin(v(23))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    extrinsic = F.array(F.array(c, -s, zero, F.lit(1.5)), F.array(s, c, zero, F.lit(0.1)), F.array(zero, zero, one, F.lit(2.0)))
+    lens = F.array(900 + 200 * v(24), F.lit(900.0), F.lit(480.0), F.lit(320.0), v(25) / 10, v(26) / 20, v(27) / 100, v(28) / 100, v(29) / 100)
+    e = vectors(spark, sf_dir).select(
+        "vec_id", xyz(14 + 20 * v(20), 8 * v(21), 1 + 3 * v(22)).alias("p"), xyz(10 + 20 * v(17), 4 * v(18), v(19)).alias("speed"), xyz(0.4 * v(30), 0.4 * v(31), 0.4 * v(32)).alias("turn"),
+        extrinsic.alias("extrinsic"), lens.alias("lens"), (v(33) / 100 - 0.02).alias("first"), (1 + F.col("vec_id") % 5).alias("direction"),
+    )
+    seen = camera.rolling_shutter(*[F.col(n) for n in ("p", "speed", "turn", "extrinsic", "lens")], F.lit(960), F.lit(640), F.col("direction"), F.col("first"), F.lit(0.04))
+    return e.select("vec_id", seen.alias("s")).select("vec_id", *r6(u=F.col("s.u"), v=F.col("s.v"), depth=F.col("s.depth")), "s.ok")
