@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnum import LOWER, Texts, U, batches, mix, prefix, signed, spans, words
@@ -66,24 +66,33 @@ def shingle_sets(batch_text: pa.Array, size: int) -> Iterator[tuple[int, np.ndar
                 yield i + r, np.zeros(0, U)
 
 
-SIGNATURE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("sketch", pa.binary())])
+SIGNATURE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("sketch", pa.binary())])
+
+
+def set_hash(s: np.ndarray) -> int:
+    """A hash of the whole set."""
+    return mix(s + U(77)).sum(dtype=U).view(np.int64)
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def signatures(docs: DataFrame, size: int = 2, k: int = 128) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, and its k smallest hashes as 8-byte numbers, ascending."""
+    """doc_id, th (hash of the text), n_shingles, two hashes of the whole set, and its k smallest hashes as 8-byte numbers, ascending."""
 
     def one(batch):
         out = [], [], [], [], []
         ids = batch.column("doc_id")
         rows = []
         for row, s in shingle_sets(batch.column("text"), size):
-            m = mix(s + U(77))
             rows.append(row)
-            for x, v in zip(out[1:], (len(s), m.sum(dtype=U).view(np.int64), mix(m ^ U(99)).sum(dtype=U).view(np.int64), s[:k].tobytes()), strict=True):
+            for x, v in zip(out[1:], (len(s), set_hash(s), mix(mix(s + U(77)) ^ U(99)).sum(dtype=U).view(np.int64), s[:k].tobytes()), strict=True):
                 x.append(v)
-        yield [ids.take(pa.array(rows, pa.int64())), *out[1:]]
+        at = pa.array(rows, pa.int64())
+        yield [ids.take(at), batch.column("th").take(at), *out[1:]]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: batches(it, SIGNATURE, one), "doc_id long, n_shingles long, fp long, fp2 long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: batches(it, SIGNATURE, one), "doc_id long, th long, n_shingles long, fp long, fp2 long, sketch binary")
 
 
 LISTED = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
@@ -115,28 +124,30 @@ def listed(classes: DataFrame) -> DataFrame:
     return classes.select("fp", "n", "sketch").mapInArrow(lambda it: batches(it, LISTED, one), "key long, fp long")
 
 
-SETS = pa.schema([("doc", pa.int64()), ("elements", pa.binary())])
+SETS = pa.schema([("doc", pa.int64()), ("fp", pa.int64()), ("elements", pa.binary())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """fp and the sorted elements (8 bytes each) of the representative document of each class in ``wanted`` (fp, doc)."""
+    """fp and the sorted elements (8 bytes each) of each class in ``wanted`` (fp, doc), from the text with that set that the document
+    has: a doc_id may stand for several texts."""
 
     def build(batch):
-        rows, elements, held = [], [], 0
+        rows, fps, elements, held = [], [], [], 0
         for row, s in shingle_sets(batch.column("text"), size):
             rows.append(row)
+            fps.append(set_hash(s))
             elements.append(s.tobytes())
             held += len(elements[-1])
             if held > 1 << 22:
-                yield [batch.column("doc").take(pa.array(rows, pa.int64())), elements]
-                rows, elements, held = [], [], 0
-        yield [batch.column("doc").take(pa.array(rows, pa.int64())), elements]
+                yield [batch.column("doc").take(pa.array(rows, pa.int64())), fps, elements]
+                rows, fps, elements, held = [], [], [], 0
+        yield [batch.column("doc").take(pa.array(rows, pa.int64())), fps, elements]
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    needed = texts.join(wanted.select("doc"), "doc", "left_semi").mapInArrow(lambda it: batches(it, SETS, build), "doc long, elements binary")
-    # rows that repeat a doc_id: the least set speaks for it
-    return needed.groupBy("doc").agg(F.min("elements").alias("elements")).join(wanted, "doc").select("fp", "elements")
+    needed = texts.join(wanted.select("doc"), "doc", "left_semi").mapInArrow(lambda it: batches(it, SETS, build), "doc long, fp long, elements binary")
+    # equal sets of rows that repeat a document
+    return needed.groupBy("doc", "fp").agg(F.min("elements").alias("elements")).join(wanted, ["doc", "fp"]).select("fp", "elements")
 
 
 def linked(p: np.ndarray, q: np.ndarray, percent: int, k: int) -> bool:
@@ -229,14 +240,9 @@ def across_components(members: DataFrame, sets: DataFrame, percent: int) -> Data
     return held.union(probes).join(sets, "fp").select("hub", "block", "probe", "fp", "component", "elements").repartition("hub", "block").sortWithinPartitions("hub", "block", "probe").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 128) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; further columns are ignored).
-
-    Documents are linked if the Jaccard similarity of their full shingle sets reaches ``percent`` (80 or more: the runs are
-    derived for that).  component_id is the smallest doc_id that can be reached; kept marks that document.  A null text is an
-    empty one; rows without a doc_id form no link and are kept as their own component (null).  Rows that repeat a doc_id keep
-    one result each; if their texts differ, the doc_id stands for all of them.
-    """
+def linked_classes(docs: DataFrame, size: int, percent: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, classes of equal sets (fp, n, doc: the smallest doc_id), links (a, b) between classes, enough of them
+    to join what belongs together, and what they join (node, component)."""
     if percent < 80:
         raise ValueError("runs of retained values are derived for similarities of 0.8 or more")
     docs = bounded_batches(docs)
@@ -255,14 +261,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     comp = components(links)
     members = settled(hubs.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("hub", "fp", F.coalesce("component", "fp").alias("component")))
     more = settled(across_components(members, sets, percent))
-    if more.limit(1).count():
-        comp = components(links.union(more))
+    links = links.union(more)
+    return sig, classes, links, components(links) if more.limit(1).count() else comp
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 128) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; further columns are ignored).
+
+    Documents are linked if the Jaccard similarity of their full shingle sets reaches ``percent`` (80 or more: the runs are
+    derived for that).  component_id is the smallest doc_id that can be reached; kept marks that document.  A null text is an
+    empty one; a row without words, and one without a doc_id, forms no link and is its own component (null without a doc_id,
+    and kept).  Rows that repeat a doc_id keep one result each.  If their texts differ, they are one document with several
+    texts: it has the links of all of them, and what one text reaches the others reach, too.
+    """
+    sig, classes, links, comp = linked_classes(docs, size, percent, k)
+    some = sig.where("n_shingles > 0 and doc_id is not null").select("doc_id", "fp")
+    several = some.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("doc_id", "a")
+    shared = settled(some.join(several, "doc_id").where("fp <> a").select("a", "fp").distinct())
+    if shared.limit(1).count():
+        comp = components(links.union(shared))
     named = comp.join(classes.select(F.col("fp").alias("node"), "doc"), "node")
     smallest = named.groupBy("component").agg(F.min("doc").alias("smallest"))
     by_class = classes.select("fp", "n", "doc").join(named.join(smallest, "component").select(F.col("node").alias("fp"), "smallest"), "fp", "left")
     found = by_class.select("fp", "n", F.coalesce("smallest", "doc").alias("smallest"))
     return (
-        sig.select("doc_id", "n_shingles", "fp")
+        sig.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp"))
         .join(found.withColumnRenamed("n", "n_shingles"), ["fp", "n_shingles"], "left")
         .select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -270,10 +293,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 128) -> DataFrame:
-    """Rows of docs, with all their columns, without near duplicates: of each group of ``near_duplicates`` the row with the
-    smallest doc_id stays (of rows that repeat a doc_id, the one whose text has the least hash).  Rows without doc_id stay."""
-    kept = near_duplicates(docs, size, percent, k).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
-    # partitioned by doc_id already
-    one = named.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(F.col("text").cast("string"))).alias("_row"))
-    return one.select("_row.*").union(docs.where("doc_id is null"))
+    """Rows of docs, with all their columns, without near duplicates: of each group of texts that links join, the row with the smallest
+    doc_id stays (if it repeats with several texts of the group, the one with the least hash).  Texts are told apart even under one
+    doc_id, so no text goes whose like doesn't stay.  Rows without words or without doc_id stay; of rows equal in doc_id and text
+    that would stay, one does."""
+    sig, _, _, comp = linked_classes(docs, size, percent, k)
+    group = comp.withColumnRenamed("node", "fp")
+    some = sig.where("n_shingles > 0 and doc_id is not null").select("doc_id", "th", "fp")
+    first = some.join(group, "fp", "left").groupBy(F.coalesce("component", "fp")).agg(F.min(F.struct("doc_id", "th")).alias("m")).select("m.*")
+    kept = settled(first.union(sig.where("n_shingles = 0 and doc_id is not null").select("doc_id", "th")).distinct())
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    named = docs.where("doc_id is not null").select(row.alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text_hash().alias("_th"))
+    named = named.join(kept, (F.col("_doc") == F.col("doc_id")) & (F.col("_th") == F.col("th")), "left_semi")
+    # partitioned by both already
+    return named.groupBy("_doc", "_th").agg(F.first("_row").alias("_row")).select("_row.*").union(docs.where("doc_id is null"))

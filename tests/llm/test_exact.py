@@ -129,6 +129,48 @@ def test_near_duplicates_on_a_template(spark, own, pool):
     assert got == dict(enumerate(classes_of(texts)))
 
 
+def reach(nodes, edges):
+    """The least node that each can reach."""
+    low = {x: x for x in nodes}
+    while True:
+        new = dict(low)
+        for a, b in edges:
+            new[a] = min(new[a], low[b])
+            new[b] = min(new[b], low[a])
+        if new == low:
+            return low
+        low = new
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_one_doc_id_with_several_texts(spark, seed):
+    rng = random.Random(seed)
+    base = [[f"v{seed}x{rng.randrange(400)}" for _ in range(120)] for _ in range(4)]
+    texts = {}
+    for i, w in enumerate(base):
+        texts[i, 0] = " ".join(w)
+        texts[i, 1] = " ".join(w[:-2] + [f"near{i}", "end"])
+    rows = [(1, texts[0, 0]), (2, texts[1, 0]), (2, texts[0, 0]), (3, texts[1, 0]), (2, texts[2, 1]), (5, texts[2, 0]), (9, ""), (9, texts[3, 0]), (9, None), (8, texts[3, 1])]
+    rows += [(rng.randint(1, 12), rng.choice([*texts.values(), "", "one", "two words"])) for _ in range(14)]
+    docs = with_clashing_columns(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = [shingles(t or "", 2) for _, t in rows]
+    like = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    ids = {i for i, _ in rows}
+    low = reach(ids, [(rows[a][0], rows[b][0]) for a, b in like])
+    want = sorted((i, len(s), low[i] if s else i, (low[i] if s else i) == i) for (i, _), s in zip(rows, sets, strict=True))
+    assert sorted(tuple(r) for r in near_dedup.near_duplicates(docs, size=2).collect()) == want
+    group = reach(range(len(rows)), like)
+    out = near_dedup.deduplicated(docs, size=2)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    # one row of each group of texts, with its smallest doc_id; rows without words once each
+    for g in {group[k] for k in range(len(rows)) if sets[k]}:
+        members = [rows[k] for k in range(len(rows)) if sets[k] and group[k] == g]
+        stayed = [r for r in got if r in members]
+        assert len(stayed) == 1 and stayed[0][0] == min(i for i, _ in members)
+    assert len(got) == len({group[k] for k in range(len(rows)) if sets[k]}) + len({i for (i, _), s in zip(rows, sets, strict=True) if not s})
+
+
 def test_deduplicated_keeps_one_row_of_each_group(docs):
     out = near_dedup.deduplicated(with_clashing_columns(docs), size=5)
     ids = [r.doc_id for r in out.select("doc_id").collect()]
