@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
 from ..functions.text import let
+from . import scan
 
 BOX = ("x1", "y1", "x2", "y2")
 #: Parts that the boxes of a key are dealt to.
@@ -63,16 +64,15 @@ def greedy(truth: DataFrame, found: DataFrame, thresholds: list[float], image: s
     return walked.union(others)
 
 
-def precision_recall(scored: DataFrame, positives: int | Column, by: list[str], hit: str, order: list[Column]) -> DataFrame:
-    """Running tp, fp, precision, recall, and the envelope: the best precision from here on."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
+def precision_recall(scored: DataFrame, positives: int | Column, by: list[str], hit: str, order: list[Column], ranges: int | None = None) -> DataFrame:
+    """Running tp, fp, precision, recall, and the envelope: the best precision from here on.
+
+    ``order`` is total within a key.  Rows are scanned by ranges of it, so a key that holds all boxes is spread over as many tasks."""
     goal = F.lit(positives) if isinstance(positives, int) else positives
-    out = scored.withColumns({"tp": F.sum(F.col(hit).cast("long")).over(run), "fp": F.sum((~F.col(hit)).cast("long")).over(run)})
+    parts = scan.ranged(scored, by, order, ranges)
+    out = scan.running_sums(parts, by, order, {"tp": F.col(hit).cast("long"), "fp": (~F.col(hit)).cast("long"), "_all": F.lit(1)})
     out = out.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.coalesce(F.try_divide(F.col("tp").cast("double"), goal.cast("double")), F.lit(0.0))})
-    # from the end on, so that the frame grows row by row
-    back = Window.partitionBy(*by).orderBy(F.col("_place").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("_place", F.row_number().over(w)).withColumn("envelope", F.max("precision").over(back)).drop("_place")
+    return scan.running_maximum_from_end(out, by, [F.col("_all").desc()], "precision", "envelope").drop("_all", scan.RANGE)
 
 
 def average_precision(curve: DataFrame, by: list[str]) -> DataFrame:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sampling
-from ..sources import tables
+from ..operators import sampling, scan
 from ..sources.tables import table
 from .registry import query
 
@@ -116,4 +115,4 @@ def choice_downsample4(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderstatus, CAST(floor((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) / 100) AS INTEGER) AS batch FROM orders")
 def batched_sink_assignment(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", tables.batch_number(["o_orderkey"], 100, ["o_orderstatus"]).alias("batch"))
+    return scan.batched(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 100, ["o_orderstatus"])
