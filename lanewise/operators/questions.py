@@ -121,15 +121,18 @@ def ego_relative(found: DataFrame, described: DataFrame, seed: str = "ego") -> D
 
 
 @builder("ego_relative_multi_frame")
-def ego_relative_multi_frame(single: DataFrame, boxes: DataFrame, frames: DataFrame) -> DataFrame:
-    """Questions of ``ego_relative`` shown in two frames: single rows need idx; boxes: scene_id, object_id, idx, bbox, image_path, visible.
-    frames: scene_id, idx.  Both frames must show the object."""
+def ego_relative_multi_frame(single: DataFrame, views: DataFrame, frames: DataFrame) -> DataFrame:
+    """Questions of ``ego_relative`` shown in two frames; single rows need idx.  frames: scene_id, idx.
+    views: scene_id, object_id, idx, camera, bbox, image_path, visible (the camera shows all of the object), best (it is the object's most
+    visible camera in that frame).
+
+    Both frames are shown by the camera that sees the object best in the previous one, and both must show the object there."""
     from .sequence import previous_pairs
 
     pairs = previous_pairs(frames.select("scene_id", "idx").distinct(), ["scene_id"])
-    b = boxes.where("visible").select("scene_id", "object_id", "idx", "bbox", "image_path")
-    side = lambda p: b.select("scene_id", "object_id", F.col("idx").alias(f"{p}_idx"), F.col("bbox").alias(f"{p}_bbox"), F.col("image_path").alias(f"{p}_image_path"))
-    return single.drop("bbox").join(pairs, ["scene_id", "idx"]).join(side("current"), ["scene_id", "object_id", "current_idx"]).join(side("previous"), ["scene_id", "object_id", "previous_idx"])
+    side = lambda v, p: v.where("visible").select("scene_id", "object_id", "camera", F.col("idx").alias(f"{p}_idx"), F.col("bbox").alias(f"{p}_bbox"), F.col("image_path").alias(f"{p}_image_path"))
+    asked = single.drop("bbox").join(pairs, ["scene_id", "idx"]).join(side(views.where("best"), "previous"), ["scene_id", "object_id", "previous_idx"])
+    return asked.join(side(views, "current"), ["scene_id", "object_id", "camera", "current_idx"]).withColumnRenamed("camera", "camera_name")
 
 
 @builder("scene_multi_choice")

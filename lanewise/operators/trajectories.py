@@ -1,7 +1,8 @@
 """Trajectories of a scene's objects against the ego path, and the five questions asked of them.
 
 ``tracks`` is the common substrate, a row for each object and frame: scene_id, object_id, kind (display type), label, idx, n
-(frames of the scene), x, y, z, speed, observed, ex, ey, ez, ego_speed, ux, uy, uz, lx, ly, lz (the pose's lateral axis), lidar.
+(frames of the scene), x, y, z, speed, observed, visible, facing, ex, ey, ez, ego_speed, ux, uy, uz, lx, ly, lz (the pose's lateral axis),
+lidar.
 Every question is a filter and an aggregation on it.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import norm
@@ -51,7 +52,8 @@ MOVERS = ("Vehicle", "Pedestrian", "Cyclist")
 
 def tracks(frames: DataFrame, observations: DataFrame) -> DataFrame:
     """frames: scene_id, timestamp, ex, ey, ez, lx, ly, lz (ego position and lateral axis, the last and the second column of its pose).
-    observations: scene_id, timestamp, object_id, kind, label, x, y, z, speed, lidar.
+    observations: scene_id, timestamp, object_id, kind, label, x, y, z, speed, lidar; and, where they are known, visible (some camera
+    shows all of the object) and facing (its heading in the first camera that does).  What isn't known is visible, and faces the camera.
 
     Scenes with fewer than three frames are left out.  An object gets a row for every frame of its scene; positions and speed
     between its observations are interpolated.  An unknown speed is 0; an observation without a position keeps what it has
@@ -63,13 +65,15 @@ def tracks(frames: DataFrame, observations: DataFrame) -> DataFrame:
     path = s.ego_motion(s.with_frame_index(frames, ["scene_id"], ["timestamp"]), ["scene_id"], ["timestamp"], ("ex", "ey", "ez"))
     path = path.withColumn("n", F.count("*").over(Window.partitionBy("scene_id"))).where("n >= 3")
     filled = ["x", "y", "z", "speed"]
+    shown = {"visible": F.lit(True), "facing": F.lit("towards")}
+    observations = observations.withColumns({c: F.coalesce(c, other) if c in observations.columns else other for c, other in shown.items()})
     point = F.when(F.col("x").isNotNull(), F.struct(*filled, F.col("timestamp").cast("double").alias("t"), "idx"))
     placed = observations.withColumn("speed", F.coalesce("speed", F.lit(0.0))).join(path.select("scene_id", "timestamp", "idx"), ["scene_id", "timestamp"], "left").withColumn("_p", point)
     known = placed.groupBy(*TRACK).agg(
         F.max_by(F.struct("kind", "label"), "timestamp").alias("a"), F.min_by("_p", F.when(F.col("_p").isNotNull(), F.col("idx"))).alias("_first")
     ).select(*TRACK, "a.*", "_first")
     after = F.lead("_p").over(Window.partitionBy(*TRACK, F.col("_p").isNull()).orderBy("idx"))
-    marks = placed.where("idx is not null").withColumn("_next", after).select(*TRACK, "idx", F.struct("idx", "lidar", *filled).alias("_s"), F.when(F.col("_p").isNotNull(), F.struct("_p.*", "_next")).alias("_b"))
+    marks = placed.where("idx is not null").withColumn("_next", after).select(*TRACK, "idx", F.struct("idx", "lidar", *shown, *filled).alias("_s"), F.when(F.col("_p").isNotNull(), F.struct("_p.*", "_next")).alias("_b"))
     both = path.join(known, "scene_id").withColumn("_grid", F.lit(True)).unionByName(marks.withColumn("_grid", F.lit(False)), allowMissingColumns=True)
     w = s.ordered(TRACK, ["idx", "_grid"]).rowsBetween(Window.unboundedPreceding, 0)
     v = both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in ("_s", "_b")}).where("_grid")
@@ -78,6 +82,7 @@ def tracks(frames: DataFrame, observations: DataFrame) -> DataFrame:
     own = lambda c: F.when(F.col("observed"), F.col("_s")[c])
     between = lambda c: s.between(F.lit(None), F.col("_b")[c], F.col("_b.t"), F.col("_a")[c], F.col("_a.t"), time)
     full = v.withColumns({c: F.when(here, F.col("_b")[c]).otherwise(F.coalesce(own(c), between(c))) for c in filled} | {"lidar": F.when(F.col("observed"), F.col("_s.lidar"))})
+    full = full.withColumns({"visible": F.col("observed") & F.coalesce("_s.visible", F.lit(False)), "facing": F.when(F.col("observed"), F.col("_s.facing"))})
     return full.drop("_first", "_grid", "_s", "_b", "_a")
 
 
@@ -124,7 +129,10 @@ def relative_motion(t: DataFrame) -> DataFrame:
 
 
 def moving_towards_ego(t: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """scene_id, object_id, idx, scenario, answer ('yes' for approaching, 'no' for diverging): the pivotal frame of each."""
+    """scene_id, object_id, idx, scenario, answer ('yes' for approaching, 'no' for diverging): the pivotal frame of each.
+
+    That frame is chosen among all frames, interpolated ones too; if the object isn't seen in it with enough LiDAR points, there is no
+    row, not one of another frame."""
     # in the order that the windows below need, so that the rows are sorted once
     whole = s.ordered(TRACK, ["idx"]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     some = F.max("speed").over(whole) > c.least_speed
@@ -146,8 +154,9 @@ def moving_towards_ego(t: DataFrame, c: Config = DEFAULT) -> DataFrame:
     coming = F.when((cc < -0.95) & (ho > 0.95) & (he > 0.95), "head_on").when((ho > 0.6) & (he < 0.3), "object_approaching").when((he > 0.6) & (ho < 0.3), "ego_approaching").otherwise("general_convergence")
     going = F.when(cc > 0.7, "parallel_diverging").when(ho < -0.5, "object_diverging").when(he < -0.5, "ego_diverging").otherwise("general_divergence")
     picked = m.withColumns({"answer": F.when(yes, "yes").when(no, "no"), "score": score, "scenario": F.when(yes, coming).otherwise(going)})
-    kept = picked.where(F.col("answer").isNotNull() & F.col("observed") & (F.coalesce("lidar", F.lit(0)) >= c.lidar))
-    return s.best_frame(kept.select(*TRACK, "answer", "idx", "scenario", "score"), [*TRACK, "answer"], F.col("score"), ["idx"]).drop("score")
+    seen = F.col("visible") & (F.coalesce("lidar", F.lit(0)) >= c.lidar)
+    asked = picked.where("answer is not null").select(*TRACK, "answer", "idx", "scenario", "score", seen.alias("seen"))
+    return s.best_frame(asked, [*TRACK, "answer"], F.col("score"), ["idx"]).where("seen").drop("score", "seen")
 
 
 def parallel_motion(t: DataFrame, c: Config = DEFAULT) -> DataFrame:
@@ -164,18 +173,17 @@ def parallel_motion(t: DataFrame, c: Config = DEFAULT) -> DataFrame:
     return s.best_frame(found, [*TRACK, "answer"], F.col("confidence"), ["idx"])
 
 
-def approaching_stop_sign(t: DataFrame, c: Config = DEFAULT, facing: Column | None = None) -> DataFrame:
-    """scene_id, object_id, idx, answer of all frames with a clear change of distance to a stop sign.
-
-    ``facing``: whether the sign faces the camera, where that is known."""
+def approaching_stop_sign(t: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """scene_id, object_id, idx, answer of all frames that show a stop sign and a clear change of distance to it; 'yes' only if the ego heads
+    for the sign and the sign faces the camera."""
     w = s.ordered(TRACK, ["idx"])
     m = t.where("label = 'Stop Sign'").withColumn("d", distance()).withColumn("rate", F.round(s.range_rate(F.col("d"), w), 9)).withColumn("d", F.round("d", 9))
     ahead = F.try_divide(F.col("ux") * (F.col("x") - F.col("ex")) + F.col("uy") * (F.col("y") - F.col("ey")) + F.col("uz") * (F.col("z") - F.col("ez")), F.col("d"))
     yes = (F.col("d") < c.near) & (F.col("rate") < -c.rate)
     no = (F.col("rate") > c.rate) | (F.col("d") >= c.near)
     towards = F.coalesce(F.round(ahead, 9) > c.sign_alignment, F.lit(False)) & (norm(F.col("ux"), F.col("uy"), F.col("uz")) >= 0.1)
-    keep = F.col("observed") & (F.abs("rate") >= c.sign_rate)
-    return m.withColumn("answer", F.when(yes, "yes").when(no, "no")).where(keep & ((F.col("answer") == "no") | ((F.col("answer") == "yes") & towards & (facing if facing is not None else F.lit(True))))).select(*TRACK, "idx", "answer")
+    keep = F.col("visible") & (F.abs("rate") >= c.sign_rate)
+    return m.withColumn("answer", F.when(yes, "yes").when(no, "no")).where(keep & ((F.col("answer") == "no") | ((F.col("answer") == "yes") & towards & (F.col("facing") == "towards")))).select(*TRACK, "idx", "answer")
 
 
 def frames_without_sign(frames: DataFrame, t: DataFrame, near: float = 30.0) -> DataFrame:
@@ -186,7 +194,7 @@ def frames_without_sign(frames: DataFrame, t: DataFrame, near: float = 30.0) ->
 
 def future_path(t: DataFrame, c: Config = DEFAULT, seed: str = "path") -> DataFrame:
     """scene_id, object_id, idx, answer: vehicles ahead that are in the ego's lane or come close to where it will be, and others; one
-    frame of each kind for an object, and in each scene as many of one kind as of the other.
+    frame of each kind for an object, of those that some camera shows, and in each scene as many of one kind as of the other.
 
     Ahead: more than ``forward`` metres along the ego's direction.  The lane is as wide as the pose's lateral axis, half of it to each
     side of the ego.  Future distance is the least one, in the plane, from the vehicle's place to the ego's later positions."""
@@ -197,7 +205,7 @@ def future_path(t: DataFrame, c: Config = DEFAULT, seed: str = "path") -> DataFr
     # 0 at the right edge of the lane, 1 at the left one
     across = F.round(F.try_divide(dots(rel, side), dots(side, side)) + 0.5, 9)
     in_lane = F.coalesce((dots(side, side) > 1e-8) & across.between(0, 1), F.lit(False))
-    v = t.where("kind = 'Vehicle' and observed").where(F.round(distance(), 9) < c.near)
+    v = t.where("kind = 'Vehicle' and visible").where(F.round(distance(), 9) < c.near)
     v = v.select(*TRACK, "idx", "x", "y", (ahead & (F.round("ego_speed", 9) > c.ego_speed)).alias("front"), in_lane.alias("in_lane"))
     ego = t.select("scene_id", "idx", "ex", "ey").distinct()
     # only what is in front and beside the lane needs the ego's later way

@@ -120,7 +120,7 @@ def questions_drawn_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKED = ["faster_than_ego", "moving_towards_ego", "parallel_motion", "approaching_stop_sign", "vehicle_future_path"]
 FOUND = " UNION ALL ".join(f"SELECT scene_id, object_id, idx, answer, {'scenario' if n == 'moving_towards_ego' else 'NULL'} AS scenario, '_prompt_{n}' AS question_name FROM ({SQL[n]})" for n in ASKED)
 EGO_RELATIVE = f"""WITH {texts_table('texts', 'name, list', [(text(k), listed(v)) for k, v in (SCENARIO_TEXT | TRAJECTORY_TEXT).items()])}, found AS ({FOUND}),
-seen AS ({TRACKS} SELECT scene_id, object_id, idx, coalesce(label, kind) AS description FROM t WHERE observed),
+seen AS ({TRACKS} SELECT scene_id, object_id, idx, coalesce(label, kind) AS description FROM t WHERE visible),
 k AS (SELECT found.*, description, concat_ws('|', question_name, found.scene_id, found.object_id, found.idx, answer) AS key FROM found JOIN seen ON found.scene_id = seen.scene_id AND found.object_id = seen.object_id AND found.idx = seen.idx),
 asked AS (SELECT scene_id, object_id, idx, answer, scenario, question_name, description, '0, 0, 0, 0' AS bbox, CASE WHEN question_name = '_prompt_parallel_motion' THEN 'parallel, perpendicular' ELSE 'yes, no' END AS choices,
   replace({drawn('list', 'ego', 'key')}, '{{}}', description) AS question, {id_of('key')} AS question_id FROM k JOIN texts ON coalesce(scenario, question_name) = name)"""
@@ -134,7 +134,7 @@ def ego_relative(spark: SparkSession, sf_dir: str, t: DataFrame) -> DataFrame:
         scenario = F.col("scenario") if "scenario" in part.columns else F.lit(None).cast("string")
         part = part.select("scene_id", "object_id", "idx", "answer", scenario.alias("scenario"), F.lit(f"_prompt_{name}").alias("question_name"))
         found = part if found is None else found.unionByName(part)
-    seen = t.where("observed").select("scene_id", "object_id", "idx", F.coalesce("label", "kind").alias("description"), F.array(*[F.lit(0)] * 4).alias("bbox"))
+    seen = t.where("visible").select("scene_id", "object_id", "idx", F.coalesce("label", "kind").alias("description"), F.array(*[F.lit(0)] * 4).alias("bbox"))
     return questions.get("ego_relative")(found, seen)
 
 
@@ -143,20 +143,28 @@ def questions_ego_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(ego_relative(spark, sf_dir, cut(tracks(spark, sf_dir))), "choices", "bbox")
 
 
-SHOWN = "SELECT scene_id, object_id, idx, concat_ws(', ', idx, 0, idx + 1, 1) AS bbox, concat_ws('/', scene_id, idx || '.jpg') AS image_path FROM seen WHERE idx % 7 <> 3"
+SHOWN = """SELECT scene_id, object_id, idx, camera, concat_ws(', ', idx, CASE camera WHEN 'SIDE' THEN 1 ELSE 0 END, idx + 1, 1) AS bbox, concat_ws('/', scene_id, idx || camera || '.jpg') AS image_path, best FROM (
+  SELECT *, 'FRONT' AS camera, idx % 2 = 0 AS best FROM shown_at WHERE idx % 7 <> 3 UNION ALL SELECT *, 'SIDE', idx % 2 = 1 FROM shown_at WHERE idx % 5 <> 2)"""
 
 
-@query(f"""{EGO_RELATIVE}, shown AS ({SHOWN}), pairs AS (SELECT *, CASE WHEN idx = 0 THEN 1 ELSE idx END AS current_idx, CASE WHEN idx = 0 THEN 0 ELSE idx - 1 END AS previous_idx FROM asked)
-SELECT p.* EXCLUDE (bbox), c.bbox AS current_bbox, c.image_path AS current_image_path, v.bbox AS previous_bbox, v.image_path AS previous_image_path FROM pairs p
-JOIN shown c ON p.scene_id = c.scene_id AND p.object_id = c.object_id AND p.current_idx = c.idx JOIN shown v ON p.scene_id = v.scene_id AND p.object_id = v.object_id AND p.previous_idx = v.idx""")
+@query(f"""{EGO_RELATIVE}, shown_at AS ({TRACKS} SELECT scene_id, object_id, idx FROM t WHERE observed), shown AS ({SHOWN}),
+pairs AS (SELECT *, CASE WHEN idx = 0 THEN 1 ELSE idx END AS current_idx, CASE WHEN idx = 0 THEN 0 ELSE idx - 1 END AS previous_idx FROM asked)
+SELECT p.* EXCLUDE (bbox), v.camera AS camera_name, c.bbox AS current_bbox, c.image_path AS current_image_path, v.bbox AS previous_bbox, v.image_path AS previous_image_path FROM pairs p
+JOIN shown v ON p.scene_id = v.scene_id AND p.object_id = v.object_id AND p.previous_idx = v.idx AND v.best
+JOIN shown c ON p.scene_id = c.scene_id AND p.object_id = c.object_id AND p.current_idx = c.idx AND c.camera = v.camera""")
 def questions_ego_relative_two_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same questions with the frame before; an object is out of sight in every seventh frame."""
+    """The same questions with the frame before, by the camera that saw the object best then.  One of two cameras misses the object in every
+    seventh frame, the other in every fifth; they are best in turn."""
     t = cut(tracks(spark, sf_dir))
     idx = F.col("idx")
-    seen = t.where("observed").select(
-        "scene_id", "object_id", "idx", F.array(idx, F.lit(0), idx + 1, F.lit(1)).alias("bbox"), F.concat_ws("/", "scene_id", F.concat(idx.cast("string"), F.lit(".jpg"))).alias("image_path"), (idx % 7 != 3).alias("visible"),
+    cameras = F.explode(F.array(
+        F.struct(F.lit("FRONT").alias("camera"), F.lit(0).alias("y"), (idx % 2 == 0).alias("best"), (idx % 7 != 3).alias("shown")), F.struct(F.lit("SIDE").alias("camera"), F.lit(1).alias("y"), (idx % 2 == 1).alias("best"), (idx % 5 != 2).alias("shown")),
+    ))
+    views = t.where("observed").select("scene_id", "object_id", "idx", cameras.alias("c")).select(
+        "scene_id", "object_id", "idx", "c.camera", F.array(idx, F.col("c.y"), idx + 1, F.lit(1)).alias("bbox"), F.concat_ws("/", "scene_id", F.concat(idx.cast("string"), F.col("c.camera"), F.lit(".jpg"))).alias("image_path"),
+        F.col("c.shown").alias("visible"), "c.best",
     )
-    out = questions.get("ego_relative_multi_frame")(ego_relative(spark, sf_dir, t), seen, t.select("scene_id", "idx"))
+    out = questions.get("ego_relative_multi_frame")(ego_relative(spark, sf_dir, t), views, t.select("scene_id", "idx"))
     return joined(out, "choices", "current_bbox", "previous_bbox")
 
 

@@ -106,7 +106,8 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(kind == "Sign", F.lit("Stop Sign")).otherwise(F.concat(F.lit("a "), F.lower(kind)))
     seen = f.select(
         "scene_id", "timestamp", F.col("event_type").alias("object_id"), kind.alias("kind"), label.alias("label"), F.col("value").alias("x"), (F.col("event_id") % 7).cast("double").alias("y"),
-        F.lit(0.0).alias("z"), (F.col("value") / 4).alias("speed"), F.lit(20).alias("lidar"),
+        F.lit(0.0).alias("z"), (F.col("value") / 4).alias("speed"), (F.col("event_id") % 23).cast("int").alias("lidar"), (F.col("event_id") % 11 != 4).alias("visible"),
+        F.when(F.col("event_id") % 3 == 0, "away").otherwise("towards").alias("facing"),
     )
     path = f.select("scene_id", "timestamp", F.col("idx").cast("double").alias("ex"), (F.col("y") / 13).alias("ey"), F.lit(0.0).alias("ez"), ((F.col("event_id") % 5) / 4 - 0.5).alias("lx"), F.lit(1.0).alias("ly"), F.lit(0.0).alias("lz"))
     return trajectories.tracks(path, seen)
@@ -118,19 +119,19 @@ p1 AS (SELECT *, coalesce(ex - lag(ex) OVER w, 0.0) AS dx, coalesce(ey - lag(ey)
 path AS (SELECT scene_id, idx, n, ex, ey, lx, ly, sqrt(dx * dx + dy * dy) / 0.1 AS ego_speed, CASE WHEN sqrt(dx * dx + dy * dy) > 1e-6 THEN dx / sqrt(dx * dx + dy * dy) ELSE 0.0 END AS ux,
   CASE WHEN sqrt(dx * dx + dy * dy) > 1e-6 THEN dy / sqrt(dx * dx + dy * dy) ELSE 0.0 END AS uy FROM p1 WHERE n >= 3),
 objects AS (SELECT DISTINCT scene_id, event_type AS object_id, kind FROM kinds),
-t0 AS (SELECT p.*, o.object_id, o.kind, k.value AS sx, CAST(k.event_id % 7 AS DOUBLE) AS sy, k.value / 4 AS ss, CASE WHEN k.idx IS NOT NULL THEN 1.0 * k.idx END AS st FROM path p JOIN objects o ON p.scene_id = o.scene_id
+t0 AS (SELECT p.*, o.object_id, o.kind, k.value AS sx, CAST(k.event_id % 7 AS DOUBLE) AS sy, k.value / 4 AS ss, CASE WHEN k.idx IS NOT NULL THEN 1.0 * k.idx END AS st, k.event_id AS seen_id FROM path p JOIN objects o ON p.scene_id = o.scene_id
   LEFT JOIN kinds k ON k.scene_id = p.scene_id AND k.event_type = o.object_id AND k.idx = p.idx),
 t1 AS (SELECT *, last_value(st IGNORE NULLS) OVER b AS a0, first_value(st IGNORE NULLS) OVER a AS a1, last_value(sx IGNORE NULLS) OVER b AS x0, first_value(sx IGNORE NULLS) OVER a AS x1,
   last_value(sy IGNORE NULLS) OVER b AS y0, first_value(sy IGNORE NULLS) OVER a AS y1, last_value(ss IGNORE NULLS) OVER b AS s0, first_value(ss IGNORE NULLS) OVER a AS s1 FROM t0
   WINDOW b AS (PARTITION BY scene_id, object_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY scene_id, object_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 t AS (SELECT scene_id, object_id, kind, CASE WHEN kind = 'Sign' THEN 'Stop Sign' ELSE 'a ' || lower(kind) END AS label, idx, n, ex, ey, lx, ly, ego_speed, ux, uy, sx IS NOT NULL AS observed,
-  {', '.join(f"CASE WHEN s{c} IS NOT NULL THEN s{c} WHEN {c}0 IS NULL THEN {c}1 WHEN {c}1 IS NULL THEN {c}0 ELSE {c}0 + ({c}1 - {c}0) * (idx - a0) / (a1 - a0) END AS {n}" for c, n in (("x", "x"), ("y", "y"), ("s", "speed")))} FROM t1),
+  coalesce(seen_id % 11 <> 4, false) AS visible, coalesce(seen_id % 23, 0) >= 10 AS measured, coalesce(seen_id % 3 <> 0, false) AS facing, {', '.join(f"CASE WHEN s{c} IS NOT NULL THEN s{c} WHEN {c}0 IS NULL THEN {c}1 WHEN {c}1 IS NULL THEN {c}0 ELSE {c}0 + ({c}1 - {c}0) * (idx - a0) / (a1 - a0) END AS {n}" for c, n in (("x", "x"), ("y", "y"), ("s", "speed")))} FROM t1),
 d AS (SELECT *, sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey)) AS dist FROM t)"""
 
 
-@query(f"{TRACKS} SELECT scene_id, object_id, idx, observed, round(x + 1e-9, 5) AS x, round(y + 1e-9, 5) AS y, round(speed + 1e-9, 5) AS speed, round(ego_speed + 1e-9, 5) AS ego_speed FROM t")
+@query(f"{TRACKS} SELECT scene_id, object_id, idx, observed, visible, round(x + 1e-9, 5) AS x, round(y + 1e-9, 5) AS y, round(speed + 1e-9, 5) AS speed, round(ego_speed + 1e-9, 5) AS ego_speed FROM t")
 def trajectory_substrate(spark, sf_dir):
-    return tracks(spark, sf_dir).select("scene_id", "object_id", "idx", "observed", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("x", "y", "speed", "ego_speed")])
+    return tracks(spark, sf_dir).select("scene_id", "object_id", "idx", "observed", "visible", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("x", "y", "speed", "ego_speed")])
 
 
 @query(f"""{TRACKS}, f AS (SELECT *, round(dist, 9) < 30 AS near, round(speed / (ego_speed + 1e-6), 9) AS r, round(ego_speed / (speed + 1e-6), 9) AS inv FROM d WHERE kind IN ('Vehicle', 'Pedestrian', 'Cyclist')),
@@ -147,7 +148,7 @@ s1 AS (SELECT *, coalesce((dist - lag(dist) OVER w) / 0.1, 0.0) AS rate0,
   {', '.join(f"CASE WHEN lag({c}) OVER w IS NULL THEN (lead({c}) OVER w - {c}) / 0.1 WHEN lead({c}) OVER w IS NULL THEN ({c} - lag({c}) OVER w) / 0.1 ELSE (lead({c}) OVER w - lag({c}) OVER w) / 0.2 END AS v{c}" for c in ("x", "y", "ex", "ey"))}
   FROM s0 WHERE top > 1.0 WINDOW w AS (PARTITION BY scene_id, object_id ORDER BY idx)),
 s2 AS (SELECT *, sqrt(vx * vx + vy * vy) + 1e-8 AS no, sqrt(vex * vex + vey * vey) + 1e-8 AS ne, sqrt((vx - vex) * (vx - vex) + (vy - vey) * (vy - vey)) + 1e-8 AS nr FROM s1),
-m AS (SELECT scene_id, object_id, kind, idx, observed, round(dist, 9) AS d, round(rate0, 9) AS rate, round(((vx - vex) / nr) * ((ex - x) / (dist + 1e-8)) + ((vy - vey) / nr) * ((ey - y) / (dist + 1e-8)), 9) AS c,
+m AS (SELECT scene_id, object_id, kind, idx, visible AND measured AS seen, round(dist, 9) AS d, round(rate0, 9) AS rate, round(((vx - vex) / nr) * ((ex - x) / (dist + 1e-8)) + ((vy - vey) / nr) * ((ey - y) / (dist + 1e-8)), 9) AS c,
   round((vx / no) * ((ex - x) / (dist + 1e-8)) + (vy / no) * ((ey - y) / (dist + 1e-8)), 9) AS ho, round((vex / ne) * ((x - ex) / (dist + 1e-8)) + (vey / ne) * ((y - ey) / (dist + 1e-8)), 9) AS he FROM s2)"""
 
 
@@ -163,9 +164,9 @@ def relative_motion(spark, sf_dir):
 r AS (SELECT *, count(*) FILTER (WHERE near) OVER w AS ca, count(*) FILTER (WHERE apart) OVER w AS cb, CASE kind WHEN 'Pedestrian' THEN 10 WHEN 'Cyclist' THEN 15 ELSE 25 END AS hi FROM q WINDOW w AS (PARTITION BY scene_id, object_id ORDER BY idx)),
 a AS (SELECT *, CASE WHEN near AND ca >= 3 AND abs(rate) > 2.24 AND d BETWEEN 2 AND hi THEN 'yes' WHEN apart AND cb >= 3 AND abs(rate) > 2.24 AND d > 2 AND d < 60 THEN 'no' END AS answer,
   round(greatest(0.0, (50 - d) / 50) + least(abs(rate) / 5, 1.0) + greatest(0.0, -c) + greatest(ho, he), 9) AS score FROM r),
-k AS (SELECT *, row_number() OVER (PARTITION BY scene_id, object_id, answer ORDER BY score DESC, idx) AS rn FROM a WHERE answer IS NOT NULL AND observed)
+k AS (SELECT *, row_number() OVER (PARTITION BY scene_id, object_id, answer ORDER BY score DESC, idx) AS rn FROM a WHERE answer IS NOT NULL)
 SELECT scene_id, object_id, answer, idx, CASE WHEN answer = 'yes' THEN CASE WHEN c < -0.95 AND ho > 0.95 AND he > 0.95 THEN 'head_on' WHEN ho > 0.6 AND he < 0.3 THEN 'object_approaching' WHEN he > 0.6 AND ho < 0.3 THEN 'ego_approaching' ELSE 'general_convergence' END
-  ELSE CASE WHEN c > 0.7 THEN 'parallel_diverging' WHEN ho < -0.5 THEN 'object_diverging' WHEN he < -0.5 THEN 'ego_diverging' ELSE 'general_divergence' END END AS scenario FROM k WHERE rn = 1""")
+  ELSE CASE WHEN c > 0.7 THEN 'parallel_diverging' WHEN ho < -0.5 THEN 'object_diverging' WHEN he < -0.5 THEN 'ego_diverging' ELSE 'general_divergence' END END AS scenario FROM k WHERE rn = 1 AND seen""")
 def moving_towards_ego(spark, sf_dir):
     return trajectories.moving_towards_ego(tracks(spark, sf_dir))
 
@@ -183,7 +184,7 @@ def parallel_motion(spark, sf_dir):
 
 @query(f"""{TRACKS}, r AS (SELECT *, round(coalesce((dist - lag(dist) OVER w) / 0.1, 0.0), 9) AS rate FROM d WHERE label = 'Stop Sign' WINDOW w AS (PARTITION BY scene_id, object_id ORDER BY idx)),
 a AS (SELECT *, CASE WHEN round(dist, 9) < 30 AND rate < -2.8 THEN 'yes' WHEN rate > 2.8 OR round(dist, 9) >= 30 THEN 'no' END AS answer, round((ux * (x - ex) + uy * (y - ey)) / nullif(round(dist, 9), 0), 9) AS ahead FROM r)
-SELECT scene_id, object_id, idx, answer FROM a WHERE observed AND abs(rate) >= 0.5 AND (answer = 'no' OR (answer = 'yes' AND ahead > 0.5 AND sqrt(ux * ux + uy * uy) >= 0.1))""")
+SELECT scene_id, object_id, idx, answer FROM a WHERE visible AND abs(rate) >= 0.5 AND (answer = 'no' OR (answer = 'yes' AND facing AND ahead > 0.5 AND sqrt(ux * ux + uy * uy) >= 0.1))""")
 def approaching_stop_sign(spark, sf_dir):
     return trajectories.approaching_stop_sign(tracks(spark, sf_dir))
 
@@ -196,9 +197,9 @@ def frames_without_sign(spark, sf_dir):
 
 @query(f"""{TRACKS}, v AS (SELECT * FROM d WHERE kind = 'Vehicle' AND round(dist, 9) < 30),
 g AS (SELECT v.scene_id, v.object_id, v.idx, min(sqrt((v.x - p.ex) * (v.x - p.ex) + (v.y - p.ey) * (v.y - p.ey))) AS future FROM v JOIN path p ON v.scene_id = p.scene_id AND p.idx >= v.idx GROUP BY ALL),
-m AS (SELECT v.scene_id, v.object_id, v.idx, v.observed, round(((x - ex) * ux + (y - ey) * uy) / (sqrt(ux * ux + uy * uy) + 1e-6), 9) > 0.3 AND round(ego_speed, 9) > 5
+m AS (SELECT v.scene_id, v.object_id, v.idx, v.visible, round(((x - ex) * ux + (y - ey) * uy) / (sqrt(ux * ux + uy * uy) + 1e-6), 9) > 0.3 AND round(ego_speed, 9) > 5
   AND (round(((x - ex) * lx + (y - ey) * ly) / (lx * lx + ly * ly) + 0.5, 9) BETWEEN 0 AND 1 OR round(future, 9) < 5) AS positive FROM v JOIN g ON v.scene_id = g.scene_id AND v.object_id = g.object_id AND v.idx = g.idx),
-o AS (SELECT *, row_number() OVER (PARTITION BY scene_id, object_id, positive ORDER BY md5('path|' || scene_id || '|' || object_id || '|' || idx), idx) AS rn FROM m WHERE observed),
+o AS (SELECT *, row_number() OVER (PARTITION BY scene_id, object_id, positive ORDER BY md5('path|' || scene_id || '|' || object_id || '|' || idx), idx) AS rn FROM m WHERE visible),
 e AS (SELECT *, row_number() OVER (PARTITION BY scene_id, positive ORDER BY md5('path|' || scene_id || '|' || object_id), object_id) AS r2, least(count(*) FILTER (WHERE positive) OVER (PARTITION BY scene_id), count(*) FILTER (WHERE NOT positive) OVER (PARTITION BY scene_id)) AS cap FROM o WHERE rn = 1)
 SELECT scene_id, object_id, idx, CASE WHEN positive THEN 'yes' ELSE 'no' END AS answer FROM e WHERE r2 <= cap""")
 def vehicle_future_path(spark, sf_dir):

@@ -306,9 +306,12 @@ def test_binary_questions_are_even(spark):
     assert len({r.question_id for r in got}) == len(got)
 
 
-def test_two_frame_questions_need_both_boxes(spark):
-    single = spark.createDataFrame([("s", "o", 2, "yes"), ("s", "p", 2, "no"), ("s", "o", 0, "yes")], "scene_id string, object_id string, idx int, answer string").withColumn("bbox", F.lit(0))
-    shown = spark.createDataFrame([("s", "o", i, [i], f"{i}.jpg", True) for i in range(3)] + [("s", "p", 2, [2], "2.jpg", True)], "scene_id string, object_id string, idx int, bbox array<int>, image_path string, visible boolean")
+def test_two_frame_questions_use_the_previous_best_camera(spark):
+    single = spark.createDataFrame([("s", "o", 2, "yes"), ("s", "p", 2, "no"), ("s", "o", 0, "yes"), ("s", "q", 1, "no")], "scene_id string, object_id string, idx int, answer string").withColumn("bbox", F.lit(0))
+    # object, frame, camera, shown, best
+    views = [("o", 0, "FRONT", True, True), ("o", 1, "FRONT", True, False), ("o", 1, "SIDE", True, True), ("o", 2, "FRONT", True, True), ("o", 2, "SIDE", True, False), ("p", 2, "FRONT", True, True)]
+    views += [("q", 0, "FRONT", False, True), ("q", 0, "SIDE", True, False), ("q", 1, "FRONT", True, True), ("q", 1, "SIDE", True, False)]
+    shown = spark.createDataFrame([("s", o, i, c, [i], f"{i}{c}.jpg", v, b) for o, i, c, v, b in views], "scene_id string, object_id string, idx int, camera string, bbox array<int>, image_path string, visible boolean, best boolean")
     frames = spark.createDataFrame([("s", i) for i in range(3)], "scene_id string, idx int")
-    got = {(r.object_id, r.idx): (r.previous_idx, r.current_idx) for r in questions.ego_relative_multi_frame(single, shown, frames).collect()}
-    assert got == {("o", 2): (1, 2), ("o", 0): (0, 1)}
+    got = {(r.object_id, r.idx): (r.previous_image_path, r.current_image_path, r.camera_name) for r in questions.ego_relative_multi_frame(single, shown, frames).collect()}
+    assert got == {("o", 2): ("1SIDE.jpg", "2SIDE.jpg", "SIDE"), ("o", 0): ("0FRONT.jpg", "1FRONT.jpg", "FRONT")}

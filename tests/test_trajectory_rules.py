@@ -15,7 +15,7 @@ KINDS = ["Vehicle", "Pedestrian", "Cyclist", "Sign", "Vehicle", "Vehicle"]
 def world(spark):
     """Scenes with an ego path that turns, a lateral axis of any length, and objects that are seen in most frames."""
     rng = np.random.default_rng(3)
-    frames, seen, scenes = [], [], {}
+    frames, seen, scenes, views = [], [], {}, {}
     for k in range(6):
         heading = np.cumsum(rng.normal(0, 0.2, N))
         ego = np.cumsum(np.stack([np.cos(heading), np.sin(heading), 0.1 * rng.normal(size=N)], 1) * rng.uniform(0, 1.6, (N, 1)), 0)
@@ -27,13 +27,16 @@ def world(spark):
             place = ego[there] + rng.normal(0, 6, (24, 3)) * [1, 1, 0.3] if o % 2 else np.cumsum(rng.normal(0, 0.6, (24, 3)), 0) + ego[N // 2]
             speed = rng.uniform(0, 25, 24)
             full = np.stack([np.interp(np.arange(N), there, place[:, i]) for i in range(3)], 1)
+            shown, faces = rng.random(24) < 0.8, rng.random(24) < 0.7
+            lidar = rng.integers(5, 40, 24)
+            views[f"s{k}", f"o{o}"] = {int(t): (bool(a), bool(b), int(n)) for t, a, b, n in zip(there, shown, faces, lidar, strict=True)}
             objects[f"o{o}"] = kind, set(there.tolist()), full, np.interp(np.arange(N), there, speed)
-            seen += [(f"s{k}", int(t), f"o{o}", kind, "Stop Sign" if kind == "Sign" else "thing", *map(float, p), float(v), 20) for t, p, v in zip(there, place, speed, strict=True)]
+            seen += [(f"s{k}", int(t), f"o{o}", kind, "Stop Sign" if kind == "Sign" else "thing", *map(float, p), float(v), int(n), bool(a), "towards" if b else "left") for t, p, v, n, a, b in zip(there, place, speed, lidar, shown, faces, strict=True)]
         frames += [(f"s{k}", i, *map(float, ego[i]), *map(float, side[i])) for i in range(N)]
         scenes[f"s{k}"] = ego, side, objects
     f = spark.createDataFrame(frames, "scene_id string, timestamp long, ex double, ey double, ez double, lx double, ly double, lz double")
-    o = spark.createDataFrame(seen, "scene_id string, timestamp long, object_id string, kind string, label string, x double, y double, z double, speed double, lidar int")
-    return scenes, trajectories.tracks(f, o).cache()
+    o = spark.createDataFrame(seen, "scene_id string, timestamp long, object_id string, kind string, label string, x double, y double, z double, speed double, lidar int, visible boolean, facing string")
+    return scenes, trajectories.tracks(f, o).cache(), views
 
 
 def ego_figures(ego):
@@ -43,7 +46,7 @@ def ego_figures(ego):
 
 
 def test_faster_than_ego(world):
-    scenes, t = world
+    scenes, t, views = world
     want = set()
     for s, (ego, _, objects) in scenes.items():
         ego_speed, _ = ego_figures(ego)
@@ -66,7 +69,7 @@ def test_faster_than_ego(world):
 
 
 def test_parallel_motion(world):
-    scenes, t = world
+    scenes, t, views = world
     want = {}
     for s, (ego, _, objects) in scenes.items():
         ego_speed, _ = ego_figures(ego)
@@ -87,7 +90,7 @@ def test_parallel_motion(world):
 
 
 def test_future_path(world, spark):
-    scenes, t = world
+    scenes, t, views = world
     marks = {}
     for s, (ego, side, objects) in scenes.items():
         ego_speed, way = ego_figures(ego)
@@ -96,7 +99,7 @@ def test_future_path(world, spark):
                 continue
             for i in sorted(there):
                 rel = place[i] - ego[i]
-                if np.linalg.norm(rel) >= 30:
+                if np.linalg.norm(rel) >= 30 or not views[s, o][i][0]:
                     continue
                 left, right = ego[i] + 0.5 * side[i], ego[i] - 0.5 * side[i]
                 width = left - right
@@ -113,8 +116,71 @@ def test_future_path(world, spark):
         assert len({(r.object_id, r.answer) for r in here}) == len(here)
 
 
+def slopes(p):
+    """Central differences by the frame time, one-sided at the ends."""
+    out = np.empty_like(p)
+    out[1:-1], out[0], out[-1] = (p[2:] - p[:-2]) / 0.2, (p[1] - p[0]) / 0.1, (p[-1] - p[-2]) / 0.1
+    return out
+
+
+def unit(v):
+    return v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-8)
+
+
+def test_moving_towards_ego(world):
+    scenes, t, views = world
+    want, elsewhere = {}, 0
+    bounds = {"Pedestrian": (2, 10), "Cyclist": (2, 15), "Vehicle": (2, 25)}
+    for s, (ego, _, objects) in scenes.items():
+        for o, (kind, _, place, speed) in objects.items():
+            if kind not in bounds or speed.max() <= 1:
+                continue
+            d = np.linalg.norm(place - ego, axis=1)
+            rate = np.diff(d, prepend=d[0]) / 0.1
+            vo, ve, to_ego = slopes(place), slopes(ego), unit(ego - place)
+            dots = lambda a, b: (a * b).sum(1)
+            c, ho, he = dots(unit(vo - ve), to_ego), dots(unit(vo), to_ego), dots(unit(ve), -to_ego)
+            near = (d < 30) & (rate <= -2.8) & ((c > 0.3) | (ho > 0.3) | (he > 0.3))
+            apart = (rate >= 2.8) & ((c < -0.3) | ((ho < -0.1) & (he < -0.1)))
+            score = np.maximum(0, (50 - d) / 50) + np.minimum(abs(rate) / 5, 1) + np.maximum(0, -c) + np.maximum(ho, he)
+            lo, hi = bounds[kind]
+            for answer, hit, fits in (("yes", near, (d >= lo) & (d <= hi)), ("no", apart, (d > 2) & (d < 60))):
+                at = [i for i in range(N) if hit[i] and hit[: i + 1].sum() >= 3 and abs(rate[i]) > 2.24 and fits[i]]
+                if at:
+                    best = max(at, key=lambda i: (round(score[i], 9), -i))
+                    shown, _, lidar = views[s, o].get(best, (False, False, 0))
+                    elsewhere += not (shown and lidar >= 10)
+                    if shown and lidar >= 10:
+                        want[s, o, answer] = best
+    got = {(r.scene_id, r.object_id, r.answer): r.idx for r in trajectories.moving_towards_ego(t).collect()}
+    assert got == want and len(got) > 10 and elsewhere > 5
+
+
+def test_approaching_stop_sign(world):
+    scenes, t, views = world
+    want = set()
+    for s, (ego, _, objects) in scenes.items():
+        _, way = ego_figures(ego)
+        for o, (kind, there, place, _) in objects.items():
+            if kind != "Sign":
+                continue
+            d = np.linalg.norm(place - ego, axis=1)
+            rate = np.diff(d, prepend=d[0]) / 0.1
+            for i in there:
+                shown, faces, _ = views[s, o][i]
+                if not shown or abs(rate[i]) < 0.5:
+                    continue
+                if d[i] < 30 and rate[i] < -2.8:
+                    if faces and np.linalg.norm(way[i]) >= 0.1 and way[i] @ (place[i] - ego[i]) / d[i] > 0.5:
+                        want.add((s, o, i, "yes"))
+                elif rate[i] > 2.8 or d[i] >= 30:
+                    want.add((s, o, i, "no"))
+    got = {(r.scene_id, r.object_id, r.idx, r.answer) for r in trajectories.approaching_stop_sign(t).collect()}
+    assert got == want and {a for *_, a in got} == {"yes", "no"}
+
+
 def test_texts_without_a_place_for_the_object(world):
-    _, t = world
+    _, t, _ = world
     found = None
     for name, part in (("_prompt_vehicle_future_path", trajectories.future_path(t)), ("_prompt_approaching_stop_sign", trajectories.approaching_stop_sign(t))):
         part = part.withColumns({"scenario": F.lit(None).cast("string"), "question_name": F.lit(name)})
