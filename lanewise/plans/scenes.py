@@ -321,6 +321,29 @@ def incremental_scene_state(spark, sf_dir):
     return scene_state.object_state(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", ["value"])
 
 
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of five parts of the events, merged."""
+    e = table(spark, sf_dir, "events")
+    flags = {"high": F.col("value") > 95, "even": F.col("event_id") % 64 == 0}
+    parts = None
+    for k in range(5):
+        part = scene_state.partial_state(e.where(F.col("event_id") % 5 == k), "user_id", "event_type", "event_id", ["value"], flags)
+        parts = part if parts is None else parts.union(part)
+    return scene_state.merged_state(parts, "user_id", "event_type", list(flags))
+
+
+@query("SELECT user_id, event_type, min(event_id) AS first_time, arg_min(value, event_id) AS value, max(event_id) AS last_time, count(*) AS n_frames, array_to_string(list_sort(list(event_id)), ',') AS timestamps FROM events GROUP BY ALL")
+def merged_scene_state(spark, sf_dir):
+    return merged(spark, sf_dir).select("user_id", "event_type", "first.first_time", "first.value", "last_time", "n_frames", F.array_join(F.col("timestamps").cast("array<string>"), ",").alias("timestamps"))
+
+
+@query("""WITH o AS (SELECT user_id, event_type, coalesce(bool_or(value > 95), false) AS high, bool_or(event_id % 64 = 0) AS even FROM events GROUP BY ALL)
+SELECT user_id, """ + ", ".join(f"coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (WHERE {c}), '') AS {n}" for n, c in (("high", "high"), ("no_high", "NOT high"), ("even", "even"), ("no_even", "NOT even"))) + " FROM o GROUP BY user_id")
+def merged_scene_lists(spark, sf_dir):
+    out = scene_state.id_lists(merged(spark, sf_dir), "user_id", "event_type", ["high", "even"])
+    return out.select("user_id", *[F.array_join(c, ",").alias(c) for c in ("high", "no_high", "even", "no_even")])
+
+
 
 
 @query(f"{FRAMES}, e AS (SELECT scene_id, event_type, arg_min(value, idx) AS v0, arg_min(y, idx) AS y0, arg_max(value, idx) AS v1, arg_max(y, idx) AS y1, count(*) AS n FROM frames GROUP BY ALL) SELECT scene_id, event_type, round(sqrt((v1 - v0) * (v1 - v0) + (y1 - y0) * (y1 - y0)) / (n * 0.1), 6) AS mean_speed FROM e")

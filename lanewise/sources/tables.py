@@ -139,31 +139,6 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(decode, "path string, point long, values array<double>")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """path, record, payload: records of TFRecord files, read as a stream in a task; payloads are the serialised messages as they are.
-
-    Lengths are checked against the file, checksums are not."""
-    import struct
-
-    import pyarrow as pa
-
-    schema = pa.schema([("path", pa.string()), ("record", pa.int64()), ("payload", pa.binary())])
-
-    def decode(batches):
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                at, i = 0, 0
-                while at < len(content):
-                    (size,) = struct.unpack_from("<Q", content, at)
-                    if at + 16 + size > len(content):
-                        raise ValueError(f"{name}: record {i} is cut off")
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int64()), pa.array([content[at + 12 : at + 12 + size]], pa.binary())], schema=schema)
-                    at, i = at + 16 + size, i + 1
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tfrecord").load(path)
-    return files.select("path", "content").mapInArrow(decode, "path string, record long, payload binary")
-
-
 def predicted(rows: DataFrame, columns: list[str], make_model, schema: str) -> DataFrame:
     """Rows through a model: make_model() is called once in each task and gives a function from a pandas batch to one of ``schema``."""
 

@@ -1,7 +1,6 @@
 """Round trips of files, the stream against the table, and the projection of boxes."""
 
 import json
-import struct
 
 import numpy as np
 import pytest
@@ -66,14 +65,10 @@ def test_entities(spark, tmp_path):
         tables.expect_files(spark, str(tmp_path), "*.json", 202)
 
 
-def test_arrays_and_records(spark, tmp_path):
+def test_arrays(spark, tmp_path):
     np.save(tmp_path / "a.npy", np.arange(6).reshape(3, 2))
     got = tables.read_points(spark, str(tmp_path)).orderBy("point").collect()
     assert [r["values"] for r in got] == [[0, 1], [2, 3], [4, 5]]
-    with (tmp_path / "a.tfrecord").open("wb") as f:
-        for x in (b"one", b"three"):
-            f.write(struct.pack("<Q", len(x)) + b"\0" * 4 + x + b"\0" * 4)
-    assert [bytes(r.payload) for r in tables.read_records(spark, str(tmp_path)).orderBy("record").collect()] == [b"one", b"three"]
 
 
 def test_models_are_loaded_once_a_task(spark):
@@ -86,16 +81,31 @@ def test_models_are_loaded_once_a_task(spark):
     assert [(r.id, r.text) for r in got] == [(1, "A")]
 
 
-def test_stream_of_frames_equals_the_table(spark, small, tmp_path):
+@pytest.mark.parametrize("every", [2, 20])
+def test_stream_in_batches_equals_the_table(spark, small, tmp_path, every):
+    """Five batches, with a restart after two, a batch that is repeated, and one that left an unfinished folder."""
     events = spark.read.parquet(f"{small}/events.parquet")
-    events.repartition(3).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    args = ("user_id", "event_type", "event_id", ["value"])
-    scene_state.start_object_state(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", *args).awaitTermination(120)
-    last = spark.read.parquet(f"{tmp_path}/out").groupBy("user_id", "event_type").agg(F.max_by(F.struct("value", "first_time", "last_time", "n_frames"), F.struct("batch")).alias("s")).select("user_id", "event_type", "s.*")
-    want = scene_state.object_state(events, *args)
-    assert sorted(last.collect()) == sorted(want.collect())
-
+    source = tmp_path / "in"
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    args = ("user_id", "event_type", "event_id", ["value"], {"high": F.col("value") > 95})
+    state = scene_state.SceneTable(spark, f"{tmp_path}/out", *args, every=every)
+    assert state.read() is None
+    for k in range(5):
+        events.where(F.col("event_id") % 5 == k).coalesce(1).write.parquet(f"{source}/{k}")
+        if k in (1, 4):
+            state.follow(stream, f"{tmp_path}/checkpoint").awaitTermination(120)
+            if k == 1:
+                early = scene_state.partial_state(events.where("event_id % 5 < 2"), *args)
+                assert sorted(map(repr, state.read().collect())) == sorted(map(repr, early.collect()))
+    batches = sorted(int(p.name) for p in (tmp_path / "out/batch").iterdir())
+    assert batches == [0, 1, 2, 3, 4]
+    (tmp_path / "out/batch/5").mkdir()
+    again = scene_state.SceneTable(spark, f"{tmp_path}/out", *args, every=every)
+    again.add(spark.read.parquet(f"{source}/4"), 4)
+    want = scene_state.partial_state(events, *args)
+    assert sorted(map(repr, again.read().collect())) == sorted(map(repr, want.collect()))
+    lists = {r.user_id: r for r in scene_state.id_lists(again.read(), "user_id", "event_type", ["high"]).collect()}
+    assert all(sorted(r.high) == r.high and not set(r.high) & set(r.no_high) for r in lists.values())
 
 def test_windows_on_a_stream(spark, small, tmp_path):
     events = spark.read.parquet(f"{small}/events.parquet")
