@@ -151,17 +151,20 @@ def bounds(sizes: dict[str, int], per_language: int) -> dict[str, int]:
 def fit(docs: DataFrame, per_language: int = 1500) -> Model:
     """Model from text and non-null lang of documents that aren't held out.  A language whose sample has no letter isn't learnt."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashed = known.withColumn("h", F.xxhash64("doc_id", "text"))
+    # of different documents, as rows that repeat one are one in the sample
+    sizes = {r.lang: max(1, r.n) for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not sizes:
         return Model([], [])
     least = bounds(sizes, per_language)
     most = (1 << 63) - 1
     bound = F.create_map(*[x for lang, n in least.items() for x in (F.lit(lang), F.lit(min(n, most)))])
     whole = F.col("lang").isin([lang for lang, n in least.items() if n > most])
-    hashed = known.withColumn("h", F.xxhash64("doc_id", "text"))
     chosen = hashed.where(whole | (F.col("h") < bound[F.col("lang")])).groupBy("lang", "h").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text"))
     # about per_language texts of each language, which are read four times
     sample = settled(chosen.withColumn("calibrates", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(4)) == 0).drop("h"))
+    if missing := set(sizes) - {r.lang for r in sample.select("lang").distinct().collect()}:
+        raise RuntimeError(f"no document was drawn of {sorted(missing)}")
     # a language without enough documents for a limit, or to learn from beside them, sets none aside
     enough = F.count_if("calibrates") >= LEAST
     apart = [r.lang for r in sample.where(F.col("text").rlike(r"\p{L}")).groupBy("lang").agg((enough & (F.count_if(~F.col("calibrates")) > 0)).alias("apart")).where("apart").collect()]

@@ -228,3 +228,31 @@ def test_toxicity_equals_a_naive_scorer(spark, docs, labels):
     want = sorted((r.doc_id if r.doc_id is not None else -1, round(naive(r.text), 6)) for r in some.collect())
     got = sorted((r.doc_id if r.doc_id is not None else -1, round(r.score, 6)) for r in toxicity.score(with_clashing_columns(some), model).collect())
     assert got == want
+
+
+def test_a_language_of_few_documents_in_many_rows_is_learnt(spark):
+    few = ["der hund und die katze schlafen im haus", "das wetter ist heute sehr schön und warm", "wir gehen morgen in die schule", "sie liest ein buch über die geschichte", "der zug fährt um acht uhr ab"]
+    many = [f"the dog number {i} and the cat sleep in house {i % 7}" for i in range(400)]
+    rows = [(i, t, "de") for i, t in enumerate(few) for _ in range(2000)] + [(100 + i, t, "en") for i, t in enumerate(many)]
+    # ids that may be learnt from
+    rows = [(i, t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
+    assert model.languages == ["de", "en"]
+    got = language.predict(spark.createDataFrame([(1, "die katze und der hund gehen heute"), (2, "the cat and the dog")], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["de", "en"]
+
+
+def test_language_scores_by_the_definition(spark):
+    """lang_pred has the least mean cost of its 4-grams' last characters, summed up one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    model = language.fit(docs, per_language=20)
+    out = {r.doc_id: r for r in language.predict(docs, model).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i, r in out.items():
+        if r.lang_pred == "und":
+            continue
+        data = np.frombuffer((texts[i] or "").encode(), np.uint8)
+        packed, _ = language.grams(data, np.array([0, len(data)]))
+        cost = [-sum(float(m.log_prob(np.array([g]))[0]) for g in packed) / len(packed) for m in model.each]
+        assert abs(min(cost) - cost[model.languages.index(r.lang_pred)]) < 1e-9
+        assert abs(r.entropy - min(cost)) < 1e-6
