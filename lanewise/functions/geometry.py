@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import BANDS, DISPLAY, MOVING_ABOVE
+from .text import let
 
 
 def centre_box(synced: Column, box: Column) -> Column:
@@ -155,3 +156,35 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
+
+
+def inverse(matrix: Column, least: float = 1e-12) -> Column:
+    """The inverse of a square matrix held as an array of rows; null for a null, ragged or singular one (no pivot above ``least`` times
+    the largest element).
+
+    Gauss and Jordan with the largest pivot of each column, folded over the columns in the JVM."""
+    size = F.size(matrix)
+    ok = (size > 0) & F.forall(matrix, lambda r: (F.size(r) == size) & F.forall(r, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
+    largest = F.array_max(F.transform(matrix, lambda r: F.array_max(F.transform(r, lambda x: F.abs(x)))))
+    one = lambda i: F.transform(F.sequence(F.lit(0), size - 1), lambda j: F.when(i == j, F.lit(1.0)).otherwise(F.lit(0.0)))
+    wide = F.transform(matrix, lambda r, i: F.concat(F.transform(r, lambda x: x.cast("double")), one(i)))
+
+    def step(rows: Column, c: Column) -> Column:
+        """Column c becomes that of the unit matrix."""
+        # the row from c on with the largest element there, the first of equal ones; it is negated to sort first
+        best = F.array_min(F.transform(F.sequence(c, size - 1), lambda i: F.struct((-F.abs(rows[i][c])).alias("less"), i.alias("i"))))
+        return let(best, lambda b: F.when(-b["less"] > least * largest, cleared(rows, c, b["i"])))
+
+    def cleared(rows: Column, c: Column, at: Column) -> Column:
+        pivot = F.transform(rows[at], lambda x: x / rows[at][c])
+        swapped = F.transform(rows, lambda r, i: F.when(i == at, rows[c]).otherwise(r))
+        return let(pivot, lambda p: F.transform(swapped, lambda r, i: F.when(i == c, p).otherwise(F.zip_with(r, p, lambda x, y: x - y * r[c]))))
+
+    done = F.aggregate(F.sequence(F.lit(0), size - 1), wide, step)
+    return F.when(ok, F.transform(done, lambda r: F.slice(r, size + 1, size)))
+
+
+def product(a: Column, b: Column) -> Column:
+    """The product of two matrices held as arrays of rows."""
+    columns = F.sequence(F.lit(0), F.size(b[0]) - 1)
+    return F.transform(a, lambda r: F.transform(columns, lambda j: F.aggregate(F.zip_with(r, b, lambda x, row: x * row[j]), F.lit(0.0), lambda s, v: s + v)))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
-from ..operators import stats
+from ..operators import metrics, stats
 from ..sources.tables import table
 from .registry import query
 
@@ -329,3 +329,24 @@ def typed_predictions(spark, sf_dir):
     choices = F.array(*map(F.lit, ["1-URGENT", "2-HIGH", "3-MEDIUM"]))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", choices.alias("choices"), choices.alias("truth_choices"))
     return ev.typed(rows, "o_orderpriority", "choices", "truth_choices").select("o_orderkey", "prediction")
+
+
+METRIC_ROWS = """WITH r AS (SELECT p_brand, p_name AS prediction, replace(p_name, 'red', 'blue') AS truth, ['red widget', 'small ring', 'blue gear', 'blue widget'] AS choices, p_size FROM part),
+t AS (SELECT *, list_distinct(string_split(prediction, ' ')) AS a, list_distinct(string_split(truth, ' ')) AS b, list_contains(choices, prediction) AS valid FROM r),
+m AS (SELECT *, len(list_intersect(a, b)) AS shared, least(p_size, 20) * least(10, p_size) AS i FROM t),
+s AS (SELECT *, shared / len(list_distinct(list_concat(a, b))) AS jaccard, 2 * shared / (len(a) + len(b)) AS f1, i / (p_size * 10 + 20 * p_size - i) AS iou FROM m)"""
+
+
+@query(f"""{METRIC_ROWS} SELECT p_brand, count(*) AS multiple_choice_n, round(count(*) FILTER (WHERE valid AND prediction = truth) / count(*), 6) AS multiple_choice_accuracy, round(count(*) FILTER (WHERE valid) / count(*), 6) AS multiple_choice_valid_share,
+count(*) AS text_similarity_n, round(count(*) FILTER (WHERE prediction = truth) / count(*), 6) AS text_similarity_exact, round(avg(jaccard), 6) AS text_similarity_jaccard, round(avg(f1), 6) AS text_similarity_f1,
+count(*) AS box_overlap_n, round(avg(iou), 6) AS box_overlap_mean_iou, round(count(*) FILTER (WHERE round(iou, 9) >= 0.5) / count(*), 6) AS box_overlap_hit_share FROM s GROUP BY p_brand""")
+def metrics_in_one_pass(spark, sf_dir):
+    """Three metrics by brand from one aggregation; sums by brand and type are added up to those by brand."""
+    size = F.col("p_size").cast("double")
+    rows = table(spark, sf_dir, "part").select(
+        "p_brand", "p_type", F.col("p_name").alias("prediction"), F.replace("p_name", F.lit("red"), F.lit("blue")).alias("truth"), F.array(*map(F.lit, ["red widget", "small ring", "blue gear", "blue widget"])).alias("choices"),
+        F.array(F.lit(0.0), F.lit(0.0), size, F.lit(10.0)).alias("prediction_box"), F.array(F.lit(0.0), F.lit(0.0), F.lit(20.0), size).alias("truth_box"),
+    )
+    names = ["multiple_choice", "text_similarity", "box_overlap"]
+    out = metrics.figures(metrics.added(metrics.sums(rows, names, ["p_brand", "p_type"]), names, ["p_brand"]), names, ["p_brand"])
+    return out.select("p_brand", *[c if c.endswith("_n") else F.round(c, 6).alias(c) for c in out.columns[1:]])

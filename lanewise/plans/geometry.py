@@ -315,3 +315,23 @@ def rolling_shutter_projection(spark, sf_dir):
     )
     seen = camera.rolling_shutter(*[F.col(n) for n in ("p", "speed", "turn", "extrinsic", "lens")], F.lit(960), F.lit(640), F.col("direction"), F.col("first"), F.lit(0.04))
     return e.select("vec_id", seen.alias("s")).select("vec_id", *r6(u=F.col("s.u"), v=F.col("s.v"), depth=F.col("s.depth")), "s.ok")
+
+
+def _minor(rows: list[int], columns: list[int]) -> str:
+    """Determinant of the named rows and columns, by its definition."""
+    if len(rows) == 1:
+        return f"v[{4 * rows[0] + columns[0] + 1}]"
+    parts = [f"v[{4 * rows[0] + c + 1}] * ({_minor(rows[1:], columns[:k] + columns[k + 1 :])})" for k, c in enumerate(columns)]
+    return parts[0] + "".join((" - " if k % 2 == 0 else " + ") + x for k, x in enumerate(parts[1:]))
+
+
+FOUR = list(range(4))
+COFACTORS = ", ".join(f"{'-' if (r + c) % 2 else ''}({_minor([i for i in FOUR if i != c], [i for i in FOUR if i != r])}) AS c{4 * r + c}" for r in FOUR for c in FOUR)
+
+
+@query(f"{E}, c AS (SELECT vec_id, {_minor(FOUR, FOUR)} AS det, {COFACTORS} FROM e) SELECT vec_id, {', '.join(f'round(c{i} / det, 3) + 0.0 AS i{i}' for i in range(16))}, CAST(0.0 AS DOUBLE) AS off FROM c")
+def matrix_inverse(spark, sf_dir):
+    """The inverse of each vector's matrix, and how far their product is from the unit matrix, to nine places."""
+    e = vectors(spark, sf_dir).select("vec_id", "m").withColumn("inv", g.inverse(F.col("m")))
+    off = F.transform(g.product(F.col("m"), F.col("inv")), lambda r, i: F.array_max(F.transform(r, lambda x, j: F.abs(x - F.when(i == j, 1.0).otherwise(0.0)))))
+    return e.select("vec_id", *[(F.round(F.col("inv")[i // 4][i % 4], 3) + 0.0).alias(f"i{i}") for i in range(16)], F.round(F.array_max(off), 9).alias("off"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 from ..operators import evaluation as ev
-from ..operators import questions
+from ..operators import questions, similar
 from ..sources.tables import table
 from .registry import query
 
@@ -208,3 +208,18 @@ SELECT p_partkey, CASE WHEN s >= 0.3 THEN t END AS nearest FROM r WHERE rn = 1""
 def nearest_choice(spark, sf_dir):
     choices = F.array(*map(F.lit, ["red widget", "small ring", "blue gear"]))
     return table(spark, sf_dir, "part").select("p_partkey", tx.nearest_choice(F.col("p_name"), choices, 0.3).alias("nearest"))
+
+
+NEAREST = r"""WITH w AS (SELECT doc_id, text, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '')) AS s FROM documents),
+p AS (SELECT a.doc_id, b.text AS t, len(list_intersect(a.s, b.s)) AS shared, len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS total FROM w a JOIN w b ON b.doc_id % 20 = 0 AND len(a.s) > 0 AND len(b.s) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY shared / total DESC, t) AS rn FROM p WHERE 100 * shared >= 60 * total)
+SELECT w.doc_id, md5(t) AS nearest, round(shared / total, 9) AS similarity FROM w LEFT JOIN r ON w.doc_id = r.doc_id AND rn = 1"""
+
+
+@query(NEAREST)
+def nearest_known_text(spark, sf_dir):
+    """All documents against those whose id 20 divides, by their words."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = tx.tokens(F.coalesce("text", F.lit("")))
+    out = similar.nearest(d, d.where("doc_id % 20 = 0"), words, words, "text", 60)
+    return out.select("doc_id", F.md5("nearest").alias("nearest"), F.round("similarity", 9).alias("similarity"))
