@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import stems as st
 from ..functions import text as tx
-
 from ..operators import evaluation as ev
 from ..operators import questions, similar
 from ..sources.tables import table
@@ -223,3 +223,40 @@ def nearest_known_text(spark, sf_dir):
     words = tx.tokens(F.coalesce("text", F.lit("")))
     out = similar.nearest(d, d.where("doc_id % 20 = 0"), words, words, "text", 60)
     return out.select("doc_id", F.md5("nearest").alias("nearest"), F.round("similarity", 9).alias("similarity"))
+
+
+def _stem_steps() -> list[str]:
+    """The steps of a stem as CASE expressions on ``w``."""
+    cut = lambda n: f"w[:length(w) - {n}]"
+    has = lambda x, p: f"regexp_matches({x}, '{p}')"
+
+    def replaced(rules, condition):
+        whens = "".join(f" WHEN suffix(w, '{s}') THEN CASE WHEN {has(cut(len(s)), condition)}{' AND ' + has(cut(len(s)), '[st]$') if s == 'ion' else ''} THEN {cut(len(s))} || '{n}' ELSE w END" for s, n in sorted(rules, key=lambda r: -len(r[0])))
+        return f"CASE{whens} ELSE w END"
+
+    double = "|".join(c + c for c in "bcdfghjkmnpqrtvwx")
+    return [
+        f"CASE WHEN {has('w', '(ss|i)es$')} THEN {cut(2)} WHEN {has('w', '[^s]s$')} THEN {cut(1)} ELSE w END AS w, false AS open",
+        f"CASE WHEN suffix(w, 'eed') THEN CASE WHEN {has(cut(3), st.MORE_THAN_0)} THEN {cut(1)} ELSE w END WHEN suffix(w, 'ed') THEN CASE WHEN {has(cut(2), st.WITH_VOWEL)} THEN {cut(2)} ELSE w END"
+        f" WHEN suffix(w, 'ing') AND {has(cut(3), st.WITH_VOWEL)} THEN {cut(3)} ELSE w END AS w, NOT suffix(w, 'eed') AND (suffix(w, 'ed') AND {has(cut(2), st.WITH_VOWEL)} OR suffix(w, 'ing') AND {has(cut(3), st.WITH_VOWEL)}) AS open",
+        f"CASE WHEN NOT open THEN w WHEN {has('w', '(at|bl|iz)$')} OR {has('w', st.SHORT_END)} THEN w || 'e' WHEN {has('w', '(' + double + ')$')} THEN {cut(1)} ELSE w END AS w",
+        f"CASE WHEN suffix(w, 'y') AND {has(cut(1), st.WITH_VOWEL)} THEN {cut(1)} || 'i' ELSE w END AS w",
+        replaced(st.STEP_2, st.MORE_THAN_0) + " AS w",
+        replaced(st.STEP_3, st.MORE_THAN_0) + " AS w",
+        replaced([(x, "") for x in st.STEP_4], st.MORE_THAN_1) + " AS w",
+        f"CASE WHEN suffix(w, 'e') AND ({has(cut(1), st.MORE_THAN_1)} OR ({has(cut(1), st.EXACTLY_1)} AND NOT {has(cut(1), st.SHORT_END)})) THEN {cut(1)} ELSE w END AS w",
+        f"CASE WHEN suffix(w, 'll') AND {has('w', st.MORE_THAN_1)} THEN {cut(1)} ELSE w END AS w",
+    ]
+
+
+ENGLISH = ["running", "happily", "relational", "yes", "syzygy", "hopefulness", "controlled", "agreed", "flies", "adoption"]
+STEMS = f"""WITH {PAIRS[5:]}, each AS (SELECT DISTINCT unnest(list_concat(q, {ENGLISH})) AS word FROM tok), s0 AS MATERIALIZED (SELECT word, CASE WHEN prefix(word, 'y') THEN 'Y' || word[2:] ELSE word END AS w FROM each WHERE regexp_matches(word, '^[a-z]{{3,}}$')),
+{", ".join(f"s{k + 1} AS MATERIALIZED (SELECT word, {step} FROM s{k})" for k, step in enumerate(_stem_steps()))}
+SELECT word, coalesce(lower(w), word) AS stem FROM each LEFT JOIN s{len(_stem_steps())} USING (word)"""
+
+
+@query(STEMS)
+def word_stems(spark, sf_dir):
+    """Stems of the different words of all questions, and of a few English ones."""
+    words = F.explode(F.array_distinct(F.concat(tx.tokens(F.col(Q)), F.array(*map(F.lit, ENGLISH))))).alias("word")
+    return pairs(spark, sf_dir).select(words).distinct().select("word", st.stem(F.col("word")).alias("stem"))
