@@ -11,6 +11,7 @@ from ..functions.text import camera_display, day_period
 from ..operators import questions, scenes, trajectories
 from ..operators import sequence as s
 from ..schema import BANDS, bands
+from ..sources import variants
 from ..sources.tables import table
 from ..streaming import scene_state
 from .registry import query
@@ -294,6 +295,39 @@ def json_metadata_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six kinds of samples in turn: two that are typed, one with a field of another type, and three for the quarantine."""
+    k = F.col("event_id") % 6
+    kind = F.when(k == 3, "hologram").when(k == 0, "single_image_multi_choice").when(k == 1, "multi_frame_multi_choice").when(k == 2, "single_image")
+    stamp = F.when(k == 2, F.lit('"late"')).otherwise(F.col("event_id").cast("string"))
+    text = F.format_string('{"question_type": "%s", "question": "is %s?", "timestamp": %s, "current_timestamp": %s, "choices": ["yes", "%s"], "extra": {"k": %s}}', kind, F.col("event_type"), stamp, F.col("event_id").cast("string"), F.col("event_type"), k.cast("string"))
+    question = F.when(k == 4, F.lit('{"question_type": "single_image", ')).when(k == 5, F.lit('{"question": "?"}')).otherwise(text)
+    answer = F.when(F.col("event_id") % 7 == 0, F.lit('{"answer_type": "guess"}')).otherwise(F.lit('{"answer_type": "multiple_choice", "answer": "yes", "choices": ["yes", "no"]}'))
+    return variants.parsed(table(spark, sf_dir, "events").select("event_id", question.alias("question"), answer.alias("answer")))
+
+
+@query("""SELECT event_id, 'is ' || event_type || '?' AS text, event_id AS timestamp, 'yes,' || event_type AS choices, CAST(event_id % 6 AS INTEGER) AS extra, 'yes' AS answer FROM events WHERE event_id % 6 < 2 AND event_id % 7 <> 0
+UNION ALL SELECT event_id, 'is ' || event_type || '?', NULL, NULL, 2, 'yes' FROM events WHERE event_id % 6 = 2 AND event_id % 7 <> 0""")
+def typed_samples(spark, sf_dir):
+    """Views of three kinds, with a field that no schema names, and their answers."""
+    good = variants.accepted(samples(spark, sf_dir))
+    out = None
+    for kind, stamp, choices in (("single_image_multi_choice", "question_timestamp", True), ("multi_frame_multi_choice", "question_current_timestamp", True), ("single_image", "question_timestamp", False)):
+        v = variants.view(variants.view(good, kind), "multiple_choice", "answer")
+        part = v.select(
+            "event_id", F.col("question_question").alias("text"), F.col(stamp).alias("timestamp"), (F.array_join("question_choices", ",") if choices else F.lit(None).cast("string")).alias("choices"),
+            F.variant_get(F.col("question"), "$.extra.k", "int").alias("extra"), F.col("answer_answer").alias("answer"),
+        )
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("""SELECT CASE event_id % 6 WHEN 3 THEN 'unknown type of question: hologram' WHEN 4 THEN 'the question isn''t JSON' WHEN 5 THEN 'the question has no type' ELSE 'unknown type of answer: guess' END AS problem, count(*) AS n
+FROM events WHERE event_id % 6 > 2 OR event_id % 7 = 0 GROUP BY 1""")
+def quarantined_samples(spark, sf_dir):
+    return variants.quarantined(samples(spark, sf_dir)).groupBy("problem").agg(F.count("*").alias("n"))
+
+
 def _utc(df):
     return df.withColumns({c: F.to_timestamp_ntz(F.col(c).cast("string")) for c in ("start", "end")}).withColumn("total", F.round("total", 4))
 
