@@ -3,7 +3,7 @@
 *Patterns* (assign, access, hex) give spans by their rules.  Positions come from the lengths of the pieces between matches and
 of the matches themselves, so no text is walked in Python and none is shuffled.
 
-*Battery*: runs of 20 or more characters of the base-64 alphabets that mix letters and digits and lie in no pattern's span.
+*Battery*: runs of 20 or more characters of the base-64 alphabets that hold a letter and lie in no pattern's span.
 The encoding is inferred from the characters: hex, base 32, base 36 in one case, else base 64 (16, 32, 36, 64 signs).  Dashes and
 other marks carry nothing in hex and in one case (a random base-64 token of 20 signs lacks a case once in 30,000).  Three tests
 ask whether the signs can be independent and uniform: chi-squared over as many classes of neighbouring signs as the length fills
@@ -21,6 +21,7 @@ be told apart.  Over all tokens of the whole table, the step-up procedure on e-v
 e >= tokens / (rate * k) each; whatever the dependence between tokens, at most ``rate`` of the discoveries are structured ones in
 the mean, as far as the chain describes these.  They are added as spans of the kind ``random``.  One pass counts the tokens by
 e-value and length (both in classes: a bounded table for the driver), a second one scans with the limit.
+Identifiers drawn at random, as UUIDs of version 4, can't be told from secrets by their signs and are spans, too.
 """
 
 from __future__ import annotations
@@ -207,11 +208,11 @@ TOKENS = "array<struct<s:struct<start:bigint,rank:int,end:bigint>,n:bigint,e:dou
 
 def weighed(text: Column, found: Column, uniform: float) -> Column:
     """Tokens that overlap none of the spans found: span, length, log2 of the e-value (null where the battery denies uniform signs)."""
-    mixed = lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]")
+    lettered = lambda t: t.rlike("[A-Za-z]")
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     free = F.filter(
         F.zip_with(located(text, TOKEN, 3), tokens, lambda s, t: F.struct(s.alias("s"), t.alias("t"))),
-        lambda x: mixed(x["t"]) & ~F.exists(found, lambda b: (b["start"] < x["s"]["end"]) & (x["s"]["start"] < b["end"])),
+        lambda x: lettered(x["t"]) & ~F.exists(found, lambda b: (b["start"] < x["s"]["end"]) & (x["s"]["start"] < b["end"])),
     )
 
     def one(x: Column) -> Column:

@@ -482,3 +482,19 @@ def test_budgets_go_to_siblings_first():
     # a/x can take 30 only; what it leaves goes to a/y before b
     assert got == {("a", "x", "1"): 10, ("a", "x", "2"): 20, ("a", "y", "1"): 170, ("b", "x", "1"): 200}
     assert sum(mixing.budgets(supply, 10_000, {}, 2).values()) == 2 * sum(supply.values())
+
+
+def test_random_tokens_of_any_signs_and_identifiers(spark):
+    """Tokens without digits, of one case or two, are found like others; words strung together aren't; random UUIDs are."""
+    rng = random.Random(3)
+    pick = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    small, both = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = ["get", "user", "name", "from", "data", "base", "index", "manager", "handle", "request", "config", "value", "remote", "server", "factory", "session"]
+    made = {
+        "both": lambda: pick(both, 40), "small": lambda: pick(small, 40), "capital": lambda: pick(small.upper(), 40), "uuid": lambda: f"{rng.getrandbits(32):08x}-{rng.getrandbits(16):04x}-4{rng.getrandbits(12):03x}-a{rng.getrandbits(12):03x}-{rng.getrandbits(48):012x}",
+        "camel": lambda: "".join(w.capitalize() for w in rng.choices(words, k=6)), "snake": lambda: "_".join(rng.choices(words, k=5)), "path": lambda: "/".join(rng.choices(words, k=6)), "joined": lambda: "".join(rng.choices(words, k=5)),
+    }
+    rows = [(100 * k + i, f"before {make()} after") for k, make in enumerate(made.values()) for i in range(60)]
+    rows += [(10_000 + i, " ".join(rng.choices(words, k=30)) + " " + "_".join(rng.choices(words, k=5))) for i in range(300)]
+    found = collections.Counter(r.doc_id // 100 for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).where("spans like 'random%'").collect())
+    assert all(found[k] >= 55 for k in range(4)) and sum(found.values()) == sum(found[k] for k in range(4))
