@@ -16,8 +16,9 @@ whole sequence is the one element; without words the set is empty and the docume
    threshold go.
 5. *Exact*: full sets, built again from the texts, are intersected.
 6. *The rest*: where the members of a hub's lists still fall into several components, all members outside its largest one are
-   held against every member of another component.  They meet in tiles of about ``BLOCK`` members and ``PROBES`` outsiders, so
-   neither pairs nor a whole group are ever held by one task, and a tile writes out no more links than join its components.
+   held against every member of another component.  They meet in tiles of about ``BLOCK`` members, fewer of long sets, and
+   ``PROBES`` outsiders, so neither pairs nor a whole group are ever held by one task, and a tile writes out no more links than
+   join its components.  (No sketch is asked here: pairs just below the similarity would pass it in their square number.)
 
 Every table is keyed by hashes that spread evenly; a hot group of copies is one class, a hot group of near copies is spread
 over its k runs and its blocks.
@@ -175,24 +176,26 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFr
 
 
 BLOCK, PROBES = 256, 512
+#: Bytes of sets that the members of a tile have in the mean, at most: long sets make more tiles.
+TILE_BYTES = 32 << 20
 
 
 def across_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components among the members (hub, fp, component) of the same hub."""
-    sizes = members.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    """Links between different components among the members (hub, fp, n: size of the set, component) of the same hub."""
+    sizes = members.groupBy("hub", "component").agg(F.count("*").alias("n"), F.sum("n").alias("elements"))
     # cut, so that the join below has two plain sides and a hub with very many members can be split
     hubs = settled(
         sizes.groupBy("hub")
-        .agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("total"), F.count("*").alias("parts"))
+        .agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("total"), F.sum("elements").alias("elements"), F.count("*").alias("parts"))
         .where("parts > 1")
         .select(
             "hub",
             F.col("m.component").alias("largest"),
-            F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"),
+            F.greatest(F.ceil(F.col("total") / BLOCK), F.ceil(8 * F.col("elements") / TILE_BYTES)).cast("int").alias("blocks"),
             F.greatest(F.lit(1), F.ceil((F.col("total") - F.col("m.n")) / PROBES).cast("int")).alias("parts"),
         )
     )
-    open_members = settled(members.join(hubs, "hub"))
+    open_members = settled(members.drop("n").join(hubs, "hub"))
     # a tile is a block of members and a part of those outside the largest component
     dealt = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -259,7 +262,8 @@ def linked_classes(docs: DataFrame, size: int, percent: int, k: int) -> tuple[Da
     sets = settled(full_sets(docs, classes.select("fp", "doc").join(hubs.select("fp"), "fp", "left_semi"), size))
     links = settled(confirmed(hubs.where("hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b")), sets, percent, k))
     comp = components(links)
-    members = settled(hubs.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("hub", "fp", F.coalesce("component", "fp").alias("component")))
+    sized = hubs.join(comp.withColumnRenamed("node", "fp"), "fp", "left").join(classes.groupBy("fp").agg(F.max("n").alias("n")), "fp")
+    members = settled(sized.select("hub", "fp", "n", F.coalesce("component", "fp").alias("component")))
     more = settled(across_components(members, sets, percent))
     links = links.union(more)
     return sig, classes, links, components(links) if more.limit(1).count() else comp

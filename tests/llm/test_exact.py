@@ -129,6 +129,15 @@ def test_near_duplicates_on_a_template(spark, own, pool):
     assert got == dict(enumerate(classes_of(texts)))
 
 
+def test_near_duplicates_in_tiles_of_few_bytes(spark, monkeypatch):
+    """Sets that fill a tile alone make as many tiles as they need, with the same components."""
+    monkeypatch.setattr(near_dedup, "TILE_BYTES", 6000)
+    texts = template_texts(120, 25, 9)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, size=2).collect()}
+    assert got == dict(enumerate(classes_of(texts)))
+
+
 def reach(nodes, edges):
     """The least node that each can reach."""
     low = {x: x for x in nodes}
