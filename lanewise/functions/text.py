@@ -227,3 +227,13 @@ def title(text: Column) -> Column:
 
 def camera_display(name: Column) -> Column:
     return F.lower(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def decimals(value: Column, places: int) -> Column:
+    """A number with so many decimals, halves away from zero, as 12.50; null stays null."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{places}f", value.cast("double")))
+
+
+def grouped(value: Column) -> Column:
+    """A whole number with its thousands apart, as 1,234,567."""
+    return F.format_number(value.cast("long"), 0)

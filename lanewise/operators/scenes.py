@@ -28,6 +28,21 @@ def fan_out(frames: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def frame_objects(frames: DataFrame, objects: DataFrame) -> DataFrame:
+    """The observations that each frame lists (``objects``: an array of structs with id), in its order as ``pos``; one equi-join by frame
+    and id.  References without an observation are left out, observations that no frame lists, too."""
+    listed_ids = frames.select("scene_id", "timestamp", F.posexplode("objects").alias("pos", "o")).select("scene_id", "timestamp", "pos", F.col("o.id").alias("id"))
+    return listed_ids.join(objects, ["scene_id", "timestamp", "id"])
+
+
+def best_cameras(objects: DataFrame, cams: DataFrame) -> DataFrame:
+    """objects with ``camera``: all of the camera of their frame that sees them best, by its name; of cameras of one name the first.  Objects
+    whose camera isn't there are left out.  Cameras are reduced to one of a name before they meet the objects."""
+    rest = [c for c in cams.columns if c not in ("scene_id", "timestamp", "name")]
+    one = cams.groupBy("scene_id", "timestamp", "name").agg(F.min_by(F.struct("name", *rest), "pos").alias("camera"))
+    return objects.join(one.withColumnRenamed("name", "most_visible_camera_name"), ["scene_id", "timestamp", "most_visible_camera_name"])
+
+
 def labelled(objects: DataFrame, labels: DataFrame, colors: DataFrame) -> DataFrame:
     """Objects with cvat_label, cvat_color and in_cvat from two dictionaries (object_id, value).
 

@@ -335,3 +335,12 @@ def matrix_inverse(spark, sf_dir):
     e = vectors(spark, sf_dir).select("vec_id", "m").withColumn("inv", g.inverse(F.col("m")))
     off = F.transform(g.product(F.col("m"), F.col("inv")), lambda r, i: F.array_max(F.transform(r, lambda x, j: F.abs(x - F.when(i == j, 1.0).otherwise(0.0)))))
     return e.select("vec_id", *[(F.round(F.col("inv")[i // 4][i % 4], 3) + 0.0).alias(f"i{i}") for i in range(16)], F.round(F.array_max(off), 9).alias("off"))
+
+
+@query(f"{E} SELECT vec_id, round(coalesce(CASE WHEN vec_id % 3 > 0 THEN v[17] END, 0.0), 6) AS vx, round(v[18], 6) AS vy, round(v[19], 6) AS vz, round(cos(v[23]) * v[24] / 2, 6) + 0.0 AS hx, round(sin(v[23]) * v[24] / 2, 6) + 0.0 AS hy FROM e")
+def motion_vectors(spark, sf_dir):
+    """Velocities with zeros for what is missing, and heading vectors of half a box's length."""
+    e = vectors(spark, sf_dir)
+    vx, vy, vz = g.vector(F.when(F.col("vec_id") % 3 > 0, F.col("v")[16]), F.col("v")[17], F.col("v")[18])
+    hx, hy, _ = g.heading_vector(F.col("v")[22], F.col("v")[23])
+    return e.select("vec_id", *r6(vx=vx, vy=vy, vz=vz), (F.round(hx, 6) + 0.0).alias("hx"), (F.round(hy, 6) + 0.0).alias("hy"))

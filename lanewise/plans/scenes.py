@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import speed_band
-from ..functions.text import camera_display, day_period
+from ..functions.text import camera_display, day_period, decimals, grouped
 from ..operators import questions, scenes, trajectories
 from ..operators import sequence as s
 from ..schema import BANDS, bands
@@ -406,3 +406,38 @@ def camera_images(spark, sf_dir):
     name = F.when(F.col("p_size") % 2 == 0, F.lit("SIDE"))
     image = questions.best_image(F.array(F.concat("p_name", F.lit(".jpg")), F.concat("p_type", F.lit(".jpg"))), F.array(F.lit("SIDE"), F.lit("FRONT")), name)
     return table(spark, sf_dir, "part").select("p_partkey", camera_display(F.concat_ws("_", "p_brand", "p_type")).alias("camera"), image.alias("image"))
+
+
+@query("SELECT user_id AS scene_id, event_id // 1000 AS timestamp, CAST(row_number() OVER (PARTITION BY user_id, event_id // 1000 ORDER BY event_id) - 1 AS INTEGER) AS pos, event_id AS id, value FROM events WHERE event_id % 5 <> 0")
+def frame_objects(spark, sf_dir):
+    """A frame is a thousand events of a user and lists four fifths of them."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("scene_id"), F.floor(F.col("event_id") / 1000).alias("timestamp"), F.col("event_id").alias("id"), "value")
+    frames = e.where("id % 5 <> 0").groupBy("scene_id", "timestamp").agg(F.array_sort(F.collect_list(F.struct("id"))).alias("objects"))
+    return scenes.frame_objects(frames, e).select("scene_id", "timestamp", "pos", "id", "value")
+
+
+@query("SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'FRONT' ELSE 'SIDE' END AS camera, CAST(event_id % 3 AS INTEGER) AS pos FROM events WHERE event_id % 3 < 2")
+def most_visible_camera(spark, sf_dir):
+    """Each frame has three cameras, two of one name; a third of the objects names one that isn't there."""
+    e = table(spark, sf_dir, "events")
+    objects = e.select(F.col("user_id").alias("scene_id"), F.floor(F.col("event_id") / 1000).alias("timestamp"), F.col("event_id").alias("id"), F.element_at(F.array(F.lit("FRONT"), F.lit("SIDE"), F.lit("REAR")), (F.col("event_id") % 3 + 1).cast("int")).alias("most_visible_camera_name"))
+    cams = objects.select("scene_id", "timestamp").distinct().select("scene_id", "timestamp", F.posexplode(F.array(F.lit("FRONT"), F.lit("SIDE"), F.lit("FRONT"))).alias("pos", "name"))
+    return scenes.best_cameras(objects, cams).select("id", F.col("camera.name").alias("camera"), "camera.pos")
+
+
+@query("""SELECT CASE WHEN l_linenumber NOT IN (1, 2, 3) THEN 'unknown_or_sign' WHEN l_linestatus <> 'F' THEN 'not_visible' WHEN l_returnflag = 'N' THEN 'no_direction' WHEN NOT l_quantity <= 20 THEN 'too_far'
+  WHEN NOT l_discount * 200 >= 10 THEN 'few_points' ELSE 'passed' END AS reason, count(*) AS n FROM lineitem GROUP BY 1""")
+def binary_failure_counts(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ["TYPE_VEHICLE", "TYPE_PEDESTRIAN", "TYPE_CYCLIST", "TYPE_SIGN"])), F.least("l_linenumber", F.lit(4)))
+    rules = scenes.binary_rules(kind, F.col("l_linestatus") == "F", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")), F.col("l_quantity"), F.col("l_discount") * 200)
+    return scenes.failure_counts(table(spark, sf_dir, "lineitem"), rules)
+
+
+@query("""SELECT user_id, event_type, format('{:,}', n * 1000) AS n, format('{:.1f}', round(m, 1)) AS one, format('{:.2f}', round(m, 2)) AS two, format('{:.3f}', round(m, 3)) AS three
+FROM (SELECT user_id, event_type, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / count(*) / 100 + 1e-9 AS m FROM events GROUP BY ALL)""")
+def number_formats(spark, sf_dir):
+    """Counts and means as reports write them."""
+    # of whole cents, so that the sum has no order
+    mean = F.sum(F.round(F.col("value") * 100).cast("long")).cast("double") / F.count("*") / 100 + 1e-9
+    each = [decimals(F.round(mean, k), k).alias(n) for k, n in ((1, "one"), (2, "two"), (3, "three"))]
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(grouped(F.count("*") * 1000).alias("n"), *each)
