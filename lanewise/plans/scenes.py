@@ -307,15 +307,15 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, 'is ' || event_type || '?' AS text, event_id AS timestamp, 'yes,' || event_type AS choices, CAST(event_id % 6 AS INTEGER) AS extra, 'yes' AS answer FROM events WHERE event_id % 6 < 2 AND event_id % 7 <> 0
-UNION ALL SELECT event_id, 'is ' || event_type || '?', NULL, NULL, 2, 'yes' FROM events WHERE event_id % 6 = 2 AND event_id % 7 <> 0""")
+UNION ALL SELECT event_id, 'is ' || event_type || '?', -1, 'none', 2, 'yes' FROM events WHERE event_id % 6 = 2 AND event_id % 7 <> 0""")
 def typed_samples(spark, sf_dir):
-    """Views of three kinds, with a field that no schema names, and their answers."""
+    """Views of three kinds, with a field that no schema names, and their answers; -1 and "none" for a time of another type and no choices."""
     good = variants.accepted(samples(spark, sf_dir))
     out = None
     for kind, stamp, choices in (("single_image_multi_choice", "question_timestamp", True), ("multi_frame_multi_choice", "question_current_timestamp", True), ("single_image", "question_timestamp", False)):
         v = variants.view(variants.view(good, kind), "multiple_choice", "answer")
         part = v.select(
-            "event_id", F.col("question_question").alias("text"), F.col(stamp).alias("timestamp"), (F.array_join("question_choices", ",") if choices else F.lit(None).cast("string")).alias("choices"),
+            "event_id", F.col("question_question").alias("text"), F.coalesce(stamp, F.lit(-1)).cast("long").alias("timestamp"), (F.array_join("question_choices", ",") if choices else F.lit("none")).alias("choices"),
             F.variant_get(F.col("question"), "$.extra.k", "int").alias("extra"), F.col("answer_answer").alias("answer"),
         )
         out = part if out is None else out.union(part)
