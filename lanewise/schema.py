@@ -41,13 +41,12 @@ ANSWER = (
     "answer_type STRING, choices ARRAY<STRING>, answer STRING, text STRING, value DOUBLE, box ARRAY<DOUBLE>, boxes ARRAY<ARRAY<DOUBLE>>, "
     "score DOUBLE, scores ARRAY<DOUBLE>, object_id STRING, prompt STRING"
 )
+# The data set's kinds of questions and answers, label, colour and type names, thresholds in metres a second, and question texts.
 QUESTION_TYPES = (
     "single_image", "single_image_single_object", "single_image_multi_prompt", "single_image_multi_choice", "single_base64_image_multi_choice",
     "multi_image_lidar", "multi_image", "multi_frame_multi_choice", "multi_image_single_object",
 )
 ANSWER_TYPES = ("object_2d", "multi_object_2d", "raw_text", "multiple_choice", "regression")
-
-# The data set's label, colour and type names, thresholds in metres a second, and question texts.
 LABELS_BY_GROUP = {
     "Pedestrians": ["Adult Pedestrian", "Child Pedestrian", "Construction Worker", "Police / Emergency Worker", "Wheelchair User"],
     "Cyclists and Motorbikes": ["Cyclist", "Motorbike", "Motorcyclist"],
