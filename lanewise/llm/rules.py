@@ -19,7 +19,9 @@ from .common import settled
 
 WORD = r"[^\x20\x09-\x0D]+"
 SIGNS = r"[#*$%&|<>]"
-CLASSES = {"small": "[a-z]+", "capital": "[A-Z]+", "digit": "[0-9]+", "stop": r"[.,;:!?'\"()-]+", "sign": r"[#-&*+/<-@\[-`{-~]+"}
+#: Small letters and white space, most of a text, are taken out first: the other classes are counted in what is left.
+COMMON_SIGNS = r"[a-z\x20\x09-\x0D]+"
+CLASSES = {"capital": "[A-Z]+", "digit": "[0-9]+", "stop": r"[.,;:!?'\"()-]+", "sign": r"[#-&*+/<-@\[-`{-~]+"}
 WINDOW = 5
 
 
@@ -30,7 +32,14 @@ def let(value: Column, body) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words that lie in a window of 5 words which occurs twice or more."""
     n = F.size(words) - (WINDOW - 1)
-    hashes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[words[i + k] for k in range(WINDOW)]))
+
+    def met(a: Column, b: Column, k: int) -> Column:
+        # each element of a with the one k places further on in b
+        return F.zip_with(F.slice(a, F.lit(1), F.size(b) - k), F.slice(b, F.lit(k + 1), F.size(b) - k), lambda x, y: F.xxhash64(x, y))
+
+    def windows(one: Column) -> Column:
+        # hashes of 2, 4 and then 5 neighbouring words: three hashes of two numbers a window instead of one of five words
+        return let(let(met(one, one, 1), lambda two: met(two, two, 2)), lambda four: met(four, one, 4))
 
     def positions(s: Column) -> Column:
         twin = lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"])
@@ -45,7 +54,7 @@ def repeated_words(words: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(let(pairs, positions), covered))
 
     # a word repeated through the text makes neighbours with the same hash in sorted order, whatever their number
-    return F.when(n < 2, F.lit(0).cast("long")).otherwise(let(hashes, of))
+    return F.when(n < 2, F.lit(0).cast("long")).otherwise(let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), of))
 
 
 def common_words(docs: DataFrame, top: int) -> dict[str, list[str]]:
@@ -71,10 +80,20 @@ def js_distance(p: Column, q: Column) -> Column:
 def measured(docs: DataFrame, common: dict[str, list[str]], top: int) -> DataFrame:
     """doc_id, lang, the fixed counts, and the two histograms as arrays of doubles."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    empty = F.array().cast("array<string>")
-    table = F.create_map(*[x for lang, w in common.items() for x in (F.lit(lang), F.array(*map(F.lit, w)))])[F.col("lang")] if common else empty
+    by_lang = lambda values, missing: F.coalesce(F.create_map(*[x for lang, v in values.items() for x in (F.lit(lang), v)])[F.col("lang")], missing) if values else missing
+    table = by_lang({lang: F.array(*map(F.lit, w)) for lang, w in common.items()}, F.array().cast("array<string>"))
+    # the commonest words are letters only, so they are patterns as they stand; (?!) matches nothing
+    pattern = by_lang({lang: F.lit(r"(?<![^\x20\x09-\x0D])(?:" + "|".join(w) + r")(?![^\x20\x09-\x0D])") for lang, w in common.items() if w}, F.lit("(?!)"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-    base = docs.select("doc_id", "lang", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), F.coalesce(table, empty).alias("common"))
+    base = docs.select(
+        "doc_id",
+        "lang",
+        text.alias("text"),
+        F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"),
+        F.regexp_replace(text, COMMON_SIGNS, "").alias("rest"),
+        table.alias("common"),
+        F.regexp_extract_all(F.lower(text), pattern, F.lit(0)).alias("hits"),
+    )
     counted = base.select(
         "doc_id",
         "lang",
@@ -84,15 +103,14 @@ def measured(docs: DataFrame, common: dict[str, list[str]], top: int) -> DataFra
         let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.length("text").cast("double").alias("n_chars"),
-        *[(F.length("text") - F.length(F.regexp_replace("text", p, ""))).cast("double").alias(k) for k, p in CLASSES.items()],
-        let(
-            F.filter(F.transform(F.filter("words", lambda w: F.length(w) <= 4), F.lower), lambda w: F.array_contains("common", w)),
-            lambda hits: F.transform(F.col("common"), lambda c: (F.size(hits) - F.size(F.array_remove(hits, c))).cast("double")),
-        ).alias("word_hist"),
+        F.length("rest").cast("double").alias("n_rest"),
+        *[(F.length("rest") - F.length(F.regexp_replace("rest", p, ""))).cast("double").alias(k) for k, p in CLASSES.items()],
+        F.transform("common", lambda c: (F.size("hits") - F.size(F.array_remove("hits", c))).cast("double")).alias("word_hist"),
     )
     space = F.col("n_chars") - F.col("word_chars")
-    other = F.col("word_chars") - sum((F.col(k) for k in CLASSES), F.lit(0.0))
-    return counted.withColumn("class_hist", F.array(*CLASSES, space, other)).drop(*CLASSES)
+    small = F.col("word_chars") - F.col("n_rest")
+    other = F.col("n_rest") - sum((F.col(k) for k in CLASSES), F.lit(0.0))
+    return counted.withColumn("class_hist", F.array(small, *CLASSES, space, other)).drop("n_rest", *CLASSES)
 
 
 def assessed(docs: DataFrame, top: int = 24, least_chars: int = 200, least_hits: int = 30, class_limit: float = 0.2, word_limit: float = 0.45) -> DataFrame:
@@ -109,7 +127,7 @@ def assessed(docs: DataFrame, top: int = 24, least_chars: int = 200, least_hits:
     found = settled(measured(docs, common_words(docs, top), top))
     sums = lambda c, n: F.array(*[F.sum(F.get(F.col(c), F.lit(i))) for i in range(n)])
     # one row for each language
-    references = {r.lang: r for r in found.where("lang is not null").groupBy("lang").agg(sums("class_hist", len(CLASSES) + 2).alias("classes"), sums("word_hist", top).alias("words")).collect()}
+    references = {r.lang: r for r in found.where("lang is not null").groupBy("lang").agg(sums("class_hist", len(CLASSES) + 3).alias("classes"), sums("word_hist", top).alias("words")).collect()}
     literal = lambda key, n: F.create_map(*[x for lang, r in references.items() for x in (F.lit(lang), F.array(*[F.lit(float(v or 0.0)) for v in r[key][:n]]))])[F.col("lang")] if references else F.lit(None).cast("array<double>")
     hits = F.aggregate("word_hist", F.lit(0.0), lambda s, v: s + v)
     judged = found.select(
