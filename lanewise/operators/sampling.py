@@ -35,6 +35,12 @@ def running(rows: DataFrame, groups: list[str], amount: Column, seed: str, *keys
     return joined.withColumn("_before", F.col("_base") + F.coalesce(F.sum("_amount").over(within), F.lit(0))).drop("_draw", "_amount", "_slice", "_base")
 
 
+def shuffled(rows: DataFrame, seed: str, *keys: str, position: str = "position") -> DataFrame:
+    """Adds each row's place, from 0, in a random order of all rows, without a sort of all rows in one task.  Rows that are to be written
+    in this order are sorted by the place; ``keys`` tell all rows apart."""
+    return running(rows, [], F.lit(1).cast("long"), seed, *keys).withColumnRenamed("_before", position)
+
+
 def stratified(rows: DataFrame, by: list[str], n: int | Column, seed: str, *keys: str) -> DataFrame:
     """Up to n rows (a number or a column) of each stratum.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evaluation, geometry, prompts, scenes, selection, texts  # noqa: F401  (they register their queries)
+from . import evaluation, geometry, prompts, scenes, selection, sinks, texts  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL, Query
 
 

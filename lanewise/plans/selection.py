@@ -116,3 +116,8 @@ def choice_downsample4(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderstatus, CAST(floor((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) / 100) AS INTEGER) AS batch FROM orders")
 def batched_sink_assignment(spark, sf_dir):
     return scan.batched(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 100, ["o_orderstatus"])
+
+
+@query("SELECT event_id, event_type, row_number() OVER (ORDER BY md5('o|' || event_id), event_id) - 1 AS position FROM events")
+def shuffled_order(spark, sf_dir):
+    return sampling.shuffled(table(spark, sf_dir, "events").select("event_id", "event_type"), "o", "event_id")

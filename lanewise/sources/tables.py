@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,11 +16,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_entities(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAST") -> DataFrame:
-    """A folder of JSON documents, one entity a file, by an explicit schema; PERMISSIVE keeps broken ones in _corrupt_record."""
+def read_entities(spark: SparkSession, path: str, schema: str, mode: str = "FAILFAST", lines: bool = False) -> DataFrame:
+    """A folder of JSON documents by an explicit schema: one entity a file, or with ``lines`` one a line, as ``write_entities`` writes
+    them unless told otherwise.  PERMISSIVE keeps broken ones in _corrupt_record."""
     if mode == "PERMISSIVE":
         schema += ", _corrupt_record STRING"
-    return spark.read.schema(schema).json(path, multiLine=True, mode=mode)
+    return spark.read.schema(schema).json(path, multiLine=not lines, mode=mode)
 
 
 def with_file_stem(df: DataFrame) -> DataFrame:
@@ -27,8 +29,10 @@ def with_file_stem(df: DataFrame) -> DataFrame:
     return df.withColumn("file_stem", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
 
 
-def write_entities(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).json(path)
+def write_entities(df: DataFrame, path: str, mode: str = "errorifexists", one_a_file: bool = False) -> None:
+    """JSON documents, one a line; ``one_a_file`` for tools that open each entity by itself, and for few of them."""
+    writer = df.write.mode(mode)
+    (writer.option("maxRecordsPerFile", 1) if one_a_file else writer).json(path)
 
 
 def expect_files(spark: SparkSession, path: str, pattern: str, n: int) -> DataFrame:
@@ -67,14 +71,41 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
 
 
+#: Folders that ``scratch`` has named in this process and ``forget`` hasn't removed.
+_scratch: list[str] = []
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the folder that the session names for checkpoints; on this machine's threads alone a local one will do."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    _scratch.append(f"{folder.rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def forget(spark: SparkSession) -> int:
+    """Removes what stands at the paths that ``scratch`` has named so far, tables of ``cut`` among them; returns how many.
+
+    For the caller who knows that no DataFrame still reads them."""
+    n = len(_scratch)
+    for path in _scratch:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _scratch.clear()
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet to the folder that the session names for checkpoints and read again, for plans that read it several times;
-    df itself where the session names none."""
+    df itself where the session names none.  The table stays until ``forget``."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
         return df
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -137,3 +137,33 @@ def test_fan_out_labels_and_projection(spark):
     dictionary = spark.createDataFrame([("o", "Sedan")], "object_id string, value string")
     named = {r.id: (r.cvat_label, r.in_cvat) for r in scenes.labelled(objects, dictionary, dictionary.limit(0)).collect()}
     assert named == {"o": ("Sedan", True), "p": (None, False)}
+
+
+def test_entities_come_back_whole(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, 'quo"te\nline')], "id long, name string").coalesce(1)
+    tables.write_entities(rows, f"{tmp_path}/lines")
+    tables.write_entities(rows, f"{tmp_path}/files", one_a_file=True)
+    want = {(r.id, r.name) for r in rows.collect()}
+    for path, lines in ((f"{tmp_path}/lines", True), (f"{tmp_path}/files", False)):
+        assert {(r.id, r.name) for r in tables.read_entities(spark, path, "id long, name string", lines=lines).collect()} == want
+    assert tables.expect_files(spark, f"{tmp_path}/files", "*.json", 3).count() == 3
+
+
+def test_scratch_tables_are_removed(spark):
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    tables.forget(spark)
+    assert tables.cut(spark.range(5)).count() == 5
+    there = glob.glob(f"{folder.removeprefix('file:')}/cut-*") + glob.glob(f"{spark.sparkContext.getCheckpointDir() or folder}/cut-*".removeprefix("file:"))
+    assert there
+    assert tables.forget(spark) == 1 and tables.forget(spark) == 0
+    assert not [p for p in there if glob.glob(p)]
+
+
+def test_shuffled_places_rows_of_empty_and_full_tables(spark):
+    from lanewise.operators import sampling
+
+    assert sampling.shuffled(spark.range(0), "s", "id").count() == 0
+    got = [r.position for r in sampling.shuffled(spark.range(500), "s", "id").orderBy("id").collect()]
+    assert sorted(got) == list(range(500)) and got != sorted(got)
