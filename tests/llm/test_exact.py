@@ -231,6 +231,37 @@ def test_repeats(docs, rows, small):
     assert hashlib.sha256(one.text_left).hexdigest() == one.kept_sha256 and len(one.removed) == 2 * one.n_spans
 
 
+@pytest.mark.parametrize("planned", ["-1", "10MB"])
+@pytest.mark.parametrize("adaptive", ["-1", "10MB"])
+def test_repeats_however_joins_are_planned(spark, planned, adaptive):
+    """Samples of a group meet where a join is turned into a broadcast join after its sides were shuffled, too."""
+    rng = random.Random(8)
+    rows = []
+    for d in range(40):
+        text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+        for k in range(3):
+            at = rng.randrange(800)
+            rows.append((3 * d + k, text[at : at + 1500] + "".join(rng.choice("ijkl") for _ in range(50))))
+    phrase = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    rows += [(1000 + d, "".join(rng.choice("ijkl") for _ in range(50)) + phrase[rng.randrange(150) :] + "".join(rng.choice("ijkl") for _ in range(50))) for d in range(60)]
+    rng.shuffle(rows)
+    counts = collections.Counter(t[p : p + 400] for _, t in rows for p in range(len(t) - 399))
+    want = set()
+    for i, t in rows:
+        gone = {q for p in range(len(t) - 399) if counts[t[p : p + 400]] > 1 for q in range(p, p + 400)}
+        want.add((i, len(t), len(gone), sum(1 for q in gone if q - 1 not in gone), hashlib.sha256("".join(x for q, x in enumerate(t) if q not in gone).encode()).hexdigest()))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": planned, "spark.sql.adaptive.autoBroadcastJoinThreshold": adaptive, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), small=20).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
 def test_repeats_across_segments(spark, monkeypatch):
     rng = random.Random(2)
     block = "".join(rng.choice("abcdefgh ") for _ in range(3000))
