@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
 from ..functions.text import let
+from ..sources.tables import cut
 from . import scan
 
 BOX = ("x1", "y1", "x2", "y2")
@@ -64,6 +65,48 @@ def greedy(truth: DataFrame, found: DataFrame, thresholds: list[float], image: s
     return walked.union(others)
 
 
+def greedy_levels(boxes: DataFrame, thresholds: list[float], image: str = "image") -> DataFrame:
+    """What ``greedy`` matches, as one row for each found box that takes a truth at some threshold: image, found_id, score, levels (bit k is
+    set if it does so at thresholds[k]), and nth, its place by box_id among the image's found boxes of the same score.
+
+    ``boxes`` has truths and found boxes, told apart by ``truth``, so that one shuffle by image brings them together."""
+    ids = dict(boxes.dtypes)["box_id"]
+    truths = F.collect_list(F.when(F.col("truth"), F.struct("box_id", *BOX))).over(Window.partitionBy(image))
+    kept = boxes.where(F.col(image).isNotNull()).withColumn("_t", truths).where(~F.col("truth") & (F.size("_t") > 0))
+    placed = kept.withColumn("nth", F.row_number().over(Window.partitionBy(image, "score").orderBy("box_id")))
+    pairs = placed.select(image, F.col("box_id").alias("found_id"), "score", "nth", *BOX, F.explode("_t").alias("t"))
+    over = pairs.withColumn("iou", F.round(iou([F.col(c) for c in BOX], [F.col(f"t.{c}") for c in BOX]), 9)).where(F.col("iou") >= min(thresholds))
+    near = over.groupBy(image, "found_id", "score", "nth").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("less"), F.col("t.box_id").alias("t")))).alias("options"))
+    # without a score last, NaN first, as in a descending order
+    place = F.struct(F.col("score").isNull().alias("none"), (~F.isnan("score")).alias("number"), (-F.col("score")).alias("less"), "found_id", "score", "nth", "options")
+    lists = near.groupBy(image).agg(F.array_sort(F.collect_list(place)).alias("boxes"))
+    start = F.struct(F.array().cast(f"array<{ids}>").alias("taken"), F.array().cast("array<boolean>").alias("out"))
+
+    def at(threshold: Column) -> Column:
+        def step(acc: Column, box: Column) -> Column:
+            free = F.filter(box["options"], lambda o: (-o["less"] >= threshold) & ~F.array_contains(acc["taken"], o["t"]))
+            return let(free, lambda f: F.struct(F.concat(acc["taken"], F.transform(F.slice(f, 1, 1), lambda o: o["t"])).alias("taken"), F.array_append(acc["out"], F.size(f) > 0).alias("out")))
+
+        return F.aggregate("boxes", start, step)["out"]
+
+    walked = lists.select(image, "boxes", F.transform(F.array(*map(F.lit, thresholds)), at).alias("m")).select(image, "m", F.posexplode("boxes").alias("i", "b"))
+    levels = sum((F.when(F.get(F.col("m")[k], F.col("i")), 1 << k).otherwise(0).cast("long") for k in range(len(thresholds))), F.lit(0).cast("long"))
+    return walked.select(image, "b.found_id", "b.score", levels.alias("levels"), "b.nth").where("levels > 0")
+
+
+def average_precision_at(found: DataFrame, matched: DataFrame, positives: DataFrame, by: list[str], thresholds: list[float], image: str = "image", ranges: int | None = None) -> DataFrame:
+    """by, threshold, ap, in order of score and image, for the keys of ``positives`` (by, positives) that have found boxes.
+
+    ``matched`` is of ``greedy_levels``, with the keys.  Between two matched boxes precision only falls, so an unmatched one counts, once
+    for all thresholds, but has no row of its own."""
+    each, keys = scan.counted(found, cut(matched), by, {"score": True, image: False}, len(thresholds), ranges)
+    level = lambda k, x: F.struct(F.lit(x).alias("threshold"), F.when(F.col("levels").bitwiseAND(1 << k) > 0, F.col("sums")[k]).alias("tp"))
+    rows = each.join(positives, by).select(*by, "positives", "n", F.inline(F.array(*[level(k, x) for k, x in enumerate(thresholds)]))).where("tp is not null")
+    curve = rows.select(*by, "threshold", F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("positives").cast("double")), F.lit(0.0)).alias("recall"), (F.col("tp") / F.col("n")).alias("envelope"))
+    every = keys.join(positives, by).select(*by, F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
+    return every.join(average_precision(curve, [*by, "threshold"]), [*by, "threshold"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+
+
 def precision_recall(scored: DataFrame, positives: int | Column, by: list[str], hit: str, order: list[Column], ranges: int | None = None) -> DataFrame:
     """Running tp, fp, precision, recall, and the envelope: the best precision from here on.
 

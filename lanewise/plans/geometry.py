@@ -131,14 +131,18 @@ o AS (SELECT f.image, t.box_id AS truth_id, f.box_id AS found_id, f.score, great
 iou AS (SELECT image, truth_id, found_id, score, i / (a - i) AS iou FROM o)"""
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def all_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     li = table(spark, sf_dir, "lineitem")
-    b = li.withColumn("box_id", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)).cast("long")).select(
+    return li.withColumn("box_id", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)).cast("long")).select(
         F.col("l_orderkey").alias("image"), "box_id", (F.col("l_linenumber") == 1).alias("truth"), F.col("l_extendedprice").alias("score"), F.col("l_quantity").alias("x1"),
         (F.col("l_tax") * 100).alias("y1"), (F.col("l_quantity") + 10 + F.col("l_discount") * 100).alias("x2"), (F.col("l_tax") * 100 + 12).alias("y2"),
     )
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    b = all_boxes(spark, sf_dir)
     return b.where("truth"), b.where("not truth")
 
 
@@ -195,12 +199,11 @@ ap AS (SELECT prompt, threshold, sum(p) / 101 AS ap FROM g GROUP BY ALL)"""
 
 
 def _greedy_average(spark, sf_dir):
-    truth, found = boxes(spark, sf_dir)
-    prompt = (F.col("image") % 10).alias("prompt")
-    n = truth.groupBy(prompt).agg(F.count("*").alias("positives"))
-    m = detection.greedy(truth, found, detection.THRESHOLDS).withColumn("prompt", F.col("image") % 10).join(n, "prompt")
-    c = detection.precision_recall(m, F.col("positives"), ["prompt", "threshold"], "matched", [F.col("score").desc(), F.col("image"), F.col("found_id")])
-    return detection.average_precision(c, ["prompt", "threshold"])
+    b, prompt = all_boxes(spark, sf_dir), (F.col("image") % 10).alias("prompt")
+    found = b.where("not truth").select("image", "score", prompt)
+    n = b.where("truth").groupBy(prompt).agg(F.count("*").alias("positives"))
+    m = detection.greedy_levels(b, detection.THRESHOLDS).withColumn("prompt", prompt)
+    return detection.average_precision_at(found, m, n, ["prompt"], detection.THRESHOLDS)
 
 
 @query(f"{GREEDY} SELECT prompt, round(avg(ap), 6) AS mean_ap FROM ap GROUP BY prompt")
