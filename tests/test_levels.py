@@ -121,3 +121,16 @@ def shuffled_rows(spark, run):
 def test_a_box_is_shuffled_once_for_all_thresholds(spark, small, name):
     n = spark.read.parquet(f"{small}/lineitem.parquet").count()
     assert shuffled_rows(spark, lambda: getattr(geometry, name)(spark, small).collect()) < 3 * n
+
+
+def test_mean_over_copies_with_equal_scores(spark, small, tmp_path):
+    """Copies of all boxes in other images: each score is tied across images, and ranges part the ties."""
+    duckdb = pytest.importorskip("duckdb")
+    li = spark.read.parquet(f"{small}/lineitem.parquet")
+    copies = li.withColumn("k", F.explode(F.array(*map(F.lit, (0, 1, 2))))).withColumn("l_orderkey", F.col("l_orderkey") + F.col("k") * 100_000).drop("k")
+    copies.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {}
+    assert shuffled_rows(spark, lambda: got.update(map(tuple, geometry.mean_average_precision(spark, str(tmp_path)).collect()))) < 3 * copies.count()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == dict(con.execute(geometry.query.__globals__["SQL"]["mean_average_precision"]).fetchall())
