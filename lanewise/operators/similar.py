@@ -7,9 +7,14 @@ such a rare word and fit in length are compared, each pair at the first word tha
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 
 def _sets(rows: DataFrame, words: Column) -> DataFrame:
     """_set: the distinct sets of words, sorted, but for empty ones."""
@@ -36,15 +41,126 @@ def similar_sets(left: DataFrame, right: DataFrame, words_left: Column, words_ri
     return pairs.where(100 * F.col("shared") >= percent * F.col("total"))
 
 
+#: Buckets of the table of frequencies, bits of a set's sketch, texts that are worked on at once, parts of a group of alike sets.
+BUCKETS, BITS, AT_ONCE, DEALT = 1 << 20, 2048, 1000, 8
+
+
+def _hashed(words: Column) -> Column:
+    """The distinct words as sorted 64-bit hashes."""
+    return F.sort_array(F.array_distinct(F.transform(F.filter(words, lambda w: w.isNotNull()), lambda w: F.xxhash64(w))))
+
+
+def _keyed(rows: DataFrame, words: Column) -> DataFrame:
+    """_set, and _key, a hash of it."""
+    return rows.select(_hashed(words).alias("_set")).select("_set", F.xxhash64("_set").alias("_key"))
+
+
+def _signatures(sets: DataFrame, percent: int, often) -> DataFrame:
+    """_key, n, sketch (the parity of the words in each of ``BITS`` buckets), and w and i: the words of the prefix that known sets may
+    hold, and how many of the set's words come before.  Words come in order of their bucket's frequency among known sets, then of hash."""
+
+    def run(batches):
+        table = often.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                batch = batch.filter(pc.greater(pc.list_value_length(batch.column("_set")), 0))
+                if batch.num_rows:
+                    yield signed(batch, table)
+
+    def signed(batch, table):
+        lists = batch.column("_set")
+        n, words = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        sketch = np.zeros(len(n) * BITS // 64, np.uint64)
+        bit = (words >> 40) & (BITS - 1)
+        np.bitwise_xor.at(sketch, row * (BITS // 64) + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        often = table[words & (BUCKETS - 1)]
+        order = np.lexsort((words, often, row))
+        place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+        first = n - (percent * n.astype(np.int64) + 99) // 100 + 1
+        kept = (place < first[row]) & (often[order] > 0)
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(n)))]), pa.int32())
+        w, i = pa.array(words[order][kept], pa.int64()), pa.array(place[kept], pa.int32())
+        sketches = pa.array([x.tobytes() for x in sketch.reshape(len(n), -1)], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(n, pa.int32()), sketches, pa.ListArray.from_arrays(ends, w), pa.ListArray.from_arrays(ends, i)], names=["_key", "n", "sketch", "w", "i"])
+
+    return sets.select("_key", "_set").mapInArrow(run, "_key long, n int, sketch binary, w array<long>, i array<int>")
+
+
+def _unlike_dropped(lists: DataFrame, percent: int, known) -> DataFrame:
+    """a and bs: what is left of the known sets met by each, where sketches don't show too many different words; an equal set alone."""
+
+    def run(batches):
+        keys, sizes, sketches = known.value
+        for batch in batches:
+            met = batch.column("bs")
+            each = np.repeat(np.arange(batch.num_rows), met.value_lengths().to_numpy())
+            b = met.flatten().to_numpy()
+            a, n = batch.column("a").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
+            own = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            kept = np.zeros(len(b), bool)
+            for at in range(0, len(b), 50_000):
+                i, r = np.searchsorted(keys, b[at : at + 50_000]), each[at : at + 50_000]
+                both = n[r] + sizes[i]
+                most = both - 2 * -(-percent * both // (100 + percent))
+                kept[at : at + 50_000] = np.bitwise_count(own[r] ^ sketches[i]).sum(axis=1, dtype=np.int64) <= most
+            same = a[each] == b
+            has = np.zeros(batch.num_rows, bool)
+            has[each[same]] = True
+            kept &= same | ~has[each]
+            left = np.bincount(each[kept], minlength=batch.num_rows)
+            out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32()), pa.array(b[kept], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), out], names=["a", "bs"]).filter(pa.array(left > 0))
+
+    return lists.select("a", "n", "sketch", "bs").mapInArrow(run, "a long, bs array<long>")
+
+
+def _scored(rows: DataFrame, named: DataFrame, words: Column, percent: int) -> DataFrame:
+    """a, b, shared, total: keys of similar sets of rows and ``named`` (_set, _key), but for sets that have an equal one: those with that alone."""
+    sc = rows.sparkSession.sparkContext
+    counts = named.select(F.explode("_set").alias("w")).groupBy(F.col("w").bitwiseAND(BUCKETS - 1).alias("at")).count().toArrow()
+    table = np.zeros(BUCKETS, np.int32)
+    table[counts.column("at").to_numpy()] = counts.column("count").to_numpy()
+    often = sc.broadcast(table)
+    sets = _keyed(rows, words)
+    left, right = cut(_signatures(sets, percent, often)), cut(_signatures(named, percent, often))
+    held = right.select("_key", "n", "sketch").toArrow().sort_by("_key")
+    sketches = np.frombuffer(b"".join(held.column("sketch").to_pylist()), np.uint64).reshape(held.num_rows, BITS // 64)
+    known = sc.broadcast((held.column("_key").to_numpy(), held.column("n").to_numpy().astype(np.int64), sketches))
+
+    def probes(signed, key):
+        each = signed.select(F.col("_key").alias(key), F.col("n").alias(f"n{key}"), F.explode(F.arrays_zip("w", "i")).alias("p"))
+        return each.select(F.col("p.w").alias("w"), key, f"n{key}", F.col("p.i").alias(f"i{key}"))
+
+    # at the first word that two similar sets share, what is left of both is enough; equal sets go on as one
+    enough = (100 + percent) * F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= percent * (F.col("na") + F.col("nb"))
+    met = probes(left, "a").repartition("w").dropDuplicates(["w", "a"]).join(probes(right, "b"), "w").where(enough)
+    lists = met.groupBy("a").agg(F.collect_set("b").alias("bs"))
+    lists = lists.join(left.select(F.col("_key").alias("a"), "n", "sketch").dropDuplicates(["a"]), "a")
+    lists = cut(_unlike_dropped(lists, percent, known)).withColumn("g", F.array_min("bs")).withColumn("_part", F.pmod("a", F.lit(DEALT)))
+    # sets that share their least known set meet it and the others once, not once a pair
+    there = lists.select("g", "_part", F.explode("bs").alias("b")).distinct().join(named.select(F.col("_key").alias("b"), F.col("_set").alias("sb")), "b")
+    here = sets.select(F.col("_key").alias("a"), F.col("_set").alias("sa")).join(lists, "a").dropDuplicates(["a"])
+    pairs = here.join(there, ["g", "_part"]).where(F.array_contains("bs", F.col("b")))
+    shared = pairs.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), (F.size("sa") + F.size("sb")).alias("both"))
+    return shared.select("a", "b", "shared", (F.col("both") - F.col("shared")).alias("total")).where(100 * F.col("shared") >= percent * F.col("total"))
+
+
 def nearest(rows: DataFrame, known: DataFrame, words: Column, known_words: Column, value: str, percent: int) -> DataFrame:
     """rows with ``nearest`` (the known value whose words are most similar, the smallest on ties) and ``similarity``; null where none
     reaches ``percent``, as for rows without words.
 
-    ``known`` may be of any size; values with equal words count as one, the smallest."""
-    pairs = similar_sets(rows, known, words, known_words, percent)
-    named = known.select(F.array_sort(F.array_distinct(F.filter(known_words, lambda w: w.isNotNull()))).alias("b"), F.col(value).alias("_value")).groupBy("b").agg(F.min("_value").alias("_value"))
-    score = F.col("shared") / F.col("total")
-    best = pairs.join(named, "b").groupBy("a").agg(F.min(F.struct((-score).alias("s"), "_value")).alias("_best"))
-    best = best.select("a", F.col("_best._value").alias("nearest"), (-F.col("_best.s")).alias("similarity"))
-    keyed = rows.withColumn("_a", F.array_sort(F.array_distinct(F.filter(words, lambda w: w.isNotNull()))))
+    Values with equal words count as one, the smallest.  Words and sets are told apart by 64-bit hashes.  No pair carries words: sets meet
+    by their rarest words, sketches drop the unlike, and words go only with what is left.  The driver and each task hold ``BITS`` bits
+    and 16 bytes for each distinct known set."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent is 1 to 100")
+    named = known.select(_hashed(known_words).alias("_set"), F.col(value).alias("_value")).groupBy("_set").agg(F.min("_value").alias("_value")).where(F.size("_set") > 0)
+    named = cut(named.select("_set", "_value", F.xxhash64("_set").alias("_key")))
+    scored = _scored(rows, named, words, percent).select("a", "b", (F.col("shared") / F.col("total")).alias("s"))
+    best = scored.groupBy("a").agg(F.max("s").alias("similarity"), F.collect_list(F.struct("s", "b")).alias("all"))
+    tied = best.select("a", "similarity", F.explode(F.filter("all", lambda x: x["s"] == F.col("similarity"))).alias("x")).select("a", "similarity", F.col("x.b").alias("b"))
+    best = tied.join(named.select(F.col("_key").alias("b"), "_value"), "b").groupBy("a").agg(F.min("_value").alias("nearest"), F.first("similarity").alias("similarity"))
+    keyed = rows.withColumn("_a", F.xxhash64(_hashed(words)))
     return keyed.join(best, F.col("_a") == F.col("a"), "left").drop("_a", "a")

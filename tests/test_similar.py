@@ -45,6 +45,41 @@ def test_a_hundred_thousand_texts_without_a_nested_loop(spark):
     assert out.where("id % 1000 = 1 and nearest is not null").count() == 100
 
 
+def shuffled_bytes(spark, run):
+    """Bytes that the stages of run() wrote to shuffles."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_no_pair_carries_words(spark, alike):
+    """A group of near copies, and texts that share common words only: what is shuffled goes with the texts, not with their pairs."""
+    rng = random.Random(9)
+    base = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(600):
+        w = list(base) if alike else [f"word{rng.randrange(900)}" for _ in range(300)]
+        for _ in range(6):
+            w[rng.randrange(300)] = f"own{rng.randrange(10**6)}"
+        rows.append((i, w))
+    df = spark.createDataFrame(rows, "id int, w array<string>")
+    known = df.where("id % 4 = 0").select(F.concat_ws(" ", "w").alias("t"), F.col("w").alias("v"))
+    got = []
+    assert shuffled_bytes(spark, lambda: got.extend(similar.nearest(df, known, F.col("w"), F.col("v"), "t", 60).collect())) < 4 * sum(len(" ".join(w)) for _, w in rows)
+    sets = {i: set(w) for i, w in rows}
+    for r in got[::17]:
+        best = min(((-len(sets[r.id] & sets[i]) / len(sets[r.id] | sets[i]), " ".join(w)) for i, w in rows if i % 4 == 0 and 100 * len(sets[r.id] & sets[i]) >= 60 * len(sets[r.id] | sets[i])), default=None)
+        assert (r.nearest, r.similarity) == ((best[1], -best[0]) if best else (None, None))
+
+
 def test_inverse(spark):
     rng = np.random.default_rng(2)
     each = [rng.normal(size=(4, 4)) for _ in range(40)] + [np.eye(4)[[1, 3, 0, 2]], np.diag([1e-3, 1, 1e3, 2]) @ rng.normal(size=(4, 4)), rng.normal(size=(3, 3)), np.array([[4.0]])]
