@@ -41,8 +41,10 @@ def similar_sets(left: DataFrame, right: DataFrame, words_left: Column, words_ri
     return pairs.where(100 * F.col("shared") >= percent * F.col("total"))
 
 
-#: Buckets of the table of frequencies, bits of a set's sketch, texts that are worked on at once, parts of a group of alike sets.
-BUCKETS, BITS, AT_ONCE, DEALT = 1 << 20, 2048, 1000, 8
+#: Buckets of the table of frequencies and of the keys that are looked for, texts that are worked on at once, parts of a group of alike sets.
+BUCKETS, SOUGHT, AT_ONCE, DEALT = 1 << 20, 1 << 22, 1000, 8
+#: Bits of a sketch by level; a set has the first level with 1.5 bits a word, or the last.
+BITS = tuple(512 << level for level in range(8))
 
 
 def _hashed(words: Column) -> Column:
@@ -55,8 +57,22 @@ def _keyed(rows: DataFrame, words: Column) -> DataFrame:
     return rows.select(_hashed(words).alias("_set")).select("_set", F.xxhash64("_set").alias("_key"))
 
 
+def _levels(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.searchsorted(BITS, (3 * n.astype(np.int64) + 1) // 2), len(BITS) - 1)
+
+
+def _folded(sketches: list, levels: np.ndarray, level: int) -> np.ndarray:
+    """Sketches of the level or the one above as rows of that level: halves of a parity sketch added up are the smaller sketch."""
+    out = np.empty((len(sketches), BITS[level] // 64), np.uint64)
+    for at, fold in ((np.flatnonzero(levels == level), False), (np.flatnonzero(levels == level + 1), True)):
+        if len(at):
+            own = np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), -1)
+            out[at] = own[:, : out.shape[1]] ^ own[:, out.shape[1] :] if fold else own
+    return out
+
+
 def _signatures(sets: DataFrame, percent: int, often) -> DataFrame:
-    """_key, n, sketch (the parity of the words in each of ``BITS`` buckets), and w and i: the words of the prefix that known sets may
+    """_key, n, sketch (the parity of the words in each of its level's buckets), and w and i: the words of the prefix that known sets may
     hold, and how many of the set's words come before.  Words come in order of their bucket's frequency among known sets, then of hash."""
 
     def run(batches):
@@ -72,9 +88,12 @@ def _signatures(sets: DataFrame, percent: int, often) -> DataFrame:
         lists = batch.column("_set")
         n, words = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
         row = np.repeat(np.arange(len(n)), n)
-        sketch = np.zeros(len(n) * BITS // 64, np.uint64)
-        bit = (words >> 40) & (BITS - 1)
-        np.bitwise_xor.at(sketch, row * (BITS // 64) + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        bits = np.array(BITS)[_levels(n)]
+        ends = np.concatenate([[0], np.cumsum(bits // 64)])
+        sketch = np.zeros(ends[-1], np.uint64)
+        bit = (words >> 40) & (bits - 1)[row]
+        np.bitwise_xor.at(sketch, ends[row] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        sketches = pa.array([sketch[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
         often = table[words & (BUCKETS - 1)]
         order = np.lexsort((words, often, row))
         place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
@@ -82,7 +101,6 @@ def _signatures(sets: DataFrame, percent: int, often) -> DataFrame:
         kept = (place < first[row]) & (often[order] > 0)
         ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(n)))]), pa.int32())
         w, i = pa.array(words[order][kept], pa.int64()), pa.array(place[kept], pa.int32())
-        sketches = pa.array([x.tobytes() for x in sketch.reshape(len(n), -1)], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(n, pa.int32()), sketches, pa.ListArray.from_arrays(ends, w), pa.ListArray.from_arrays(ends, i)], names=["_key", "n", "sketch", "w", "i"])
 
     return sets.select("_key", "_set").mapInArrow(run, "_key long, n int, sketch binary, w array<long>, i array<int>")
@@ -92,19 +110,35 @@ def _unlike_dropped(lists: DataFrame, percent: int, known) -> DataFrame:
     """a and bs: what is left of the known sets met by each, where sketches don't show too many different words; an equal set alone."""
 
     def run(batches):
-        keys, sizes, sketches = known.value
+        keys, sizes, held = known.value
+        levels, at_level = _levels(sizes), {}
+        place = np.zeros((len(BITS), len(keys)), np.int64)
+        for level in range(len(BITS)):
+            has = np.flatnonzero((levels == level) | (levels == level + 1))
+            place[level, has] = np.arange(len(has))
+            at_level[level] = _folded([held[i].as_py() for i in has], levels[has], level)
         for batch in batches:
             met = batch.column("bs")
             each = np.repeat(np.arange(batch.num_rows), met.value_lengths().to_numpy())
             b = met.flatten().to_numpy()
             a, n = batch.column("a").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
-            own = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            kept = np.zeros(len(b), bool)
-            for at in range(0, len(b), 50_000):
-                i, r = np.searchsorted(keys, b[at : at + 50_000]), each[at : at + 50_000]
-                both = n[r] + sizes[i]
-                most = both - 2 * -(-percent * both // (100 + percent))
-                kept[at : at + 50_000] = np.bitwise_count(own[r] ^ sketches[i]).sum(axis=1, dtype=np.int64) <= most
+            own, mine = batch.column("sketch").to_pylist(), _levels(n)
+            i = np.searchsorted(keys, b)
+            both = n[each] + sizes[i]
+            most = both - 2 * -(-percent * both // (100 + percent))
+            lower = np.minimum(mine[each], levels[i])
+            # sizes are too unlike for more than one level between them where percent is above 50; such pairs stay
+            kept = np.abs(mine[each] - levels[i]) > 1
+            for level in np.unique(lower[~kept]):
+                rows = np.flatnonzero((mine == level) | (mine == level + 1))
+                there = np.zeros(batch.num_rows, np.int64)
+                there[rows] = np.arange(len(rows))
+                a_sketch = _folded([own[x] for x in rows], mine[rows], level)
+                pairs = np.flatnonzero((lower == level) & ~kept)
+                step = (1 << 25) // BITS[level]
+                for at in range(0, len(pairs), step):
+                    p = pairs[at : at + step]
+                    kept[p] = np.bitwise_count(a_sketch[there[each[p]]] ^ at_level[level][place[level, i[p]]]).sum(axis=1, dtype=np.int64) <= most[p]
             same = a[each] == b
             has = np.zeros(batch.num_rows, bool)
             has[each[same]] = True
@@ -116,6 +150,20 @@ def _unlike_dropped(lists: DataFrame, percent: int, known) -> DataFrame:
     return lists.select("a", "n", "sketch", "bs").mapInArrow(run, "a long, bs array<long>")
 
 
+def _sought(sets: DataFrame, lists: DataFrame) -> DataFrame:
+    """a and sa: the sets whose key may be among those of ``lists``, by a table of fixed size."""
+    table = np.zeros(SOUGHT, bool)
+    table[lists.select(F.col("a").bitwiseAND(SOUGHT - 1).alias("at")).distinct().toArrow().column("at").to_numpy()] = True
+    held = sets.sparkSession.sparkContext.broadcast(np.packbits(table))
+
+    def run(batches):
+        table = np.unpackbits(held.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(table[batch.column("a").to_numpy() & (SOUGHT - 1)]))
+
+    return sets.select(F.col("_key").alias("a"), F.col("_set").alias("sa")).mapInArrow(run, "a long, sa array<long>")
+
+
 def _scored(rows: DataFrame, named: DataFrame, words: Column, percent: int) -> DataFrame:
     """a, b, shared, total: keys of similar sets of rows and ``named`` (_set, _key), but for sets that have an equal one: those with that alone."""
     sc = rows.sparkSession.sparkContext
@@ -126,8 +174,7 @@ def _scored(rows: DataFrame, named: DataFrame, words: Column, percent: int) -> D
     sets = _keyed(rows, words)
     left, right = cut(_signatures(sets, percent, often)), cut(_signatures(named, percent, often))
     held = right.select("_key", "n", "sketch").toArrow().sort_by("_key")
-    sketches = np.frombuffer(b"".join(held.column("sketch").to_pylist()), np.uint64).reshape(held.num_rows, BITS // 64)
-    known = sc.broadcast((held.column("_key").to_numpy(), held.column("n").to_numpy().astype(np.int64), sketches))
+    known = sc.broadcast((held.column("_key").to_numpy(), held.column("n").to_numpy().astype(np.int64), held.column("sketch").combine_chunks()))
 
     def probes(signed, key):
         each = signed.select(F.col("_key").alias(key), F.col("n").alias(f"n{key}"), F.explode(F.arrays_zip("w", "i")).alias("p"))
@@ -141,7 +188,7 @@ def _scored(rows: DataFrame, named: DataFrame, words: Column, percent: int) -> D
     lists = cut(_unlike_dropped(lists, percent, known)).withColumn("g", F.array_min("bs")).withColumn("_part", F.pmod("a", F.lit(DEALT)))
     # sets that share their least known set meet it and the others once, not once a pair
     there = lists.select("g", "_part", F.explode("bs").alias("b")).distinct().join(named.select(F.col("_key").alias("b"), F.col("_set").alias("sb")), "b")
-    here = sets.select(F.col("_key").alias("a"), F.col("_set").alias("sa")).join(lists, "a").dropDuplicates(["a"])
+    here = _sought(sets, lists).join(lists, "a").dropDuplicates(["a"])
     pairs = here.join(there, ["g", "_part"]).where(F.array_contains("bs", F.col("b")))
     shared = pairs.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), (F.size("sa") + F.size("sb")).alias("both"))
     return shared.select("a", "b", "shared", (F.col("both") - F.col("shared")).alias("total")).where(100 * F.col("shared") >= percent * F.col("total"))
@@ -152,8 +199,8 @@ def nearest(rows: DataFrame, known: DataFrame, words: Column, known_words: Colum
     reaches ``percent``, as for rows without words.
 
     Values with equal words count as one, the smallest.  Words and sets are told apart by 64-bit hashes.  No pair carries words: sets meet
-    by their rarest words, sketches drop the unlike, and words go only with what is left.  The driver and each task hold ``BITS`` bits
-    and 16 bytes for each distinct known set."""
+    by their rarest words, sketches drop the unlike, and words go only with what is left.  The driver holds
+    a sketch and 16 bytes for each distinct known set, each task twice that."""
     if not 0 < percent <= 100:
         raise ValueError("percent is 1 to 100")
     named = known.select(_hashed(known_words).alias("_set"), F.col(value).alias("_value")).groupBy("_set").agg(F.min("_value").alias("_value")).where(F.size("_set") > 0)
