@@ -3,6 +3,8 @@
 Words are ordered by how many sets hold them, the rarest first.  Two sets of which ``percent`` of the union is shared must share one of
 the first n - ceil(percent * n / 100) + 1 words of each, and neither is much larger than the other.  So only sets that meet on
 such a rare word and fit in length are compared, each pair at the first word that they share.  Equal sets are compared once.
+
+``similar_sets`` gives every pair with both word lists; ``nearest`` looks for the best only, and moves hashes and sketches instead.
 """
 
 from __future__ import annotations
